@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import sharding, url_filter
+from ledgerflow.llm import sharding, simhash, url_filter
 
 QUERIES = {
+    "op6_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
     "op9_sharding": sharding.query,
 }
