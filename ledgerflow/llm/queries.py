@@ -1,11 +1,14 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import sharding, simhash, url_filter
+from ledgerflow.llm import decontaminate, sharding, simhash, url_filter
 
 QUERIES = {
+    "op8_decontamination": decontaminate.query,
     "op6_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
     "op9_sharding": sharding.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_decontamination": decontaminate.SQL,
+}
