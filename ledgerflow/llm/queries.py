@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import decontaminate, sharding, simhash, url_filter
+from ledgerflow.llm import decontaminate, packing, sharding, simhash, url_filter
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op8_decontamination": decontaminate.query,
     "op6_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
