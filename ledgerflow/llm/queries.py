@@ -1,15 +1,17 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import decontaminate, packing, sharding, simhash, url_filter
+from ledgerflow.llm import decontaminate, packing, sharding, simhash, url_filter, vector_join
 
 QUERIES = {
     "op2_packing": packing.query,
     "op8_decontamination": decontaminate.query,
+    "op5_vector_join": vector_join.query,
     "op6_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
     "op9_sharding": sharding.query,
 }
 
 SQL: dict[str, str] = {
+    "op5_vector_join": vector_join.SQL,
     "op8_decontamination": decontaminate.SQL,
 }
