@@ -163,6 +163,9 @@ def hits_of_block(index: DataFrame, q: Queries, within: int | None = None) -> Da
         right = right.sort_by("first")
         right = right.filter(pc.greater(right.column("n_words"), 0))
         first, size, doc_no = (right.column(c).to_numpy() for c in ("first", "n_words", "doc_no"))
+        if within is not None and len(first):  # documents move apart, so that no place near an edge reaches the next one
+            positions = [p + (np.searchsorted(first, p, side="right") - 1) * (within + 1) for p in positions]
+            first = first + np.arange(len(first)) * (within + 1)
         found = [(w, s) for w, s in match(q, numbers, positions, within) if len(w)]
         if found and len(first):
             which, start = (np.concatenate(x) for x in zip(*found, strict=True))
