@@ -1,11 +1,12 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import decontaminate, packing, quality, sharding, simhash, url_filter, vector_join
+from ledgerflow.llm import decontaminate, html_text, packing, quality, sharding, simhash, url_filter, vector_join
 
 QUERIES = {
     "op2_packing": packing.query,
     "op7_quality": quality.query,
     "op8_decontamination": decontaminate.query,
+    "op10_html_text": html_text.query,
     "op5_vector_join": vector_join.query,
     "op6_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
