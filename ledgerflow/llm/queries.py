@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import decontaminate, html_text, packing, quality, sharding, simhash, url_filter, vector_join
+from ledgerflow.llm import decontaminate, html_text, license_scan, packing, quality, sharding, simhash, url_filter, vector_join
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_packing": packing.query,
     "op7_quality": quality.query,
     "op8_decontamination": decontaminate.query,
