@@ -9,6 +9,10 @@
    fingerprints. A block pair returns a spanning forest of its links and never all pairs of a dense group.
 5. Components of the links, by distributed star rounds.
 
+With ``rounds`` above one, each text gets further fingerprints from the same shingles under other bit mixings, each has an
+index of its own, and a link in any of them counts: near copies that one fingerprint misses by a bit are found by another,
+while the distance that counts as a link stays small and the index selective.
+
 Defined results. Null or empty text, or text without words: fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is one shingle. Repeated rows share fingerprint and component. Empty table: empty result.
 A component's id is its smallest document id, null only if all its ids are null.
@@ -33,8 +37,8 @@ BLOCK, FAN_OUT = 16_384, 64
 SLICE_BYTES, PAIRS_AT_ONCE = 2 << 20, 1 << 20
 
 
-def fingerprints_of(column: pa.ChunkedArray, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """Unsigned 64-bit fingerprint of each text."""
+def fingerprints_of(column: pa.ChunkedArray, words: int = WORDS, seed: int = SEED, rounds: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of each text: one, or with ``rounds`` above one a row of them per text."""
     w = textkit.scan(column, "space")
     length = w.end - w.start
     buffer = np.full(int(length.sum()) + len(length), 32, np.uint8)
@@ -49,27 +53,32 @@ def fingerprints_of(column: pa.ChunkedArray, words: int = WORDS, seed: int = SEE
     last = at + np.repeat(np.minimum(counts, words), n) - 1
     whole = buffer.tobytes()
     hashes = np.fromiter((xxh64_intdigest(whole[a:b], seed) for a, b in zip(start[at].tolist(), end[last].tolist(), strict=True)), np.uint64, len(at))
-    out = np.zeros(len(counts), np.uint64)
+    out = np.zeros((len(counts), rounds), np.uint64)
     some = np.flatnonzero(n)
-    if len(some):
+    for r in range(rounds if len(some) else 0):
+        hashes = textkit.mix(hashes + np.uint64(r)) if r else hashes
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
         packed = np.packbits(ones * 2 > n[some, None], axis=1)
-        out[some] = packed.view(">u8").ravel()
-    return out
+        out[some, r] = packed.view(">u8").ravel()
+    return out if rounds > 1 else out[:, 0]
 
 
-def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, name: str = "fp") -> DataFrame:
-    """``df`` without its text, with the fingerprint as a (signed) long column ``name``."""
-    rest = [c for c in df.columns if c not in (text, name)]
-    schema = StructType([*df.select(*rest).schema.fields, StructField(name, LongType())])
+def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, rounds: int = 1, keep_text: bool = False) -> DataFrame:
+    """``df``, without its text unless kept, with the fingerprints as (signed) long columns ``fp0``, ``fp1`` ..."""
+    names = [f"fp{r}" for r in range(rounds)]
+    rest = [c for c in df.columns if (keep_text or c != text) and c not in names]
+    schema = StructType([*df.select(*rest).schema.fields, *(StructField(c, LongType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in textkit.in_slices(batches, text, SLICE_BYTES):
-            fp = pa.array(fingerprints_of(t.column(text), words).view(np.int64))
-            yield from t.select(rest).append_column(name, fp).to_batches()
+            fp = fingerprints_of(t.column(text), words, rounds=rounds).reshape(-1, rounds).view(np.int64)
+            out = t.select(rest)
+            for r, c in enumerate(names):
+                out = out.append_column(c, pa.array(fp[:, r]))
+            yield from out.to_batches()
 
-    return df.select(*rest, text).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*rest, text])).mapInArrow(run, schema)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -80,8 +89,8 @@ def gray_rank(fp: Column) -> Column:
 
 
 def _shared(groups: DataFrame, key: str, low: str, high: str) -> DataFrame:
-    """Node per key: the bits below it that are all one (``low``) and those with any one (``high``)."""
-    return groups.groupBy(key).agg(F.bit_and(low).alias("low"), F.bit_or(high).alias("high"))
+    """Node per round and key: the bits below it that are all one (``low``) and those with any one (``high``)."""
+    return groups.groupBy("round", key).agg(F.bit_and(low).alias("low"), F.bit_or(high).alias("high")).withColumnRenamed(key, "node")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -91,19 +100,20 @@ def _apart(a: str, b: str) -> Column:
 
 
 def block_pairs(blocks: DataFrame, n_blocks: int, bits: int) -> DataFrame:
-    """Pairs of block ids (a <= b) that may hold a link, found by descending the levels of nodes."""
-    levels = [_shared(blocks, "block", "fp", "fp").withColumnRenamed("block", "node")]
+    """(round, a, b): pairs of blocks (a <= b) that may hold a link, found by descending the levels of nodes."""
+    levels = [_shared(blocks, "block", "fp", "fp")]
     size = n_blocks
     while size > FAN_OUT:
-        levels.append(_shared(levels[-1].withColumn("up", F.floor(F.col("node") / FAN_OUT).cast("int")), "up", "low", "high").withColumnRenamed("up", "node"))
+        levels.append(_shared(levels[-1].withColumn("up", F.floor(F.col("node") / FAN_OUT).cast("int")), "up", "low", "high"))
         size = -(-size // FAN_OUT)
     pairs = None
     for level in reversed(levels):
         nodes = level.withColumn("up", F.floor(F.col("node") / FAN_OUT).cast("int"))
-        if pairs is None:  # the top: at most FAN_OUT nodes, all under one root
-            pairs = nodes.sparkSession.createDataFrame([(0, 0)], "a int, b int")
-        met = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.up")).join(nodes.alias("y"), F.col("b") == F.col("y.up"))
-        pairs = met.where((F.col("x.node") <= F.col("y.node")) & (_apart("x", "y") <= bits)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        if pairs is None:  # the top: at most FAN_OUT nodes of a round, all under one root
+            pairs = nodes.select("round", F.lit(0).alias("a"), F.lit(0).alias("b")).distinct()
+        same = lambda n: F.col("p.round") == F.col(f"{n}.round")
+        met = pairs.alias("p").join(nodes.alias("x"), same("x") & (F.col("p.a") == F.col("x.up"))).join(nodes.alias("y"), same("y") & (F.col("p.b") == F.col("y.up")))
+        pairs = met.where((F.col("x.node") <= F.col("y.node")) & (_apart("x", "y") <= bits)).select("p.round", F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return pairs
 
 
@@ -184,36 +194,65 @@ def forest(x: np.ndarray, y: np.ndarray, same: bool, bits: int) -> tuple[np.ndar
 
 
 def link_edges(codes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """``codes(fp)``, distinct -> edges ``(a, b)`` whose components are those of all links within ``bits``."""
+    """``codes(round, fp)``, distinct -> edges ``(round, a, b)``: in each round, the components of all links within ``bits``.
+
+    The indexes of all rounds are built and searched together, as separate key ranges of the same tables.
+    """
     n_blocks = max(1, -(-codes.count() // block))
-    placed = codes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(n_blocks, "rank").select("fp", F.spark_partition_id().alias("block"))
+    placed = codes.select("round", "fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(n_blocks, "round", "rank").select("round", "fp", F.spark_partition_id().alias("block"))
     placed = scratch.table(placed, "gray")
     n_blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
-    arrays = placed.groupBy("block").agg(F.collect_list("fp").alias("fps"))
+    arrays = placed.groupBy("round", "block").agg(F.collect_list("fp").alias("fps"))
     pairs = block_pairs(placed, n_blocks, bits)
-    met = pairs.join(arrays.alias("x"), F.col("a") == F.col("x.block")).join(arrays.alias("y"), F.col("b") == F.col("y.block")).select("a", "b", F.col("x.fps").alias("xs"), F.col("y.fps").alias("ys"))
+    side = lambda n, k: arrays.select("round", F.col("block").alias(k), F.col("fps").alias(n))
+    met = pairs.join(side("xs", "a"), ["round", "a"]).join(side("ys", "b"), ["round", "b"]).select("round", "a", "b", "xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                xs, ys = (b.column(k)[r].values.to_numpy(zero_copy_only=False).view(np.uint64) for k in (2, 3))
-                p, q = forest(xs, ys, b.column(0)[r].as_py() == b.column(1)[r].as_py(), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(q.view(np.int64))], ["a", "b"])
-
-    spread = met.repartition(F.col("a"), F.col("b"))
-    return spread.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row per row of ``df``: ``doc_id``, ``fp`` and ``component_id``, the smallest id reachable by links."""
-    fps = scratch.table(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words), "fingerprints")
-    codes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "codes")
-    joined = components(link_edges(codes.select("fp"), bits))
-    classes = codes.join(joined, codes["fp"] == joined["a"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    ids = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    return fps.join(classes.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+                xs, ys = (b.column(k)[r].values.to_numpy(zero_copy_only=False).view(np.uint64) for k in (3, 4))
+                p, q = forest(xs, ys, b.column(1)[r].as_py() == b.column(2)[r].as_py(), bits)
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[r], len(p)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64))], ["round", "a", "b"])
+
+    return met.repartition("round", "a", "b").mapInArrow(run, "round int, a long, b long")
+
+
+def classes(fps: DataFrame, rounds: int = 1, bits: int = BITS) -> DataFrame:
+    """(fp0 .., component) of every distinct tuple of fingerprints in ``fps``; ``component`` is the same for all that links
+    of any round join."""
+    names = [f"fp{r}" for r in range(rounds)]
+    nodes = scratch.table(fps.select(*names).distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    each = nodes.select("node", F.posexplode(F.array(*names)).alias("round", "fp"))
+    firsts = scratch.table(each.groupBy("round", "fp").agg(F.min("node").alias("first")), "codes")
+    x, y = (firsts.select("round", F.col("fp").alias(k), F.col("first").alias(f"{k}_node")) for k in ("a", "b"))
+    edges = link_edges(firsts.select("round", "fp"), bits).join(x, ["round", "a"]).join(y, ["round", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    if rounds > 1:  # tuples may share one fingerprint and differ in another
+        edges = edges.unionAll(each.join(firsts, ["round", "fp"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    joined = components(edges)
+    return nodes.join(joined, nodes["node"] == joined["a"], "left").select(*names, F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, rounds: int = 1) -> DataFrame:
+    """One row per row of ``df``: ``doc_id``, fingerprints ``fp0`` .. and ``component_id``, the smallest id reachable by links."""
+    names = [f"fp{r}" for r in range(rounds)]
+    fps = scratch.table(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, rounds), "fingerprints")
+    lows = fps.groupBy(*names).agg(F.min("doc_id").alias("low"))
+    of_class = classes(fps, rounds, bits).join(lows, names)
+    ids = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
+    return fps.join(of_class.join(ids, "component").select(*names, "component_id"), names).select("doc_id", *names, "component_id")
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, rounds: int = 1) -> DataFrame:
+    """The rows of ``df`` that stay when each group of near-duplicates keeps one: the one with the smallest id."""
+    names = [f"fp{r}" for r in range(rounds)]
+    held = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
+    fps = scratch.table(fingerprints(held, "text", words, rounds, keep_text=True).withColumn("row_id", F.monotonically_increasing_id()), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row_id"))).alias("best")
+    kept = fps.groupBy(*names).agg(best).join(classes(fps, rounds, bits), names).groupBy("component").agg(F.min("best").alias("best")).select("best.row_id")
+    back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    return fps.join(kept, "row_id", "left_semi").select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

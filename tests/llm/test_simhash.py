@@ -57,9 +57,10 @@ def test_many_blocks_give_the_same_groups(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 40, 150, dtype=np.int64)
     codes = np.unique(np.concatenate([base, base ^ 1, base ^ 6, base ^ (7 << 30), np.arange(60)]))
-    df = spark.createDataFrame([(int(c),) for c in codes], "fp long")
+    df = spark.createDataFrame([(r, int(c)) for c in codes for r in (0, 1)], "round int, fp long")
     edges = simhash.link_edges(df, block=5)
-    got = {r.a: r.component for r in simhash.components(edges).collect()}
+    assert {r["round"] for r in edges.collect()} == {0, 1}
+    got = {r.a: r.component for r in simhash.components(edges.where("round = 1")).collect()}
     lab = simhash.labels(len(codes), *np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None]) <= 3))
     assert {int(c): got.get(int(c), int(c)) for c in codes} == {int(c): int(codes[k]) for c, k in zip(codes, lab, strict=True)}
 
@@ -69,6 +70,32 @@ def test_awkward_rows(spark, awkward):
     assert len(rows) == awkward.count()
     by = {}
     for r in rows:
-        by.setdefault(r.doc_id, set()).add((r.fp, r.component_id))
+        by.setdefault(r.doc_id, set()).add((r.fp0, r.component_id))
     assert by[2] == by[3] == by[4] == {(0, 2)} and by[5] == by[6] and len(by[1]) == 1
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, awkward):
+    kept = simhash.deduplicate(awkward)
+    rows = simhash.near_duplicates(awkward).collect()
+    assert kept.columns == awkward.columns and kept.count() == len({r.component_id for r in rows})
+    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in rows}
+    assert simhash.deduplicate(awkward.limit(0)).count() == 0
+
+
+def test_rounds_find_more_near_copies_and_no_strangers(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        edited = list(base)
+        for _ in range(5):
+            edited[rng.randrange(300)] = word()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(edited))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (simhash.near_duplicates(df, rounds=k).collect() for k in (1, 12))
+    caught = lambda rows: sum(r.doc_id != r.component_id for r in rows)
+    assert caught(many) >= max(caught(one), 30) and all(r.component_id // 2 == r.doc_id // 2 for r in many)
