@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL of those that SQL can express."""
 
-from ledgerflow.llm import decontaminate, html_text, license_scan, packing, quality, sharding, simhash, url_filter, vector_join
+from ledgerflow.llm import decontaminate, html_text, katz, license_scan, packing, quality, sharding, simhash, url_filter, vector_join
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_decontamination": decontaminate.query,
     "op10_html_text": html_text.query,
+    "op4_katz": katz.query,
     "op5_vector_join": vector_join.query,
     "op6_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
