@@ -74,25 +74,25 @@ def totals_gate(df: DataFrame, meta: DataFrame, key: Sequence[str] = KEY) -> Dat
     return g.select(*key, "has_statement_totals", ((F.abs("debit_diff") <= 1) & (F.abs("credit_diff") <= 1)).alias("totals_match"), "debit_diff", "credit_diff")
 
 
-def file_rollup(df: DataFrame, meta: DataFrame, file_of: Column, key: Sequence[str] = KEY) -> DataFrame:
+def file_rollup(df: DataFrame, meta: DataFrame, file_of: str, key: Sequence[str] = KEY) -> DataFrame:
     """AGG-06: one row per file: totals, printed ones only if every statement has them, and the statement with most rows."""
-    per = meta.join(df.groupBy(*key).agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"), F.count("*").alias("n")), list(key), "left").withColumn("file_id", file_of)
+    per = meta.join(df.groupBy(*key).agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"), F.count("*").alias("n")), list(key), "left").withColumn("file_id", F.expr(file_of))
     has = F.col("statement_total_debit").isNotNull() & F.col("statement_total_credit").isNotNull()
     g = per.groupBy("file_id").agg(F.sum("d").alias("d"), F.sum("c").alias("c"), F.sum(F.coalesce("n", F.lit(0))).alias("transaction_count"), F.count("*").alias("statement_count"), F.bool_and(has).alias("all_have"), F.sum("statement_total_debit").alias("sd"), F.sum("statement_total_credit").alias("sc"), F.max_by(F.col(key[0]), F.struct(F.coalesce("n", F.lit(0)), -F.col(key[0]))).alias("primary_stmt"))
     shown = lambda a, b: F.when(F.col("all_have"), F.col(a)).otherwise(F.col(b))
     return g.select("file_id", shown("sd", "d").alias("total_debit"), shown("sc", "c").alias("total_credit"), F.col("d").alias("extracted_total_debit"), F.col("c").alias("extracted_total_credit"), "transaction_count", "statement_count", (F.col("statement_count") > 1).alias("multi_statement"), "primary_stmt")
 
 
-def rollup_status(verdicts: DataFrame, file_of: Column) -> DataFrame:
+def rollup_status(verdicts: DataFrame, file_of: str) -> DataFrame:
     """AGG-07: true if every statement of a file matches, false if any does not, else null."""
-    g = verdicts.withColumn("file_id", file_of).groupBy("file_id").agg(F.bool_and(F.coalesce("totals_match", F.lit(False))).alias("every"), F.bool_or(~F.col("totals_match")).alias("some_not"))
+    g = verdicts.withColumn("file_id", F.expr(file_of)).groupBy("file_id").agg(F.bool_and(F.coalesce("totals_match", F.lit(False))).alias("every"), F.bool_or(~F.col("totals_match")).alias("some_not"))
     return g.select("file_id", F.when(F.col("every"), True).when(F.col("some_not"), False).alias("totals_match"))
 
 
-def folder_baseline(df: DataFrame, verdicts: DataFrame, file_of: Column, key: Sequence[str] = KEY) -> DataFrame:
+def folder_baseline(df: DataFrame, verdicts: DataFrame, file_of: str, key: Sequence[str] = KEY) -> DataFrame:
     """AGG-08: counts, totals and verdicts per file."""
     rows = df.groupBy(*key).agg(F.count("*").alias("n"), F.sum("debit").alias("d"), F.sum("credit").alias("c"))
-    joined = verdicts.select(*key, "totals_match", "status").join(rows, list(key), "left").withColumn("file_id", file_of)
+    joined = verdicts.select(*key, "totals_match", "status").join(rows, list(key), "left").withColumn("file_id", F.expr(file_of))
     return joined.groupBy("file_id").agg(F.count("*").alias("n_statements"), F.sum(F.coalesce("n", F.lit(0))).alias("n_transactions"), F.sum("d").alias("total_debit"), F.sum("c").alias("total_credit"), F.count_if("totals_match").alias("n_match"), F.count_if(~F.col("totals_match")).alias("n_mismatch"), F.count_if(F.col("totals_match").isNull()).alias("n_unknown"))
 
 

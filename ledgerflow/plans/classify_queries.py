@@ -55,10 +55,10 @@ WHEN {is_debit} AND {_m(rules.MOVE_WORDS)} THEN {_says(rules.OWN_TRANSFER, 0.6,
 
 _split = "split_part(v, '|', 1) AS category, CAST(split_part(v, '|', 2) AS DOUBLE) AS confidence, nullif(split_part(v, '|', 3), '') AS rule_id, split_part(v, '|', 4) AS decision_source"
 CLASSIFIED_SQL = f"""{LEDGER_SQL}, nrm AS (SELECT *, {_norm} AS nd FROM ledger),
-verdicts AS (SELECT *, CASE {_AMOUNT}
+ruled AS (SELECT *, CASE {_AMOUNT}
 {_rule_branches(rules.built_in(), "debit <> 0", "credit <> 0")}
 {_rest("debit <> 0")} END AS v FROM nrm),
-classified AS (SELECT * EXCLUDE (v), {_split}, regexp_matches(nd, '{rules.REVERSAL}') AS is_reversal FROM verdicts)"""
+classified AS (SELECT * EXCLUDE (v), {_split}, regexp_matches(nd, '{rules.REVERSAL}') AS is_reversal FROM ruled)"""
 
 
 def classified(spark, sf_dir) -> DataFrame:
