@@ -41,7 +41,7 @@ def _(spark, sf_dir):
     return tabular.header_map(cells(spark, sf_dir)).select("file_id", F.col("vdate").cast("string").alias("vdate"), "desc", "debit", "credit", "balance")
 
 
-@query("src_05_universal_map", f"WITH {LEDGER_SQL} SELECT DISTINCT stmt_id AS file_id, 0 AS date, CASE WHEN stmt_id % 4 = 2 THEN '2' END AS value_date, 1 AS description, 3 AS debit, 4 AS credit, 5 AS balance FROM ledger WHERE stmt_id % 5 <> 0")
+@query("src_05_universal_map", f"WITH {LEDGER_SQL} SELECT DISTINCT stmt_id AS file_id, 0 AS date, CASE WHEN stmt_id % 4 = 2 THEN '2' END AS value_date, 1 AS description, 3 AS debit, CASE WHEN stmt_id % 4 = 1 THEN 1 ELSE 4 END AS credit, 5 AS balance FROM ledger WHERE stmt_id % 5 <> 0")
 def _(spark, sf_dir):
     return tabular.universal_map(cells(spark, sf_dir)).select("file_id", "date", F.col("value_date").cast("string").alias("value_date"), "description", "debit", "credit", "balance")
 

@@ -19,7 +19,16 @@ MOST_BYTES = 20 << 20
 #: Summary and header words of printed rows.
 SUMMARY = r"(?i)^\s*(total|opening balance|closing balance|brought forward|carried forward|page \d+)"
 #: Header words of the eight universal fields, tried in order.
-UNIVERSAL = {"date": ["trans date", "transaction date", "date"], "value_date": ["value date", "val date"], "description": ["description", "narration", "particulars", "remarks", "details"], "reference": ["reference", "ref"], "debit": ["debit", "withdrawal"], "credit": ["credit", "deposit", "lodgement"], "balance": ["balance"], "branch": ["branch"]}
+UNIVERSAL = {
+    "date": ["transaction date", "trans date", "txn date", "tran date", "posting date", "date"],
+    "value_date": ["value date", "val date", "value dt"],
+    "description": ["description", "remarks", "narration", "transaction details", "particulars", "transaction description", "details", "payment details", "beneficiary", "narrative"],
+    "reference": ["reference", "reference no", "ref no", "cheque no", "chq no"],
+    "branch": ["originating branch", "branch", "channel"],
+    "debit": ["debit", "withdrawal", "dr amount", "debit amount", "dr"],
+    "credit": ["credit", "lodgement", "deposit", "cr amount", "credit amount", "cr"],
+    "balance": ["balance", "running balance", "available balance"],
+}
 ALIASES = {"date": ["date", "transaction_date", "txn_date"], "description": ["description", "narration", "details"], "debit": ["debit", "withdrawal", "dr"], "credit": ["credit", "deposit", "cr"], "balance": ["balance", "running_balance"]}
 
 
