@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import decontaminate, packing, quality, scratch, simhash
+from ledgerflow.llm import decontaminate, near_copies, packing, quality, scratch
 
-#: Independent fingerprints per document in the deduplication stage. A link is at most three of 64 bits as in the operator
-#: itself. Measured on 363 near copies among 5,000 documents, twelve chances find all pairs at five-word similarity 0.9 or
-#: more, 89 of 100 from 0.85 and 52 of 100 from 0.8 (one chance: 33 to 79, 42 and 6), and link no pair below 0.5.
+#: Fingerprints of the stage before its links were verified; tests/llm/test_pipeline.py reads it. The stage itself takes two, which
+#: only gather dense groups early: the prefix index of near_copies finds every pair that fingerprints miss.
 FINGERPRINTS = 12
 
 
@@ -26,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id."""
-    return simhash.deduplicate(docs, rounds=FINGERPRINTS)
+    return near_copies.deduplicate(docs, rounds=2)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
