@@ -95,3 +95,12 @@ def test_targets_and_awkward_rows(spark, awkward, sf):
         if p.sequence_id == 0:
             first[p.source] += p.length
     assert abs(first["x"] - 512) <= 2 and abs(first["y"] - 256) <= 2
+
+
+def test_literals_of_added_tokens_are_the_tokenizers_ids(spark):
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "<|endoftext| >", " <|ENDOFTEXT|>", "x<|endoftext|>\n\n  y", "<|<|endoftext|>|>", "na\u00efve <|endoftext|>\U0001f600"]
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(ids[0]) == 4 and [list(packing.encoder(packing.tokenizer_path())(x)) for x in texts] == ids
+    pieces = packing.pack(spark.createDataFrame([(k, x, "s") for k, x in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    assert {p.doc_id: (p.doc_tokens, bytes(p.ids)) for p in pieces} == {k: (len(x) + 1, np.array([*x, 0], "<u4").tobytes()) for k, x in enumerate(ids)}
