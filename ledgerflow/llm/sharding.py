@@ -45,14 +45,17 @@ def deal(df: DataFrame, size: str, shards: int = SHARDS, **options) -> DataFrame
     return out.withColumns({"law": F.lit("rows"), "shard": (F.col("global_slot") % shards).cast("int"), "slot": F.floor(F.col("global_slot") / shards).cast("long")}).drop("global_slot")
 
 
-def write_shards(df: DataFrame, path: str, text: str = "text", shards: int = SHARDS, **options) -> None:
-    """Write every row of ``df`` into Parquet folders ``shard=k``, each in slot order."""
+def write_shards(df: DataFrame, path: str, text: str = "text", shards: int = SHARDS, **options) -> DataFrame:
+    """Write every row of ``df`` into Parquet folders ``shard=k``, each in slot order, and read them back."""
     sized = df.withColumn("size", F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 1)
     dealt = deal(sized, "size", shards, **options)
-    dealt.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    dealt.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows are shuffled into shards; size and checksum are those of the text that the shards hold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    written = write_shards(docs, scratch.new_path(spark, "shards"))
     text = F.coalesce("text", F.lit(""))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
-    return deal(docs, "size").select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return written.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

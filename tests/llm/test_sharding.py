@@ -38,3 +38,25 @@ def test_awkward_rows_and_copies(spark, awkward, tmp_path):
     sharding.write_shards(copies, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert {r["count"] for r in back.groupBy("shard").count().collect()} <= {187, 188}
+
+
+def test_query_shuffles_whole_rows(spark, sf, monkeypatch):
+    held = []
+    real = sharding.scratch.table
+    monkeypatch.setattr(sharding.scratch, "table", lambda df, *a, **b: held.append(real(df, *a, **b)) or held[-1])
+    rows = sharding.query(spark, sf)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(DATA).collect()}
+    assert {r.doc_id: r.text for r in held[0].select("row.*").collect()} == texts
+    (folder,) = {f.rsplit("/shard=", 1)[0] for f in rows.inputFiles()}
+    shards = spark.read.parquet(folder)
+    assert {r.doc_id: r.text for r in shards.collect()} == texts
+    got = {(r.shard, r.slot): r.text_crc32 for r in rows.collect()}
+    assert got == {(r.shard, r.slot): zlib.crc32((r.text or "").encode()) for r in shards.collect()}
+
+
+def test_long_texts_in_small_buckets(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), F.when(F.col("id") == 5, 3_000_000).otherwise(40).cast("int"))).alias("text"))
+    back = sharding.write_shards(df, str(tmp_path / "s"), bucket_bytes=20_000)
+    assert {(r.doc_id, r.h) for r in back.select("doc_id", F.xxhash64("text").alias("h")).collect()} == {(r.doc_id, r.h) for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    assert {r["count"] for r in back.groupBy("shard").count().collect()} <= {18, 19}
+    assert sharding.write_shards(df.limit(0), str(tmp_path / "e")).count() == 0
