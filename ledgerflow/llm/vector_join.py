@@ -10,7 +10,8 @@ Unit vectors with cosine >= c are those at most r = sqrt(2 - 2c) apart, so the j
    cell with a third of all rows spreads over many tasks. A group returns, per vector, the number of its links and a
    spanning forest, never the pairs. A node's links are counted in its own cell only, so none counts twice.
 
-Nothing is approximate: pivots decide where pairs meet, not whether.
+Nothing is approximate: pivots decide where pairs meet, not whether. Pivots that almost coincide are merged, as the plane between
+them is lost in rounding. Vectors of each length have cells of their own.
 
 Defined results. Null vectors, zero vectors, empty ones and those with null or non-finite components link with nothing. Vectors of
 different length do not link. Repeated rows count as other vectors. Empty table: empty result. Null ids count as vectors; a
@@ -34,6 +35,10 @@ from ledgerflow.llm.simhash import labels
 COSINE, CELL, BLOCK, MOST_PIVOTS = 0.95, 4096, 2048, 2048
 #: Allowance for rounding in distances; it can only add replicas, links are decided by the cosine itself.
 SLACK = 1e-7
+#: Pivots are this far apart at least: a plane's distance is divided by it, which keeps rounding far below SLACK.
+SAFE = 1e-3
+#: A cell's number is its vectors' length times this, and the pivot's place; the last place is that of a length without pivot.
+CELLS = 2 * MOST_PIVOTS
 KEY_OF = {"float": np.dtype("<f4"), "double": np.dtype("<f8")}
 
 
@@ -66,28 +71,52 @@ def choose_pivots(nodes: DataFrame, n: int) -> list[bytes]:
     return [bytes(r.key) for r in nodes.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(k).select("key").collect()]
 
 
+def apart(pivots: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The pivots of one length as unit vectors, without those within SAFE of an earlier one."""
+    p = unit(pivots, kind)
+    near, out = 2 - 2 * p @ p.T <= SAFE * SAFE, []
+    for k in range(len(p)):
+        if not near[k, out].any():
+            out.append(k)
+    return p[out]
+
+
 def cells(nodes: DataFrame, pivots: list[bytes], kind: np.dtype, radius: float) -> DataFrame:
     """(node, copies, key, home, away[]): each node's own cell and the cells it is replicated into, radii not yet applied.
 
     ``away`` holds (cell, distance to its pivot).
     """
-    p = unit(pivots, kind)
-    between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-300))
+    of_size: dict[int, list[bytes]] = {}
+    for k in pivots:
+        of_size.setdefault(len(k), []).append(k)
+    planes = {}
+    for size, keys in of_size.items():
+        p = apart(keys, kind)
+        between = np.sqrt(np.maximum(2 - 2 * p @ p.T, SAFE * SAFE))
+        planes[size] = p, between
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = unit(b.column(2).to_pylist(), kind)
-            d2 = np.maximum(2 - 2 * x @ p.T, 0)
-            home = d2.argmin(axis=1)
-            own = d2[np.arange(len(x)), home]
-            plane = (d2 - own[:, None]) / (2 * between[home])
-            near = plane <= radius + SLACK
-            near[np.arange(len(x)), home] = False
-            rows, cell = np.nonzero(near)
-            away = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(x) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(np.sqrt(d2[rows, cell]))], ["cell", "d"]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(np.sqrt(own)), away], ["node", "copies", "key", "home", "d", "away"])
-
-    return nodes.select("node", "copies", "key").mapInArrow(run, "node long, copies long, key binary, home int, d double, away array<struct<cell:int,d:double>>")
+        for whole in batches:
+            sizes = np.array([len(k.as_buffer()) for k in whole.column(2)], np.int64)
+            for size in np.unique(sizes).tolist():
+                b = whole.take(pa.array(np.flatnonzero(sizes == size)))
+                if size in planes:
+                    p, between = planes[size]
+                    x = unit(b.column(2).to_pylist(), kind)
+                    d2 = np.maximum(2 - 2 * x @ p.T, 0)
+                    home = d2.argmin(axis=1)
+                    own = d2[np.arange(len(x)), home]
+                    near = (d2 - own[:, None]) / (2 * between[home]) <= radius + SLACK
+                    near[np.arange(len(x)), home] = False
+                    rows, cell = np.nonzero(near)
+                    d = np.sqrt(d2[rows, cell])
+                else:
+                    home, own, rows, cell, d = np.full(b.num_rows, CELLS - 1), np.zeros(b.num_rows), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                first = size * CELLS
+                away = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(b.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(cell + first, pa.int64()), pa.array(d)], ["cell", "d"]))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home + first, pa.int64()), pa.array(np.sqrt(own)), away], ["node", "copies", "key", "home", "d", "away"])
+
+    return nodes.select("node", "copies", "key").mapInArrow(run, "node long, copies long, key binary, home long, d double, away array<struct<cell:long,d:double>>")
 
 
 def compare(x: np.ndarray, y: np.ndarray, x_node: np.ndarray, y_node: np.ndarray, y_copies: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +137,7 @@ def compare(x: np.ndarray, y: np.ndarray, x_node: np.ndarray, y_node: np.ndarray
 
 
 def join(nodes: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
-    """``nodes(node, copies, key)`` of one length -> (node, links, other): counts of links, or edges."""
+    """``nodes(node, copies, key)`` -> (node, links, other): counts of links, or edges."""
     radius = math.sqrt(max(2 - 2 * cosine, 0))
     pivots = choose_pivots(nodes, nodes.count())
     placed = scratch.table(cells(nodes, pivots, kind, radius), "cells")
@@ -140,14 +169,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     kind = KEY_OF.get(df.schema[vector].dataType.elementType.simpleString(), KEY_OF["double"])
     rows = scratch.table(_keyed(df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")), kind), "vectors")
     grouped = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
-    nodes = scratch.table(grouped.withColumns({"node": F.monotonically_increasing_id(), "size": F.length("key")}), "nodes")
-    found = None
-    for r in nodes.select("size").distinct().limit(65).collect():  # lengths of vectors: one, as a rule
-        part = join(nodes.where(F.col("size") == r.size), kind, cosine)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    found = scratch.table(found, "links")
+    nodes = scratch.table(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = scratch.table(join(nodes, kind, cosine), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.join(joined, nodes["node"] == joined["a"], "left").join(counts, "node", "left").select("key", "low", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))

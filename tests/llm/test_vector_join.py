@@ -33,3 +33,16 @@ def test_awkward_rows(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (2, 0, 2)], key=str)
     assert v.near_duplicates(df.limit(0)).count() == 0
     assert v.near_duplicates(df.where("embedding is null")).count() == 1
+
+
+def test_scaled_copies_as_pivots_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(v, "CELL", 30)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=16)
+    rows = [(centre * k).astype(np.float32).tolist() for k in rng.uniform(0.1, 9, 160)]
+    rows += [(centre + rng.normal(size=16) * 0.3).astype(np.float32).tolist() for _ in range(200)]
+    rows += [[1.0] * n for n in range(1, 90) for _ in range(2)]
+    rows = [rows[k] if k < 360 else [x * (1 + k % 2) for x in rows[k]] for k in range(len(rows))]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in v.near_duplicates(df).collect())
+    assert got == brute([[float(np.float32(c)) for c in x] for x in rows])
