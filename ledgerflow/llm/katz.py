@@ -1,22 +1,24 @@
-"""Operator 4: bigram language model with Katz backoff, learnt from and applied to whole documents.
+"""Operator 4: n-gram language model with Katz backoff, learnt from and applied to whole documents.
 
     P(w | h) = d(c(hw)) c(hw) / c(h)     if hw was seen in training
-             = alpha(h) P(w)             otherwise,      P(w) = d(c(w)) c(w) / N,  all unseen words: one class with the rest
-
-d are Good-Turing discounts (Katz 1987, counts up to five), alpha(h) makes each context's probabilities sum to one exactly.
-A document's first word has the context "begin", its last token is "end".
-
-Everything is keyed and partitioned, nothing is gathered: documents become chunks of token numbers (table ``tokens``);
-distinct words meet by word hash to be counted and numbered, most frequent first (table ``words``); the numbers go
-back to the chunks; bigrams meet by context (tables ``occurrences`` and ``bigrams``), where discounted counts and backoff weights are
-formed and each chunk's bigrams are scored; scores go back to the documents. Rows of these tables are sorted integer arrays
-for one (chunk, bucket), about a million tokens per bucket, so tasks are even. A context with more tokens than a bucket
-holds ("the", "begin") is split over several buckets by its next word and its sums are joined in one more grouping.
+             = alpha(h) P(w | h')        otherwise (h' is h without its first word),   P(w) = d(c(w)) c(w) / N,
+                                         all unseen words: one class with the rest
+
+d are Good-Turing discounts of each length of n-gram (Katz 1987, counts up to five), alpha(h) makes each context's probabilities
+sum to one exactly. Words before a document's first are "begin", its last token is "end". ``order`` is the longest n-gram.
+
+Everything is keyed and partitioned, nothing is gathered: documents become chunks of token numbers (table ``tokens``); distinct
+words meet by word hash to be counted and numbered, most frequent first (table ``words``); the numbers go back to the
+chunks. Then, length by length, a chunk's distinct n-grams go to buckets by context (table ``ngrams``: a row per bucket holds the
+counts and who asked), where discounts and backoff weights are formed. Shorter n-grams' probabilities go back to the chunks,
+which attach them to the next length, so each token's recursion is evaluated from the shortest context up; the longest n-grams'
+buckets return sums by document. A bucket holds about half a million tokens, so tasks are even. A context with more tokens than a
+bucket holds ("the", "begin") is split over several buckets by its next word and its sums are joined in one more grouping.
 Only sums and the table of count classes (at most sqrt(2 N) rows) reach the driver.
 
 Defined results. Null and empty texts are the end token alone. Ids are compared as text; null ids count as training rows.
 Repeated rows count repeatedly. Empty table: empty result. Without training rows every token is of the unseen class.
-Extra columns are left out. Words are told apart by 64-bit hashes.
+Extra columns are left out. Words and longer contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import scratch, textkit
 
-FOLDS, MOST_DISCOUNTED, CHUNK_BYTES, BUCKET_TOKENS = 10, 5, 16 << 20, 1 << 20
+ORDER, FOLDS, MOST_DISCOUNTED, CHUNK_BYTES, BUCKET_TOKENS = 2, 10, 5, 8 << 20, 1 << 19
+#: Bytes of text scanned at once; a chunk keeps only hashes of what was scanned.
+SLICE_BYTES = 1 << 20
 #: Hash of the end token (no word has it but by chance), number of the unseen class, number of the context "begin".
 END_HASH, UNSEEN, BEGIN = 0x5EED0E4D, 0, (1 << 32) - 1
+#: Split contexts are sent to all tasks up to so many rows, and joined by a shuffle beyond.
+MOST_BROADCAST_ROWS = 100_000
 #: What a context gives up where Good-Turing discounts nothing.
 LEAST_REST = 0.5
 
@@ -104,11 +110,60 @@ class Unigrams:
         return np.where(h == BEGIN, self.begins, self.count(np.where(h == BEGIN, 0, h)))
 
 
-def bucket_of(h: np.ndarray, w: np.ndarray, size: np.ndarray, buckets: int, tokens: int) -> np.ndarray:
-    """Bucket of a bigram: by its context, and by its next word too where the context is larger than a bucket."""
-    parts = np.maximum(-(-size // tokens), 1).astype(np.uint64)
-    part = textkit.mix(w.astype(np.uint64) + np.uint64(77)) % parts
-    return (textkit.mix((h.astype(np.uint64) << np.uint64(24)) + part) % np.uint64(buckets)).astype(np.int64)
+#: Low bits of a context's key: the binary logarithm of the buckets it is split over.
+SPLIT = np.uint64(255)
+
+
+def context_keys(w: np.ndarray, sizes: np.ndarray, length: int, uni: Unigrams, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token: the key of the ``length`` words before it, and whether training can have seen all of them."""
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(w)) - np.repeat(begin, sizes)
+    key, known, size = np.zeros(len(w), np.uint64), np.ones(len(w), bool), np.full(len(w), uni.total, np.int64)
+    for back in range(length, 0, -1):
+        h = np.where(place >= back, w[np.maximum(np.arange(len(w)) - back, 0)], BEGIN)
+        key = textkit.mix(key * np.uint64(textkit.BASE) + h.astype(np.uint64)) if length > 1 else h.astype(np.uint64)
+        known &= h != UNSEEN
+        size = np.minimum(size, uni.context_size(h))  # no context is larger than the rarest of its words
+    parts = np.maximum(-(-size // tokens), 1)
+    return (key << np.uint64(8)) | np.ceil(np.log2(parts)).astype(np.uint64), known
+
+
+def bucket_of(key: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    return (textkit.mix(key + part.astype(np.uint64) * np.uint64(textkit.BASE)) % np.uint64(buckets)).astype(np.int64)
+
+
+def part_of(key: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which part of its context an n-gram belongs to, by its last word."""
+    return textkit.mix(w.astype(np.uint64) + np.uint64(77)) & ((np.uint64(1) << (key & SPLIT)) - np.uint64(1))
+
+
+def runs(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by context and word, and where each distinct pair begins in it."""
+    order = np.lexsort((w, key))
+    key, w = key[order], w[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (w[1:] != w[:-1])
+    return order, np.flatnonzero(new)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """Word hashes, words per document, ids and training flags of consecutive documents."""
+    held, size = [], 0
+
+    def joined() -> tuple:
+        hashes, n, docs, train = zip(*held, strict=True)
+        return np.concatenate(hashes), np.concatenate(n), pa.concat_arrays(docs), np.concatenate(train)
+
+    for t in textkit.in_slices(batches, "text", min(chunk_bytes, SLICE_BYTES)):
+        w = textkit.scan(t.column("text"), "space")
+        docs = t.column("doc").combine_chunks()
+        held.append((textkit.hash_words(w), w.counts, docs if isinstance(docs, pa.Array) else pa.concat_arrays(docs.chunks), t.column("train").to_numpy().astype(bool)))
+        size += len(w.data)
+        if size >= chunk_bytes:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
 
 
 def tokens_of(df: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -117,17 +172,13 @@ def tokens_of(df: DataFrame, chunk_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        for k, t in enumerate(textkit.in_slices(batches, "text", chunk_bytes)):
-            w = textkit.scan(t.column("text"), "space")
-            n = w.counts
-            doc = np.repeat(np.arange(len(n)), n)
-            stream = np.full(len(doc) + len(n), END_HASH, np.uint64)
-            stream[np.arange(len(doc)) + doc] = textkit.hash_words(w)
+        for k, (hashes, n, docs, train) in enumerate(chunks(batches, chunk_bytes)):
+            stream = np.full(len(hashes) + len(n), END_HASH, np.uint64)
+            stream[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes
             words, ids = np.unique(stream, return_inverse=True)
-            train = t.column("train").to_numpy().astype(bool)
             seen = np.bincount(ids[np.repeat(train, n + 1)], minlength=len(words))
-            row = [part + k, enc(gaps(words), "<u8"), enc(seen, "<u4"), enc(ids, "<u4"), t.column("doc").to_pylist(), (n + 1).tolist(), train.tolist(), len(stream), len(words), int(train.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(t.schema.field("doc").type), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.int64()], strict=True)], names)
+            row = [part + k, enc(gaps(words), "<u8"), enc(seen, "<u4"), enc(ids, "<u4"), docs.to_pylist(), (n + 1).tolist(), train.tolist(), len(stream), len(words), int(train.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(docs.type), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.int64()], strict=True)], names)
 
     names = ["chunk", "words", "seen", "ids", "docs", "sizes", "train", "n_tokens", "n_words", "n_train"]
     schema = f"chunk long, words binary, seen binary, ids binary, docs array<{kind}>, sizes array<long>, train array<boolean>, n_tokens long, n_words long, n_train long"
@@ -188,155 +239,180 @@ def number_words(tokens: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple
     return asked.groupBy("bucket").cogroup(given.groupBy("b")).applyInArrow(answer, "chunk long, bucket int, numbers binary"), totals
 
 
-def occurrences(tokens: DataFrame, numbers: DataFrame, words_buckets: int, buckets: int, uni: Unigrams, bucket_tokens: int) -> DataFrame:
-    """A row per (chunk, bucket) with its distinct bigrams, training counts and documents; bucket -1: sums by document."""
+def occurrences(tokens: DataFrame, back: DataFrame, level: int, last: bool, words_buckets: int, buckets: int, uni: Unigrams, bucket_tokens: int) -> DataFrame:
+    """A row per (chunk, bucket) with its distinct n-grams of this length, how often training has them, what a shorter context gives
+    them (``low``; not for pairs, where the word says it) and, if it is the longest, their documents. Bucket -1: sums by document.
+
+    ``back`` holds what chunks were sent: numbers of words, and probabilities of the n-grams one shorter.
+    """
     add = uni.total + 0.1 * (uni.types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = left.column("chunk")[0].as_py()
         words = np.cumsum(dec(left.column("words")[0].as_py(), "<u8"), dtype=np.uint64)
         own, number = (words % np.uint64(words_buckets)).astype(np.int64), np.zeros(len(words), np.int64)
-        for k, x in zip(right.column("bucket").to_pylist(), right.column("numbers"), strict=True):
-            number[own == k] = dec(x.as_py(), "<u4")
+        sent = {}
+        for kind, k, x in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("values"), strict=True):
+            if kind:
+                sent[k] = dec(x.as_py(), "<f8")
+            else:
+                number[own == k] = dec(x.as_py(), "<u4")
         w = number[dec(left.column("ids")[0].as_py(), "<u4")]
         sizes, train = np.array(left.column("sizes")[0].as_py(), np.int64), np.array(left.column("train")[0].as_py(), bool)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        h = np.concatenate([[BEGIN], w[:-1]])
-        h[np.cumsum(sizes) - sizes] = BEGIN
-        c = uni.count(w)
-        base = np.bincount(doc, np.log10((c + 0.1) / add), len(sizes))
-        known = np.bincount(doc, c > 0, len(sizes))
-        # A context that training has not seen leaves the unigram probability alone.
-        plain = h == UNSEEN
-        start = np.bincount(doc[plain], np.log10(uni.probability(w[plain])), len(sizes))
-        rows = [[chunk, -1, base.astype("<f8").tobytes(), start.astype("<f8").tobytes(), enc(known, "<u8"), None, None]]
-        h, w, doc = h[~plain], w[~plain], doc[~plain]
-        order = np.lexsort((w, h))
-        h, w, doc = h[order], w[order], doc[order]
-        key = (h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(key)))
-        seen = np.add.reduceat(train[doc].astype(np.int64), new) if len(new) else n
-        ph, pw = h[new], w[new]
-        place = bucket_of(ph, pw, uni.context_size(ph), buckets, bucket_tokens)
+        low = uni.probability(w)
+        if level > 2:
+            key, _ = context_keys(w, sizes, level - 2, uni, bucket_tokens)
+            order, new = runs(key, w)
+            first = order[new]
+            place, value = bucket_of(key[first], part_of(key[first], w[first]), buckets), np.zeros(len(first))
+            for k, x in sent.items():
+                value[place == k] = x
+            low[order] = np.repeat(value, np.diff(np.append(new, len(order))))
+        key, known = context_keys(w, sizes, level - 1, uni, bucket_tokens)
+        rows = []
+        if last:
+            c = uni.count(w)
+            base = np.bincount(doc, np.log10((c + 0.1) / add), len(sizes))
+            # A context that training has not seen leaves the shorter one's probability alone.
+            start = np.bincount(doc[~known], np.log10(low[~known]), len(sizes))
+            rows.append([chunk, -1, base.astype("<f8").tobytes(), start.astype("<f8").tobytes(), enc(np.bincount(doc, c > 0, len(sizes)), "<u8"), None, None, None])
+        at = np.flatnonzero(known) if last else np.arange(len(w))  # the next length asks for every token's value
+        order, new = runs(key[at], w[at])
+        at, n = at[order], np.diff(np.append(new, len(order)))
+        seen = np.add.reduceat(train[doc[at]].astype(np.int64), new) if len(new) else n
+        first = at[new]
+        key, w, low = key[first], w[first], low[first]
+        place = bucket_of(key, part_of(key, w), buckets)
         by = np.argsort(place, kind="stable")
         edges = np.searchsorted(place[by], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             mine = by[edges[k] : edges[k + 1]]
-            each = np.repeat(new[mine] - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(int(n[mine].sum()))
-            rows.append([chunk, k, enc(gaps(ph[mine]), "<u4"), enc(pw[mine], "<u4"), enc(seen[mine], "<u4"), enc(n[mine], "<u4"), enc(doc[each], "<u4")])
-        return _binary_rows(rows, ["chunk", "bucket", "h", "w", "seen", "n", "doc"], [pa.int64(), pa.int32(), *[pa.binary()] * 5])
-
-    numbers = numbers.select(F.col("chunk").alias("to"), "bucket", "numbers")
-    out = tokens.select("chunk", "words", "ids", "sizes", "train").groupBy("chunk").cogroup(numbers.groupBy("to")).applyInArrow(run, "chunk long, bucket int, h binary, w binary, seen binary, n binary, doc binary")
-    return scratch.table(out, "occurrences")
+            row = [chunk, k, enc(gaps(key[mine]), "<u8"), enc(w[mine], "<u4"), enc(seen[mine], "<u4"), enc(low[mine], "<f8") if level > 2 else None, None, None]
+            if last:
+                each = np.repeat(new[mine] - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(int(n[mine].sum()))
+                row[6:] = [enc(n[mine], "<u4"), enc(doc[at[each]], "<u4")]
+            rows.append(row)
+        return _binary_rows(rows, ["chunk", "bucket", "h", "w", "seen", "low", "n", "doc"], [pa.int64(), pa.int32(), *[pa.binary()] * 6])
 
+    return tokens.select("chunk", "words", "ids", "sizes", "train").groupBy("chunk").cogroup(back.groupBy("to")).applyInArrow(run, "chunk long, bucket int, h binary, w binary, seen binary, low binary, n binary, doc binary")
 
-def _pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for h, w in zip(t.column("h"), t.column("w"), strict=True):
-        yield np.cumsum(dec(h.as_py(), "<u4").astype(np.int64)), dec(w.as_py(), "<u4").astype(np.int64)
 
-
-def bigram_counts(occ: DataFrame) -> DataFrame:
-    """The model's table: per bucket the distinct training bigrams (context, word, count), and how many occur 1 .. 6 times."""
+def ngram_counts(occ: DataFrame, uni: Unigrams) -> DataFrame:
+    """The model's table of one length: per bucket the n-grams (context, word, training count, ``low``), how many occur 1 .. 6 times,
+    and for each chunk that asked, which n-grams are its own. Rows of bucket -1 pass through."""
 
     def run(t: pa.Table) -> pa.Table:
-        key = np.concatenate([(h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64) for h, w in _pairs(t)])
-        c = np.concatenate([dec(x.as_py(), "<u4") for x in t.column("seen")])
-        key, at = np.unique(key[c > 0], return_inverse=True)
-        c = np.bincount(at, c[c > 0], len(key)).astype(np.int64)
-        times = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[: MOST_DISCOUNTED + 2]
-        return _binary_rows([[t.column("bucket")[0].as_py(), enc(gaps((key >> np.uint64(32)).astype(np.int64)), "<u4"), enc((key & np.uint64(0xFFFFFFFF)).astype(np.int64), "<u4"), enc(c, "<u4"), times.tolist()]], ["bucket", "ch", "cw", "c", "times"], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())])
-
-    rows = occ.where("bucket >= 0").select("bucket", "h", "w", "seen")
-    return scratch.table(rows.groupBy("bucket").applyInArrow(run, "bucket int, ch binary, cw binary, c binary, times array<long>"), "bigrams")
-
-
-def context_sums(h: np.ndarray, w: np.ndarray, c: np.ndarray, uni: Unigrams, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts, and for each: tokens, discounted tokens, unigram mass of the words seen."""
-    new = np.flatnonzero(np.diff(h, prepend=-1))
+        rows, own = [], t.filter(pc.greater_equal(t.column("bucket"), 0))
+        for r in range(t.num_rows):
+            if t.column("bucket")[r].as_py() < 0:
+                sums = [t.column(k)[r].as_py() for k in ("h", "w", "seen")]
+                rows.append([-1, *sums, None, [t.column("chunk")[r].as_py()], [], [], [], []])
+        if own.num_rows:
+            parts = [(np.cumsum(dec(h.as_py(), "<u8"), dtype=np.uint64), dec(w.as_py(), "<u4"), dec(s.as_py(), "<u4")) for h, w, s in zip(*(own.column(k) for k in ("h", "w", "seen")), strict=True)]
+            key, w, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ends = np.cumsum([len(p[0]) for p in parts])
+            del parts
+            order, new = runs(key, w)
+            c = np.add.reduceat(seen[order].astype(np.int64), new)
+            index = np.empty(len(order), np.int64)
+            index[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+            first = order[new]
+            low = enc(np.concatenate([dec(x.as_py(), "<f8") for x in own.column("low")])[first], "<f8") if own.column("low")[0].is_valid else None
+            times = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[: MOST_DISCOUNTED + 2]
+            asked = [enc(gaps(index[a:b]), "<u4") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            rows.append([own.column("bucket")[0].as_py(), enc(gaps(key[first]), "<u8"), enc(w[first], "<u4"), enc(c, "<u4"), low, own.column("chunk").to_pylist(), asked, own.column("n").to_pylist(), own.column("doc").to_pylist(), times.tolist()])
+        blobs = pa.list_(pa.binary())
+        return _binary_rows(rows, ["bucket", "h", "w", "c", "low", "chunks", "asked", "n", "doc", "times"], [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), blobs, blobs, blobs, pa.list_(pa.int64())])
+
+    # Sums by document of all chunks would meet in one group if -1 were their key.
+    keyed = occ.withColumn("key", F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket")))
+    schema = "bucket int, h binary, w binary, c binary, low binary, chunks array<long>, asked array<binary>, n array<binary>, doc array<binary>, times array<long>"
+    return scratch.table(keyed.groupBy("key").applyInArrow(run, schema), "ngrams")
+
+
+def context_sums(key: np.ndarray, c: np.ndarray, low: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, and for each: tokens, discounted tokens, shorter contexts' mass of the words seen after it."""
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     if not len(new):
-        return h[:0], np.zeros((0, 3))
-    return h[new], np.stack([np.add.reduceat(x, new) for x in (c.astype(float), discounted(c, d), uni.probability(w))], axis=1)
+        return key[:0], np.zeros((0, 3))
+    return key[new], np.stack([np.add.reduceat(x, new) for x in (c.astype(float), discounted(c, d), np.where(c > 0, low, 0))], axis=1)
 
 
 def weights(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts: the size that divides discounted counts, and the backoff weight."""
+    """For contexts: the size that divides discounted counts, and the backoff weight; 1 and 1 where training has none."""
     size = np.where(sums[:, 0] - sums[:, 1] > 1e-9 * sums[:, 0], sums[:, 0], sums[:, 0] + LEAST_REST)
-    return size, (1 - sums[:, 1] / size) / np.maximum(1 - sums[:, 2], 1e-300)
+    alpha = (1 - sums[:, 1] / np.where(size > 0, size, 1)) / np.maximum(1 - sums[:, 2], 1e-300)
+    return np.where(sums[:, 0] > 0, size, 1.0), np.where(sums[:, 0] > 0, alpha, 1.0)
 
 
-def _decoded(ch: bytes, cw: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.cumsum(dec(ch, "<u4").astype(np.int64)), dec(cw, "<u4").astype(np.int64), dec(c, "<u4").astype(np.int64)
+def _decoded(h: bytes, w: bytes, c: bytes, low: bytes | None, uni: Unigrams) -> tuple[np.ndarray, ...]:
+    word = dec(w, "<u4")
+    return np.cumsum(dec(h, "<u8"), dtype=np.uint64), dec(c, "<u4").astype(np.int64), uni.probability(word.astype(np.int64)) if low is None else dec(low, "<f8")
 
 
-def split_contexts(model: DataFrame, uni: Unigrams, d: np.ndarray, buckets: int, bucket_tokens: int) -> DataFrame:
+def split_contexts(model: DataFrame, uni: Unigrams, d: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, h, tokens, used, mass): whole sums of each context that is split, for every bucket with a part of it."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                h, s = context_sums(*_decoded(*(b.column(k)[r].as_py() for k in range(3))), uni, d)
-                big = uni.context_size(h) > bucket_tokens
-                yield pa.RecordBatch.from_arrays([pa.array(h[big]), *(pa.array(s[big, k]) for k in range(3))], ["h", "tokens", "used", "mass"])
+                key, s = context_sums(*_decoded(*(b.column(k)[r].as_py() for k in range(4)), uni), d)
+                big = key & SPLIT > 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[big].view(np.int64)), *(pa.array(s[big, k]) for k in range(3))], ["h", "tokens", "used", "mass"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column(0).to_numpy()
-            n = np.maximum(-(-uni.context_size(h) // bucket_tokens), 1)
-            row = np.repeat(np.arange(len(h)), n)
+            key = b.column(0).to_numpy().view(np.uint64)
+            n = (np.uint64(1) << (key & SPLIT)).astype(np.int64)
+            row = np.repeat(np.arange(len(key)), n)
             part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            bucket = (textkit.mix((h[row].astype(np.uint64) << np.uint64(24)) + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *(c.take(pa.array(row)) for c in b.columns)], ["bucket", "h", "tokens", "used", "mass"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(key[row], part, buckets).astype(np.int32)), *(c.take(pa.array(row)) for c in b.columns)], ["bucket", "h", "tokens", "used", "mass"])
 
-    sums = model.select("ch", "cw", "c").mapInArrow(parts, "h long, tokens double, used double, mass double").groupBy("h").agg(*(F.sum(k).alias(k) for k in ("tokens", "used", "mass")))
+    sums = model.where("bucket >= 0").select("h", "w", "c", "low").mapInArrow(parts, "h long, tokens double, used double, mass double").groupBy("h").agg(*(F.sum(k).alias(k) for k in ("tokens", "used", "mass")))
     return sums.mapInArrow(deal, "bucket int, h long, tokens double, used double, mass double").distinct()
 
 
-def score_bigrams(occ: DataFrame, model: DataFrame, split: DataFrame, uni: Unigrams, d: np.ndarray) -> DataFrame:
-    """(chunk, docs, sums): each bucket's share of the log10 probability of a chunk's documents."""
-    none = lambda kind: F.lit(None).cast(kind)
-    known = model.select(F.col("bucket").alias("b"), "ch", "cw", "c", none("long").alias("big"), *(none("double").alias(k) for k in ("tokens", "used", "mass")))
-    known = known.unionAll(split.select("bucket", none("binary"), none("binary"), none("binary"), "h", "tokens", "used", "mass"))
+def answers(model: DataFrame, split: DataFrame, uni: Unigrams, d: np.ndarray, last: bool) -> DataFrame:
+    """What each bucket sends back. The longest n-grams: (to, docs, sums), its share of the log10 probability of a chunk's documents.
+    Shorter ones: (to, kind, bucket, values), the probability of each n-gram a chunk asked for."""
+    whole = scratch.table(split.groupBy("bucket").agg(F.collect_list(F.struct("h", "tokens", "used", "mass")).alias("whole")), "split")  # a few contexts per bucket
+    few = whole.agg(F.sum(F.size("whole"))).first()[0] or 0
+    known = model.where("bucket >= 0").drop("times").join(F.broadcast(whole) if few <= MOST_BROADCAST_ROWS else whole, "bucket", "left")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, w, c = (np.zeros(0, np.int64) for _ in range(3))
-        for r in range(right.num_rows):
-            if right.column("ch")[r].is_valid:
-                h, w, c = _decoded(*(right.column(k)[r].as_py() for k in ("ch", "cw", "c")))
-        contexts, sums = context_sums(h, w, c, uni, d)
-        whole = right.filter(right.column("big").is_valid())
-        if whole.num_rows:
-            own = whole.column("big").to_numpy()
-            keep = ~np.isin(contexts, own)
-            contexts = np.concatenate([contexts[keep], own])
-            sums = np.concatenate([sums[keep], np.stack([whole.column(k).to_numpy() for k in ("tokens", "used", "mass")], axis=1)])
-            order = np.argsort(contexts)
-            contexts, sums = contexts[order], sums[order]
-        size, alpha = weights(sums)
-        contexts, size, alpha = np.append(contexts, BEGIN + 1), np.append(size, 1.0), np.append(alpha, 1.0)  # the last: contexts never seen
-        key = (h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
-        rows = []
-        for r, (ph, pw) in enumerate(_pairs(left) if left.num_rows else []):
-            at = np.minimum(np.searchsorted(contexts, ph), len(contexts) - 1)
-            at = np.where(contexts[at] == ph, at, len(contexts) - 1)
-            value = np.log10(alpha[at]) + np.log10(uni.probability(pw))
-            if len(key):
-                pk = (ph.astype(np.uint64) << np.uint64(32)) | pw.astype(np.uint64)
-                i = np.minimum(np.searchsorted(key, pk), len(key) - 1)
-                hit = key[i] == pk
-                value[hit] = np.log10(discounted(c[i[hit]], d) / size[at[hit]])
-            n, doc = (dec(left.column(k)[r].as_py(), "<u4") for k in ("n", "doc"))
-            sums_of = np.bincount(doc, np.repeat(value, n))
-            some = np.unique(doc)
-            rows.append([left.column("chunk")[r].as_py(), enc(gaps(some), "<u4"), sums_of[some].astype("<f8").tobytes()])
-        return _binary_rows(rows, ["chunk", "docs", "sums"], [pa.int64(), pa.binary(), pa.binary()])
-
-    return occ.where("bucket >= 0").select("bucket", "chunk", "h", "w", "n", "doc").groupBy("bucket").cogroup(known.groupBy("b")).applyInArrow(run, "chunk long, docs binary, sums binary")
-
-
-def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """Learn from the rows whose id's checksum is no multiple of ``folds`` and score every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {name: b.column(k)[r] for k, name in enumerate(b.schema.names)}
+                key, c, low = _decoded(*(row[k].as_py() for k in ("h", "w", "c", "low")), uni)
+                contexts, sums = context_sums(key, c, low, d)
+                for x in row["whole"].as_py() or []:
+                    at = np.searchsorted(contexts, np.int64(x["h"]).view(np.uint64))
+                    if at < len(contexts) and contexts[at] == np.int64(x["h"]).view(np.uint64):
+                        sums[at] = x["tokens"], x["used"], x["mass"]
+                size, alpha = weights(sums)
+                of = np.searchsorted(contexts, key)
+                value = np.where(c > 0, discounted(c, d) / size[of], alpha[of] * low)
+                if last:
+                    value = np.log10(value)
+                out = []
+                for k, (chunk, asked) in enumerate(zip(row["chunks"].as_py(), row["asked"], strict=True)):
+                    own = value[np.cumsum(dec(asked.as_py(), "<u4").astype(np.int64))]
+                    if last:
+                        n, doc = (dec(row[x][k].as_py(), "<u4") for x in ("n", "doc"))
+                        sums_of, some = np.bincount(doc, np.repeat(own, n)), np.unique(doc)
+                        out.append([chunk, enc(gaps(some), "<u4"), sums_of[some].astype("<f8").tobytes()])
+                    else:
+                        out.append([chunk, 1, row["bucket"].as_py(), enc(own, "<f8")])
+                yield from _binary_rows(out, *((["to", "docs", "sums"], [pa.int64(), pa.binary(), pa.binary()]) if last else (["to", "kind", "bucket", "values"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]))).to_batches()
+
+    return known.mapInArrow(run, "to long, docs binary, sums binary" if last else "to long, kind int, bucket int, values binary")
+
+
+def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """Learn n-grams up to ``order`` (two at least) from the rows whose id's checksum is no multiple of ``folds`` and score every row."""
+    if order < 2:
+        raise ValueError("backoff needs n-grams of two words at least")
     fold = F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % folds
     docs = df.select(F.col(doc_id).alias("doc"), F.coalesce(fold != 0, F.lit(True)).alias("train"), F.col(text).alias("text"))
     tokens = tokens_of(docs, chunk_bytes)
@@ -344,12 +420,19 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
     buckets, words_buckets = (max(1, -(-int(n) // bucket_tokens)) for n in (sums.n_tokens, sums.n_words))
     numbers, classes = number_words(tokens, words_buckets)
     uni = Unigrams(classes, int(sums.n_train))
-    occ = occurrences(tokens, numbers, words_buckets, buckets, uni, bucket_tokens)
-    model = bigram_counts(occ)
-    times = model.select(F.posexplode("times").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
-    d = discounts({int(r.r): int(r.n) for r in times if r.r})
-    parts = score_bigrams(occ, model, split_contexts(model, uni, d, buckets, bucket_tokens), uni, d)
-    parts = parts.unionAll(occ.where("bucket < 0").select("chunk", F.col("seen").alias("docs"), F.concat("h", "w").alias("sums")).withColumn("docs", F.concat(F.lit(b"base"), "docs")))
+    numbers = numbers.select(F.col("chunk").alias("to"), F.lit(0).alias("kind"), "bucket", F.col("numbers").alias("values"))
+    back = numbers
+    for level in range(2, order + 1):
+        last = level == order
+        if order > 2 and level == 2:
+            back = numbers = scratch.table(numbers, "numbers")
+        model = ngram_counts(occurrences(tokens, back, level, last, words_buckets, buckets, uni, bucket_tokens), uni)
+        times = model.where("bucket >= 0").select(F.posexplode("times").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+        d = discounts({int(r.r): int(r.n) for r in times if r.r})
+        found = answers(model, split_contexts(model, uni, d, buckets), uni, d, last)
+        if not last:
+            back = numbers.unionAll(found)
+    base = model.where("bucket < 0").select(F.element_at("chunks", 1).alias("to"), F.concat(F.lit(b"base"), "c").alias("docs"), F.concat("h", "w").alias("sums"))
     schema = f"{doc_id} {docs.schema['doc'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -369,7 +452,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
         kind = left.schema.field("docs").type.value_type
         return pa.table([pa.array(left.column("docs")[0].as_py(), kind), pc.invert(train), pa.array(n), pa.array(known), pa.repeat(uni.total, len(n)), pa.array(base), pa.array(total)], names=[doc_id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return tokens.select("chunk", "docs", "sizes", "train").groupBy("chunk").cogroup(parts.select(F.col("chunk").alias("to"), "docs", "sums").groupBy("to")).applyInArrow(run, schema)
+    return tokens.select("chunk", "docs", "sizes", "train").groupBy("chunk").cogroup(found.unionAll(base).groupBy("to")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

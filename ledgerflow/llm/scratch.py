@@ -37,7 +37,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a new shared Parquet table and read it back: lineage ends at the files."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
+    # Rows may hold megabytes: the writer looks at its memory after a few of them, not after a hundred.
+    writer = df.write.option("compression", "zstd").option("parquet.page.size.row.check.min", "4").option("parquet.block.size", str(32 << 20))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -1,4 +1,5 @@
 import collections
+import functools
 import math
 import re
 import zlib
@@ -69,6 +70,53 @@ def test_scores_match_brute_force(spark, docs, bucket_tokens):
         assert g[:5] == x[:5] and np.allclose(g[5:], x[5:], rtol=1e-9, atol=1e-9)
 
 
+def recursive(docs, order):
+    """Katz models of any length in plain dictionaries: p(w, h) and its recursion."""
+    grams = [collections.Counter() for _ in range(order + 1)]
+    for d, t in docs:
+        if zlib.crc32(str(d).encode()) % 10:
+            w = [*["<s>"] * (order - 1), *tokens(t)]
+            for k in range(1, order + 1):
+                grams[k].update(tuple(w[i - k + 1 : i + 1]) for i in range(order - 1, len(w)))
+    d = [None, *(katz.discounts(collections.Counter(g.values())) for g in grams[1:])]
+    used = lambda k, c: c * (d[k][c] if c < len(d[k]) else 1)
+    size = lambda n, u: n if n - u > 1e-9 * n else n + 0.5
+    n1, u1 = sum(grams[1].values()), sum(used(1, c) for c in grams[1].values())
+    after = collections.defaultdict(dict)
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            after[g[:-1]][g[-1]] = c
+
+    @functools.cache
+    def context(h):
+        seen, k = after[h], len(h) + 1
+        total, u = sum(seen.values()), sum(used(k, c) for c in seen.values())
+        return size(total, u), (1 - u / size(total, u)) / (1 - sum(p(w, h[1:]) for w in seen))
+
+    @functools.cache
+    def p(w, h):
+        if not h:
+            return used(1, grams[1][w,]) / size(n1, u1) if (w,) in grams[1] else 1 - u1 / size(n1, u1)
+        if h not in after:
+            return p(w, h[1:])
+        if w in after[h]:
+            return used(len(h) + 1, after[h][w]) / context(h)[0]
+        return context(h)[1] * p(w, h[1:])
+
+    return p
+
+
+@pytest.mark.parametrize(("order", "bucket_tokens"), [(2, 700), (3, 1 << 20), (3, 700), (4, 900)])
+def test_longer_contexts_match_the_recursion(spark, docs, order, bucket_tokens):
+    p = recursive(docs, order)
+    got = sorted((r.doc_id, r.score) for r in katz.score(spark.createDataFrame(docs, "doc_id long, text string"), order=order, chunk_bytes=60_000, bucket_tokens=bucket_tokens).collect())
+    want = []
+    for d, t in docs:
+        w = [*["<s>"] * (order - 1), *tokens(t)]
+        want.append((d, sum(math.log10(p(w[i], tuple(w[i - order + 1 : i]))) for i in range(order - 1, len(w)))))
+    assert np.allclose(np.array(got), np.array(sorted(want)), rtol=1e-8)
+
+
 def test_model_sums_to_one_and_beats_the_base(docs):
     model = Brute(docs)
     assert abs(sum(model.p1.values()) + model.rest - 1) < 1e-9
