@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import decontaminate, near_copies, packing, quality, scratch
 
-#: Fingerprints of the stage before its links were verified; tests/llm/test_pipeline.py reads it. The stage itself takes two, which
-#: only gather dense groups early: the prefix index of near_copies finds every pair that fingerprints miss.
-FINGERPRINTS = 12
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")

@@ -25,17 +25,18 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(a, component)``: for every vertex that is not its component's smallest.
 
-    Loops and repeated edges are allowed; an empty table gives an empty result. Each round's edges are a written table.
+    Loops and repeated edges are allowed; an empty table gives an empty result. Each round's edges are a written table that
+    replaces the last round's. Every round moves edges to smaller vertices or changes nothing, so the rounds end.
     """
     edges = scratch.table(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").distinct(), "cc")
     previous = None
-    for _ in range(rounds):
-        edges = scratch.table(_star(_star(edges, True), False), "cc")
+    while True:
+        before, edges = edges, scratch.table(_star(_star(edges, True), False), "cc")
+        scratch.drop(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == previous or not state[0]:
             return edges.groupBy("a").agg(F.min("b").alias("component"))
         previous = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,7 +4,7 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
 the sets themselves; fingerprints and shared shingles only say which pairs to verify.
 
 1. Texts with equal sets collapse to one node, so thousands of copies cost one entry.
-2. Candidates of op6: links of five-word SimHash fingerprints, a spanning forest of each group.
+2. Candidates of op6: links of SimHash fingerprints of the sets, found in its Gray-order index, a spanning forest of each group.
 3. Candidates by prefix: in one order of all shingles, common ones last, two sets that are 0.8 similar share one among the
    first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller. No link is without such a pair.
 4. Dense groups: for each shared shingle all its texts are first verified against one of them, in pairs that grow with the
@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ledgerflow.llm import scratch, simhash, textkit
 from ledgerflow.llm.components import components
 
-WORDS, SLICE_BYTES = 5, 2 << 20
+WORDS, SLICE_BYTES = 5, 1 << 20
 #: Texts sampled for the order of shingles, the most shingles held as common, and rounds against one text of each shingle.
 SAMPLE, MOST_COMMON, STARS = 20_000, 200_000, 2
 
@@ -84,9 +84,11 @@ def _sets(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("row_id", F.col(text).alias("text")).mapInArrow(run, "node long, n long, shingles binary")
 
 
-def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a bounded sample of the texts repeats, sorted, and their order by count. Any order gives the same links."""
-    sample = texts.where(F.pmod(F.xxhash64("row_id"), F.lit(max(1, -(-n // SAMPLE)))) == 0)
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a bounded sample of the distinct texts repeats, sorted, and their order by count. Any order gives the same
+    links; this one keeps what many texts share out of the prefixes."""
+    n = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-n // SAMPLE)))) == 0).dropDuplicates(["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in textkit.in_slices(batches, "text", SLICE_BYTES):
@@ -101,20 +103,6 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], rank[order]
 
 
-def postings(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(token, node, n, place): the prefix of each text."""
-    held = texts.sparkSession.sparkContext.broadcast((common, rank))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in textkit.in_slices(batches, "text", SLICE_BYTES):
-            hashes, n = shingle_sets(t.column("text"))
-            at, doc, place = prefixes(hashes, n, *held.value)
-            node = t.column("row_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(node[doc]), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "node", "n", "place"])
-
-    return texts.select("row_id", "text").mapInArrow(run, "token long, node long, n int, place int")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are at least 0.8 similar."""
     side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("shingles").alias(f"{k}_s"))
@@ -149,16 +137,22 @@ def _mixed(shared: DataFrame, joined: DataFrame | None, end) -> DataFrame:
         label = F.coalesce("component", "node")
     labelled = scratch.table(shared.select("token", "node", "n", "place", label.alias("label")), "labelled")
     ends = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), end(F.struct("label", "node")).alias("lead")).where("low < high")
-    return scratch.table(labelled.join(ends.select("token", "lead"), "token"), "mixed")
+    out = scratch.table(labelled.join(ends.select("token", "lead"), "token"), "mixed")
+    scratch.drop(labelled)
+    return out
 
 
-def links(nodes: DataFrame, texts: DataFrame, rounds: int, bits: int) -> DataFrame:
-    """Verified pairs (a, b) with the components of all links. ``nodes(node, fp0 ..)``, ``texts(row_id, text)``."""
-    prefix = scratch.table(postings(texts, *common_shingles(texts, nodes.count())), "postings")
+def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFrame:
+    """(a, component) of all verified links. ``nodes(node, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
+    own = F.col("row_id") == F.col("node")
+    prefix = rows.select("row_id", "n", "prefix").join(nodes.select("node"), own, "left_semi")
+    prefix = scratch.table(prefix.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place"), "postings")
     several = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     shared = scratch.table(prefix.join(several, "token"), "shared")
+    scratch.drop(prefix)
     pairs = scratch.table(fingerprint_links(nodes, rounds, bits), "pairs")
     known = shared.select("node").unionAll(pairs.select(F.col("a").alias("node"))).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = rows.select("row_id", "text")
     sets = scratch.table(_sets(texts.join(known, texts["row_id"] == known["node"], "left_semi")), "sets")
     found, joined = None, None
 
@@ -168,12 +162,15 @@ def links(nodes: DataFrame, texts: DataFrame, rounds: int, bits: int) -> DataFra
         found = more if found is None else found.unionAll(more)
         joined = scratch.table(components(found), "labels")
 
+    previous = shared
     for k in range(STARS):
         mixed = _mixed(shared, joined, F.max if k % 2 else F.min)
+        scratch.drop(previous)
         star = mixed.where("label != lead.label").select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
         add(star.unionAll(pairs) if k == 0 else star)
-        shared = mixed.select("token", "node", "n", "place")
+        previous, shared = mixed, mixed.select("token", "node", "n", "place")
     mixed = _mixed(shared, joined, F.min)
+    scratch.drop(previous)
     small = mixed.where("place < n - ceil(8 * n / 9) + 1").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "label")))
     met = small.join(mixed, "token").where("label != x_label and struct(x_n, x_node) < struct(n, node) and 5 * x_n >= 4 * n and 9 * least(n - place, x_n - x_place) >= 4 * (n + x_n)")
     add(met.select(F.col("node").alias("a"), F.col("x_node").alias("b")))
@@ -184,22 +181,24 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", round
     """The rows of ``df`` that stay when each group of near copies keeps one: the one with the smallest id."""
     names = [f"fp{r}" for r in range(rounds)]
     held = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
-    schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names))])
+    schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names)), StructField("prefix", ArrayType(LongType()))])
+    common = df.sparkSession.sparkContext.broadcast(common_shingles(held))  # at most MOST_COMMON of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in textkit.in_slices(batches, "text", SLICE_BYTES):
             hashes, n = shingle_sets(t.column("text"))
-            fp = simhash.fingerprints_of(t.column("text"), WORDS, rounds=rounds).reshape(-1, rounds).view(np.int64)
+            fps = [simhash.fold(textkit.mix(hashes + np.uint64(r)) if r else hashes, n).view(np.int64) for r in range(rounds)]
             sums = [_sums(textkit.mix(hashes ^ np.uint64(s)), n) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-            for name, v in zip(["n", "s0", "s1", *names], [n.astype(np.int32), *sums, *fp.T], strict=True):
-                t = t.append_column(name, pa.array(np.ascontiguousarray(v)))
-            yield from t.to_batches()
+            at, doc, _ = prefixes(hashes, n, *common.value)
+            ends = np.searchsorted(doc, np.arange(len(n) + 1))
+            for name, v in zip(["n", "s0", "s1", *names], [n.astype(np.int32), *sums, *fps], strict=True):
+                t = t.append_column(name, pa.array(v))
+            yield from t.append_column("prefix", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[at].view(np.int64)))).to_batches()
 
     rows = scratch.table(held.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row_id"))).alias("best")
     classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min(F.struct("row_id", *names)).alias("one")).select("best", F.col("one.row_id").alias("node"), *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
-    texts = rows.select("row_id", "text").join(classes.select("node"), F.col("row_id") == F.col("node"), "left_semi")
-    joined = links(classes.select("node", *names), texts, rounds, bits)
+    joined = links(classes.select("node", *names), rows, rounds, bits)
     kept = classes.join(joined, classes["node"] == joined["a"], "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.row_id")
     back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
     return rows.join(kept, "row_id", "left_semi").select(*back)

@@ -42,4 +42,14 @@ def table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables written by ``table`` that no later result reads."""
+    for t in tables:
+        if t is not None:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -34,7 +34,7 @@ from ledgerflow.llm.components import components
 
 WORDS, BITS, SEED = 3, 3, 42
 BLOCK, FAN_OUT = 16_384, 64
-SLICE_BYTES, PAIRS_AT_ONCE = 2 << 20, 1 << 20
+SLICE_BYTES, PAIRS_AT_ONCE = 1 << 20, 1 << 20
 
 
 def fingerprints_of(column: pa.ChunkedArray, words: int = WORDS, seed: int = SEED, rounds: int = 1) -> np.ndarray:
@@ -54,16 +54,31 @@ def fingerprints_of(column: pa.ChunkedArray, words: int = WORDS, seed: int = SEE
     whole = buffer.tobytes()
     hashes = np.fromiter((xxh64_intdigest(whole[a:b], seed) for a, b in zip(start[at].tolist(), end[last].tolist(), strict=True)), np.uint64, len(at))
     out = np.zeros((len(counts), rounds), np.uint64)
-    some = np.flatnonzero(n)
-    for r in range(rounds if len(some) else 0):
+    for r in range(rounds):
         hashes = textkit.mix(hashes + np.uint64(r)) if r else hashes
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
-        packed = np.packbits(ones * 2 > n[some, None], axis=1)
-        out[some, r] = packed.view(">u8").ravel()
+        out[:, r] = fold(hashes, n)
     return out if rounds > 1 else out[:, 0]
 
 
+#: For each byte, its bits as the bytes of one integer, so that adding integers counts eight bits at once.
+LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(j)) & np.uint64(1)) << np.uint64(8 * j) for j in range(8))
+
+
+def fold(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprint of each text from its ``n`` hashes: the bits set in over half of them; zero without any."""
+    out = np.zeros((len(n), 8), np.uint8)
+    some = np.flatnonzero(n)
+    if len(some):
+        runs = -(-n[some] // 255)  # a lane counts to 255
+        first = np.repeat((np.cumsum(n) - n)[some], runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs))
+        each = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            lanes = np.add.reduceat(LANES[each[:, k]], first).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes, np.cumsum(runs) - runs, axis=0, dtype=np.int64)
+            out[some, k] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little")[:, 0]
+    return out.view("<u8")[:, 0]
+
+
 def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, rounds: int = 1, keep_text: bool = False) -> DataFrame:
     """``df``, without its text unless kept, with the fingerprints as (signed) long columns ``fp0``, ``fp1`` ..."""
     names = [f"fp{r}" for r in range(rounds)]

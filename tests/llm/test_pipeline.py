@@ -1,9 +1,9 @@
 import corpus_pipeline
 import duckdb
-import numpy as np
 import pyarrow as pa
-from ledgerflow.llm import quality, simhash
+from ledgerflow.llm import quality
 from test_decontaminate import brute as leaks_of
+from test_near_copies import brute as stay
 from test_packing import check_layout
 
 
@@ -22,12 +22,8 @@ def test_stages_against_brute_force(spark, sf):
     assert sum(truth[d] == 1 for d in truth if d not in good_ids) <= 1
 
     single = corpus_pipeline.keep_one_copy(spark, good, sf)
-    ids = sorted(good_ids)
-    fps = simhash.fingerprints_of(pa.chunked_array([pa.array([texts[d] for d in ids])]), rounds=corpus_pipeline.FINGERPRINTS)
-    near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 3).any(axis=2)
-    lab = simhash.labels(len(ids), *np.nonzero(near))
     single_ids = {r.doc_id for r in single.collect()}
-    assert single.columns == columns and single_ids == {d for k, d in enumerate(ids) if lab[k] == k}
+    assert single.columns == columns and single_ids == set(stay([(d, texts[d]) for d in good_ids]))
 
     clean = corpus_pipeline.drop_leaks(spark, single, sf)
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
