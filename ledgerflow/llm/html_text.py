@@ -11,8 +11,10 @@ Text in head, scripts, styles, comments and form controls never becomes a block.
 space inside a block becomes one space, blocks are joined by one line break.
 
 Defined results. Null and empty html, and pages without main text: empty text. Broken markup (unclosed or stray tags, cut off
-pages) is read as far as it goes. Repeated rows are extracted alike. Empty table: empty result. Input columns named like
-a result column are replaced.
+pages) is read as far as it goes: a control or head without its end tag ends at the next block tag, an unclosed script, style or
+comment at the page's end. Very long pages are labelled in segments of ``SEGMENT`` blocks that pass the network's state on, so
+memory follows the text alone. Repeated rows are extracted alike. Empty table: empty result. Input columns named like a result
+column, in any case of letters, are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -35,15 +38,21 @@ from ledgerflow.llm import textkit
 #: Fixed values of HTML: elements that begin a block, without end tag, whose content is not text, and that an opening block ends.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = "script|style|noscript|template|textarea|select|button|option|svg|iframe|object|title|head"
+CODE_TAGS = frozenset("script style".split())
+RAW_TAGS = frozenset("script style textarea title iframe".split())
+SILENT_TAGS = frozenset("noscript template select button option svg object head".split())
 ENDED_BY_SAME = frozenset("li dt dd tr td th p option".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT_TAGS})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S | re.I)
+#: A tag ends at the first > outside a quoted value; quotes count only after an equals sign, and only if they are closed.
+TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)>|<[!?/][^>]*>", re.S)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_TAGS}
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS_OF = re.compile(r"[a-z]+")
 
 PATH_DIM, WORD_DIM, EXTRA, HIDDEN = 192, 64, 6, 20
-PAGES_AT_ONCE, TRAINING_PAGES, EPOCHS = 256, 240, 14
+PAGES_AT_ONCE, SEGMENT, TRAINING_PAGES, EPOCHS = 256, 4096, 240, 14
+#: Elements of a block's path, from the innermost, that are features.
+DEPTH = 64
 
 
 class Block:
@@ -53,55 +62,97 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def events(page: str) -> list[tuple[str, str, bool, str]]:
+    """Text before each tag, the tag's name, whether it ends an element, its attributes; the last has no name."""
+    out, at, last = [], 0, page.rfind(">") + 1
+    open_ended: set[str] = set()  # raw elements of which no end tag follows
+    text: list[str] = []
+    while m := TAG.search(page, at, last):
+        text.append(page[at : m.start()])
+        at, name = m.end(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+        if not name:
+            continue
+        out.append(("".join(text), name, bool(m[1]), m[3]))
+        text = []
+        if name in RAW_TAGS and not m[1] and name not in open_ended:
+            end = RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+                out.append(("", name, True, ""))
+            elif name in CODE_TAGS:
+                at = len(page)
+            else:
+                open_ended.add(name)
+    tail = page[at:]
+    cut = tail.rfind("<")
+    out.append(("".join(text) + (tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", tail[cut:]) else tail), "", False, ""))
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    anchors = linked = at = 0
+    anchors = linked = 0
+    found = events(page or "")
+    # Silent elements whose end tag is there, each end matched with the last open one; the others end at a block tag.
+    waiting: dict[str, list[int]] = {}
+    ended: dict[int, int] = {}
+    for k, (_, name, end, _) in enumerate(found):
+        if name in SILENT_TAGS or name in RAW_TAGS:
+            own = waiting.setdefault(name, [])
+            if not end:
+                own.append(k)
+            elif own:
+                ended[own.pop()] = k
+    quiet_to, quiet = -1, False
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(n for _, names in stack for n in names), linked))
+            out.append(Block(text, tuple(n for _, names in stack[-DEPTH:] for n in names), linked))
         parts.clear()
         linked = 0
 
-    page = page or ""
-    # <head> without its end tag would swallow the page; then only its known children are skipped.
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text = entities.unescape(page[at : m.start()])
+    def close(k: int) -> None:
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
+    for k, (raw, name, end, attributes) in enumerate(found):
+        if raw and k > quiet_to and not quiet:
+            text = entities.unescape(raw)
             parts.append(text)
             linked += len(text) if anchors else 0
-        at = m.end()
-        name = (m[3] or "").lower()
-        if m[1] and m[1].lower() == "head" and not m[0].lower().rstrip(" \n\t>").endswith("</head"):
-            at = page.index(">", m.start()) + 1
-            return out + blocks(page[at:])
-        if not name:
+        if k <= quiet_to:
             continue
-        if name == "a":
-            anchors = 0 if m[2] else 1
+        if name in SILENT_TAGS or name in RAW_TAGS:
+            if name == "head":
+                flush()
+            if not end:
+                quiet, quiet_to = k not in ended, ended.get(k, k)
+        elif name == "a":
+            anchors = 0 if end else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCK_TAGS:
+            quiet = False
             flush()
-            if m[2]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+            if end:
+                if opened[name]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name not in VOID_TAGS:
                 if stack and (stack[-1][0] == "p" or (name in ENDED_BY_SAME and stack[-1][0] == name)):
-                    stack.pop()
-                tokens = [name] + [f"{name}.{w}" for g in NAMES.findall(m[4]) for w in WORDS_OF.findall("".join(g).lower())]
+                    close(len(stack) - 1)
+                tokens = [name] + [f"{name}.{w}" for g in NAMES.findall(attributes) for w in WORDS_OF.findall("".join(g).lower())]
                 stack.append((name, tuple(tokens + [t[t.index(".") :] for t in tokens[1:]])))
-    if at < len(page):
-        tail = page[at:]
-        cut = tail.rfind("<")
-        parts.append(entities.unescape(tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", tail[cut:]) else tail))
+                opened[name] += 1
     flush()
     return out
 
@@ -111,16 +162,18 @@ def _path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(sorted({crc32(p.encode()) % PATH_DIM for p in (*path, *(f"^{p}" for p in path[-1:]))}))
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """A row per block."""
-    x = np.zeros((len(page), PATH_DIM + WORD_DIM + EXTRA), np.float32)
-    for i, b in enumerate(page):
+def vectors(page: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """A row per block, from number ``start`` to ``end``; every word of a block counts."""
+    own = page[start:end]
+    x = np.zeros((len(own), PATH_DIM + WORD_DIM + EXTRA), np.float32)
+    w = textkit.scan(pa.array([b.text for b in own], pa.string()), "space")
+    slot = (textkit.hash_words(w) % np.uint64(WORD_DIM)).astype(np.int64)
+    at = np.repeat(np.arange(len(own)), w.counts)
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(at * WORD_DIM + slot, minlength=len(own) * WORD_DIM).reshape(-1, WORD_DIM) / np.maximum(w.counts, 1)[:, None]
+    for i, b in enumerate(own):
         x[i, list(_path_slots(b.path))] = 1
-        words = b.text[:400].lower().split()[:24]  # a feature of the block's start; the text itself is kept whole
-        for w in words:
-            x[i, PATH_DIM + crc32(w.encode()) % WORD_DIM] += 1 / len(words)
-        n = len(b.text)
-        x[i, -EXTRA:] = (min(np.log1p(n), 8) / 8, min(b.linked / n, 1), i / len(page), (len(page) - 1 - i) / len(page), b.text[-1] in ".!?", 1)
+        n, k = len(b.text), start + i
+        x[i, -EXTRA:] = (min(np.log1p(n), 8) / 8, min(b.linked / n, 1), k / len(page), (len(page) - 1 - k) / len(page), b.text[-1] in ".!?", 1)
     return x
 
 
@@ -142,10 +195,11 @@ class Labeller:
         self.p["o"] = rng.normal(0, 0.1, (2 * hidden, 1))
         self.p["oc"] = np.zeros(1)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
         n, t, k = len(x), x.shape[1], self.hidden
         fed = x @ self.p[f"{d}x"] + self.p[f"{d}c"]
-        h, c, out = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, t, k))
+        h, c = state or (np.zeros((n, k)), np.zeros((n, k)))
+        out = np.zeros((n, t, k))
         for s in range(t) if d == "f" else range(t - 1, -1, -1):
             z = fed[:, s] + h @ self.p[f"{d}h"]
             gate, g = _sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
@@ -157,10 +211,21 @@ class Labeller:
                 keep.append((s, h, c, f, i, o, g, tc, m))
             c, h = np.where(m, c_new, c), np.where(m, o * tc, h)
             out[:, s] = h
-        return out
+        return out, (h, c)
+
+    def logits_of_page(self, page: list[Block]) -> np.ndarray:
+        """As ``logits`` of one page, in segments: each direction passes its state on and leaves one number per block."""
+        total = np.full(len(page), self.p["oc"][0], np.float64)
+        for d, weight in (("f", self.p["o"][: self.hidden, 0]), ("b", self.p["o"][self.hidden :, 0])):
+            starts, state = list(range(0, len(page), SEGMENT)), None
+            for lo in starts if d == "f" else reversed(starts):
+                x = vectors(page, lo, lo + SEGMENT)[None]
+                out, state = self._run(x, np.ones(x.shape[:2], bool), d, state=state)
+                total[lo : lo + SEGMENT] += out[0] @ weight
+        return total
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d, None if keep is None else keep.setdefault(d, [])) for d in "fb"], axis=2)
+        both = np.concatenate([self._run(x, mask, d, None if keep is None else keep.setdefault(d, []))[0] for d in "fb"], axis=2)
         if keep is not None:
             keep["both"] = both
         return (both @ self.p["o"])[..., 0] + self.p["oc"]
@@ -284,6 +349,11 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
         if not cut[order[at]]:
             at += 1
             continue
+        if len(cut[order[at]]) > SEGMENT:
+            page = cut[order[at]]
+            out[order[at]] = "\n".join(b.text for b, z in zip(page, model.logits_of_page(page), strict=True) if z > 0)
+            at += 1
+            continue
         to, longest = at + 1, len(cut[order[at]])
         while to < len(order) and to - at < PAGES_AT_ONCE and (to + 1 - at) * len(cut[order[to]]) <= 6000 and len(cut[order[to]]) <= 2 * longest:
             to += 1
@@ -299,11 +369,11 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
 def extract(df: DataFrame, html: str = "html", model: Labeller | None = None) -> DataFrame:
     """``df`` with its html replaced by ``text`` and ``n_chars``, its code points."""
     model = model or trained()
-    rest = [c for c in df.columns if c not in (html, "text", "n_chars")]
+    rest = [c for c in df.columns if c.lower() not in (html.lower(), "text", "n_chars")]
     schema = StructType([*df.select(*rest).schema.fields, StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in textkit.in_slices(batches, html, 2 << 20):
+        for t in textkit.in_slices(batches, html, 1 << 20):
             yield from t.select(rest).append_column("text", pa.array(main_texts(t.column(html).to_pylist(), model), pa.string())).to_batches()
 
     return df.select(*rest, html).mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
