@@ -6,8 +6,8 @@ Unit vectors with cosine >= c are those at most r = sqrt(2 - 2c) apart, so the j
 2. Pivots (a bounded sample) partition the nodes: each belongs to the cell of its nearest pivot.
 3. A node is replicated into every cell that may hold a partner. By the triangle inequality it may not where its distance
    to the pivot exceeds the cell's radius by more than r, nor where the plane between the two pivots is further than r.
-4. Cells join independently. A large cell is cut into blocks of bounded size, and each pair of blocks is one group, so a
-   cell with a third of all rows spreads over many tasks. A group returns, per vector, the number of its links and a
+4. Cells join independently. A large cell is cut into blocks of bounded size, each a row of arrays, and each pair of blocks is
+   compared by itself, so a cell with a third of all rows spreads over many tasks. A pair of blocks returns, per vector, the number of its links and a
    spanning forest, never the pairs. A node's links are counted in its own cell only, so none counts twice.
 
 Nothing is approximate: pivots decide where pairs meet, not whether. Pivots that almost coincide are merged, as the plane between
@@ -33,6 +33,8 @@ from ledgerflow.llm.components import components
 from ledgerflow.llm.simhash import labels
 
 COSINE, CELL, BLOCK, MOST_PIVOTS = 0.95, 4096, 2048, 2048
+#: Rows by cell are sent to all tasks up to so many, and joined by a shuffle beyond.
+MOST_BROADCAST_ROWS = 100_000
 #: Allowance for rounding in distances; it can only add replicas, links are decided by the cosine itself.
 SLACK = 1e-7
 #: Pivots are this far apart at least: a plane's distance is divided by it, which keeps rounding far below SLACK.
@@ -142,26 +144,31 @@ def join(nodes: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
     pivots = choose_pivots(nodes, nodes.count())
     placed = scratch.table(cells(nodes, pivots, kind, radius), "cells")
     homes = placed.select(F.col("home").alias("cell"), "node", "copies", "key", "d")
-    reach = homes.groupBy("cell").agg(F.max("d").alias("reach"), F.count("*").alias("n_home"))  # a row per pivot at most
-    away = placed.select(F.explode("away").alias("to"), "node", "copies", "key").select("to.cell", "node", "copies", "key", "to.d").join(F.broadcast(reach), "cell").where(F.col("d") <= F.col("reach") + radius + SLACK)
+    reach = scratch.table(homes.groupBy("cell").agg(F.max("d").alias("reach"), F.count("*").alias("n_home")), "reach")
+    few = reach.count() <= MOST_BROADCAST_ROWS  # a row per cell: pivots and lengths of vectors without one
+    away = placed.select(F.explode("away").alias("to"), "node", "copies", "key").select("to.cell", "node", "copies", "key", "to.d").join(F.broadcast(reach) if few else reach, "cell").where(F.col("d") <= F.col("reach") + radius + SLACK)
     content = scratch.table(homes.select("cell", "node", "copies", "key").unionAll(away.select("cell", "node", "copies", "key")), "content")
     sizes = reach.join(content.groupBy("cell").agg(F.count("*").alias("n_all")), "cell").select("cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("bi"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("bj"))
-    sizes = F.broadcast(scratch.table(sizes, "sizes"))
+    sizes = scratch.table(sizes, "sizes")
+    sizes = F.broadcast(sizes) if few else sizes
+    # Each block is one row of arrays; pairs of blocks are rows of three numbers, joined to the blocks they name.
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = homes.join(sizes, "cell").select("cell", part("bi").alias("i"), every("bj").alias("j"), "node", "key")
-    right = content.join(sizes, "cell").select(F.col("cell").alias("c"), every("bi").alias("bi_"), part("bj").alias("bj_"), "node", "copies", "key")
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        node, links, other = [], [], []
-        if a.num_rows and b.num_rows:
-            x_node, y_node = a.column("node").to_numpy(), b.column("node").to_numpy()
-            n, p, q = compare(unit(a.column("key").to_pylist(), kind), unit(b.column("key").to_pylist(), kind), x_node, y_node, b.column("copies").to_numpy(), cosine)
-            some = np.flatnonzero(n)
-            node, links, other = np.concatenate([x_node[some], p]), np.concatenate([n[some], np.zeros(len(p), np.int64)]), np.concatenate([x_node[some], q])
-        return pa.table([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], names=["node", "links", "other"])
-
-    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("c", "bi_", "bj_")).applyInArrow(run, "node long, links long, other long")
+    block = lambda rows, n, name, *cols: rows.join(sizes, "cell").groupBy("cell", part(n).alias(name)).agg(F.collect_list(F.struct(*cols)).alias(f"{name}_rows"))
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = sizes.select("cell", "bj", places("bi").alias("i")).select("cell", "i", places("bj").alias("j"))
+    left, right = block(homes, "bi", "i", "node", "key"), block(content, "bj", "j", "node", "copies", "key")
+    met = pairs.join(left, ["cell", "i"]).join(right, ["cell", "j"]).select("i_rows", "j_rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x, y = b.column(0)[r].values, b.column(1)[r].values
+                x_node, y_node = x.field("node").to_numpy(), y.field("node").to_numpy()
+                n, p, q = compare(unit(x.field("key").to_pylist(), kind), unit(y.field("key").to_pylist(), kind), x_node, y_node, y.field("copies").to_numpy(), cosine)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x_node[some], p]), pa.int64()), pa.array(np.concatenate([n[some], np.zeros(len(p), np.int64)]), pa.int64()), pa.array(np.concatenate([x_node[some], q]), pa.int64())], ["node", "links", "other"])
+
+    return met.mapInArrow(run, "node long, links long, other long")
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
