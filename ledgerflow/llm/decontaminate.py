@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from ledgerflow.llm import scratch, textkit
 
-WINDOW, CHUNK_BYTES, WINDOWS_AT_ONCE, CANDIDATES_AT_ONCE = 10, 16 << 20, 100_000, 1 << 20
+WINDOW, CHUNK_BYTES, WINDOWS_AT_ONCE, CANDIDATES_AT_ONCE = 10, 4 << 20, 100_000, 1 << 19
 #: Words: runs of 0-9, a-z and everything above 7F, after A-Z are lower-cased. Fixed value of the contract.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -187,19 +187,28 @@ def hits_of_block(index: DataFrame, q: Queries, within: int | None = None) -> Da
     return postings.groupBy("chunk").cogroup(docs.groupBy("doc_chunk")).applyInArrow(run, out)
 
 
+def in_blocks(test_windows: DataFrame, block: int) -> Iterator[list]:
+    """The windows in lists of at most ``block``: parts by hash, and a part that is larger is cut again by another hash."""
+    todo = [(test_windows, 0)]
+    while todo:
+        part, depth = todo.pop()
+        n = part.count()
+        if n <= block:
+            rows = part.collect()
+            if rows:
+                yield rows
+        else:
+            pieces = -(-n // block)
+            todo += [(part.where(F.pmod(F.xxhash64(F.lit(depth), "words"), F.lit(pieces)) == k), depth + 1) for k in range(pieces)]
+
+
 def search(index: DataFrame, test_windows: DataFrame, within: int | None = None, block: int = WINDOWS_AT_ONCE) -> DataFrame:
     """One row per indexed document: ``doc``, ``n_words``, ``n_hit``, sorted ``items`` and the merged ``spans`` hit."""
     test_windows = scratch.table(test_windows, "windows")
-    blocks = max(1, -(-test_windows.count() // block))
-    hits = None
-    for k in range(blocks):
-        # hash() deals windows evenly, so a block stays within twice the bound that is checked here.
-        rows = test_windows.where(F.pmod(F.hash("words"), F.lit(blocks)) == k).limit(2 * block + 1).collect()
-        if len(rows) > 2 * block:
-            raise ValueError("a block of windows exceeds its bound; lower `block`")
-        if rows:
-            got = hits_of_block(index, Queries(rows), within)
-            hits = got if hits is None else hits.unionAll(got)
+    hits, blocks = None, 0
+    for rows in in_blocks(test_windows, block):
+        got = hits_of_block(index, Queries(rows), within)
+        hits, blocks = got if hits is None else hits.unionAll(got), blocks + 1
     docs = index.where("kind = 'doc'").select("chunk", "doc_no", "doc", "n_words")
     if hits is None:
         return docs.select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
