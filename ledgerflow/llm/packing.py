@@ -8,14 +8,16 @@ window's share, and the place of any token of any queue, then follow from a few
 any order, without loops over windows or messages between tasks. Shares are exact to within the tree's depth in tokens.
 
 Targets may differ from what the queues hold. Then queues run dry at different times: dealing is cut into phases, each
-with the shares of the queues that are left, and a phase is a tree of its own.
+with the shares of the queues that are left, and a phase is a tree of its own. A queue that runs dry within a phase ends with
+it, so there are ``MOST_PHASES`` phases at most and the plan grows with the number of queues alone.
 
 Two passes: tokenise and write the tokens with each document's place in its queue within the task's partition (one table in the
 shared folder, no shuffle); then add each partition's offset in the queue (a sum per partition and source) and cut.
 
 Defined results. Null text is empty, an empty document is its end token alone. Null sources are one queue. Repeated rows are
 packed each for itself. Empty table: no pieces. Extra columns are left out. Only the last sequence is short; readers
-pad it to 1024 unless its length is a power of two. More than ``MOST_SOURCES`` sources are refused: name a coarser column.
+pad it to 1024 unless its length is a power of two. A queue is a source; of more than ``MOST_QUEUES`` sources, those with the same
+hash share a queue. Targets name sources; those of a shared queue add up.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +40,11 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, Str
 
 from ledgerflow.llm import scratch, textkit
 
-LENGTH, END, MOST_SOURCES, SLICE_BYTES = 1024, 0, 10_000, 1 << 20
+LENGTH, END, MOST_QUEUES, MOST_PHASES, SLICE_BYTES = 1024, 0, 10_000, 64, 1 << 20
+#: The query's target for a source is its share of all tokens to this power: small sources are met more often.
+SMOOTHING = 0.7
 #: Offsets of partitions and sources are broadcast up to so many rows, and joined by a shuffle beyond.
 MOST_BROADCAST_ROWS = 200_000
-#: Ids of this vocabulary fit 16 bits, which halves the token table.
-MOST_ID = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -72,69 +76,93 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def id_kind(path: str) -> type:
+    """Integers that hold every id of the vocabulary: 16 bits halve the token table where they suffice."""
+    from tokenizers import Tokenizer
+
+    return np.uint16 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+
 def tokenise(df: DataFrame, doc_id: str, text: str, source: str, path: str) -> DataFrame:
-    """(part, source, doc, before, n, ids): ``before`` counts the source's tokens earlier in this task's partition."""
-    docs = df.select(F.col(doc_id).alias("doc"), F.coalesce(source, F.lit("")).cast("string").alias("source"), F.col(text).alias("text"))
-    schema = StructType([StructField("part", IntegerType()), StructField("source", StringType()), StructField("doc", docs.schema["doc"].dataType), StructField("before", LongType()), StructField("n", LongType()), StructField("ids", BinaryType())])
+    """(part, source, queue, doc, before, n, ids): ``before`` counts the queue's tokens earlier in this task's partition."""
+    docs = df.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
+    many = docs.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
+    docs = docs.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string") if many else F.col("source"))
+    kind = id_kind(path)
+    size_of = np.dtype(kind).itemsize
+    schema = StructType([StructField("queue", StringType()), StructField("part", IntegerType()), StructField("source", StringType()), StructField("doc", docs.schema["doc"].dataType), StructField("before", LongType()), StructField("n", LongType()), StructField("ids", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, given = encoder(path), TaskContext.get().partitionId(), {}
         for t in textkit.in_slices(batches, "text", SLICE_BYTES):
-            ids = [np.array([*encode(x or ""), END], np.uint16).tobytes() for x in t.column("text").to_pylist()]
-            before, sources = [], t.column("source").to_pylist()
-            for s, x in zip(sources, ids, strict=True):
+            ids = [np.array([*encode(x or ""), END], kind).tobytes() for x in t.column("text").to_pylist()]
+            before, queues, sources = [], t.column("queue").to_pylist(), t.column("source").to_pylist()
+            for s, x in zip(queues, ids, strict=True):
                 before.append(given.get(s, 0))
-                given[s] = before[-1] + len(x) // 2
-            size = [len(x) // 2 for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int32()), len(ids)), pa.array(sources, pa.string()), t.column("doc").combine_chunks(), pa.array(before, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], schema.names)
+                given[s] = before[-1] + len(x) // size_of
+            size = [len(x) // size_of for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(queues, pa.string()), pa.repeat(pa.scalar(part, pa.int32()), len(ids)), pa.array(sources, pa.string()), t.column("doc").combine_chunks(), pa.array(before, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], schema.names)
 
     return scratch.table(docs.mapInArrow(run, schema), "tokens")
 
 
+def muldiv(a: np.ndarray, b: int, d: int, more: int = 0) -> np.ndarray:
+    """``(a * b + more) // d`` without overflow, for values below 2**52: a quotient in floating point is mended by the remainder, which
+    wrapping 64-bit products give exactly."""
+    a, b, d, more = (np.asarray(x, np.int64) for x in (a, b, d, more))
+    q = np.atleast_1d(a * (b.astype(np.float64) / d)).astype(np.int64)
+    rest = np.atleast_1d(a) * b + more - q * d
+    return (q + rest // d).reshape(a.shape)
+
+
 class Phase:
-    """Dealing between the same queues with fixed shares: ``sizes`` tokens of each source, all used up at the end."""
+    """Dealing between the same queues with fixed shares: ``sizes`` tokens of each queue, all used up at the end.
+
+    A node of the tree is a range of the sorted names; prefix sums give its tokens.
+    """
 
     def __init__(self, start: int, sizes: dict[str, int], base: dict[str, int]):
         self.start, self.total = start, sum(sizes.values())
-        self.sizes, self.base = sizes, base  # base: the tokens of each source dealt before this phase
-        self.paths: dict[str, list[tuple[bool, int, int]]] = {}  # from the root: (is left, left total, total)
-        self._split(sorted(s for s in sizes if sizes[s]), [])
-
-    def _split(self, names: list[str], path: list) -> None:
-        if len(names) == 1:
-            self.paths[names[0]] = path
-        elif names:
-            half = len(names) // 2
-            left, total = (sum(self.sizes[s] for s in part) for part in (names[:half], names))
-            self._split(names[:half], [*path, (True, left, total)])
-            self._split(names[half:], [*path, (False, left, total)])
-
-    def dealt(self, source: str, h: np.ndarray) -> np.ndarray:
-        """Tokens of a source among the first ``h`` of the phase."""
-        for is_left, left, total in self.paths[source]:
-            given = h * left // total
+        self.sizes, self.base = sizes, base  # base: the tokens of each queue dealt before this phase
+        self.names = sorted(s for s in sizes if sizes[s])
+        self.sums = [0, *accumulate(sizes[s] for s in self.names)]
+
+    def path(self, queue: str) -> list[tuple[bool, int, int]]:
+        """From the root: (is left, tokens of the left half, tokens of both)."""
+        at, lo, hi, out = bisect_left(self.names, queue), 0, len(self.names), []
+        while hi - lo > 1:
+            mid = lo + (hi - lo) // 2
+            out.append((at < mid, self.sums[mid] - self.sums[lo], self.sums[hi] - self.sums[lo]))
+            lo, hi = (lo, mid) if at < mid else (mid, hi)
+        return out
+
+    def dealt(self, queue: str, h: np.ndarray) -> np.ndarray:
+        """Tokens of a queue among the first ``h`` of the phase."""
+        for is_left, left, total in self.path(queue):
+            given = muldiv(h, left, total)
             h = given if is_left else h - given
         return h
 
-    def before(self, source: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Tokens of sources ordered before this one among those from ``lo`` to ``hi``."""
+    def before(self, queue: str, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Tokens of queues ordered before this one among those from ``lo`` to ``hi``."""
         out = lo * 0
-        for is_left, left, total in self.paths[source]:
-            a, b = lo * left // total, hi * left // total
+        for is_left, left, total in self.path(queue):
+            a, b = muldiv(lo, left, total), muldiv(hi, left, total)
             if is_left:
                 lo, hi = a, b
             else:
                 out, lo, hi = out + b - a, lo - a, hi - b
         return out
 
-    def rank(self, source: str, c: np.ndarray) -> np.ndarray:
-        """Place in the phase of the source's token number ``c``."""
-        for is_left, left, total in reversed(self.paths[source]):
-            c = -(-(c + 1) * total // left) - 1 if is_left else c * total // (total - left)
+    def rank(self, queue: str, c: np.ndarray) -> np.ndarray:
+        """Place in the phase of the queue's token number ``c``."""
+        for is_left, left, total in reversed(self.path(queue)):
+            c = muldiv(c + 1, total, left, -1) if is_left else muldiv(c, total, total - left)
         return c
 
 
-def phases(sizes: dict[str, int], targets: dict[str, float] | None = None) -> list[Phase]:
+def phases(sizes: dict[str, int], targets: dict[str, float] | None = None, most: int = MOST_PHASES) -> list[Phase]:
     """Phases that use up all queues; without targets, one phase with the queues' own proportions."""
     left, base, start, out = dict(sizes), dict.fromkeys(sizes, 0), 0, []
     if targets is None:
@@ -143,10 +171,11 @@ def phases(sizes: dict[str, int], targets: dict[str, float] | None = None) -> li
     while any(left.values()):
         active = [s for s in left if left[s] and share[s] > 0] or [s for s in left if left[s]]
         weight = {s: share[s] or 1.0 for s in active}
-        rounds = min(left[s] / weight[s] for s in active)
+        ends = sorted(left[s] / weight[s] for s in active)
+        rounds = ends[-(-len(ends) // max(1, most - len(out))) - 1]
         take = {s: min(left[s], int(round(rounds * weight[s]))) for s in active}
-        for s in active:  # the queue that runs dry first is used up, or a rounding would leave a token of it
-            if left[s] / weight[s] == rounds:
+        for s in active:  # a queue that runs dry is used up, or a rounding would leave a token of it
+            if left[s] / weight[s] <= rounds:
                 take[s] = left[s]
         out.append(Phase(start, take, dict(base)))
         for s, n in take.items():
@@ -156,57 +185,60 @@ def phases(sizes: dict[str, int], targets: dict[str, float] | None = None) -> li
     return out
 
 
-def exact(values: np.ndarray, plan: list[Phase]) -> np.ndarray:
-    """Integers wide enough for the products of ranks and sizes: machine integers, or Python's beyond 2**62."""
-    most = max((p.start + p.total for p in plan), default=0) + LENGTH
-    return values.astype(np.int64 if most * most < 1 << 62 else object)
-
-
-def cut_document(source: str, c0: int, n: int, plan: list[Phase], length: int = LENGTH) -> list[np.ndarray]:
+def cut_document(queue: str, c0: int, n: int, plan: list[Phase], length: int = LENGTH) -> list[np.ndarray]:
     """Pieces of a document whose tokens are ``c0 .. c0+n`` of its queue: start, length, sequence and offset arrays."""
     starts, sizes, sequences, offsets = [], [], [], []
     for p in plan:
-        base = p.base.get(source, 0)
-        lo, hi = max(c0, base), min(c0 + n, base + p.sizes.get(source, 0))
+        base = p.base.get(queue, 0)
+        lo, hi = max(c0, base), min(c0 + n, base + p.sizes.get(queue, 0))
         if lo >= hi:
             continue
-        ends = exact(np.array([lo - base, hi - 1 - base]), plan)
-        first, last = (int(x) for x in (p.rank(source, ends) + p.start) // length)
-        k = exact(np.arange(first, last + 1), plan)
-        edge = np.clip(exact(np.arange(first, last + 2), plan) * length - p.start, 0, p.total)
-        given = p.dealt(source, edge)
+        ends = np.array([lo - base, hi - 1 - base])
+        first, last = (int(x) for x in (p.rank(queue, ends) + p.start) // length)
+        k = np.arange(first, last + 1)
+        edge = np.clip(np.arange(first, last + 2) * length - p.start, 0, p.total)
+        given = p.dealt(queue, edge)
         a, b = np.maximum(given[:-1], lo - base), np.minimum(given[1:], hi - base)
         keep = np.flatnonzero(a < b)
         # Tokens of an earlier phase in the same sequence come first.
         skipped = np.maximum(p.start - k * length, 0)
-        offset = skipped + p.before(source, edge[:-1], edge[1:]) + a - given[:-1]
+        offset = skipped + p.before(queue, edge[:-1], edge[1:]) + a - given[:-1]
         for out, v in zip((starts, sizes, sequences, offsets), (a + base - c0, b - a, k, offset), strict=True):
             out.append(v[keep].astype(np.int64))
     return [np.concatenate(x) for x in (starts, sizes, sequences, offsets)]
 
 
-def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, targets: dict[str, float] | None = None, length: int = LENGTH) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset, source."""
-    tokens = tokenise(df, doc_id, text, source, path or tokenizer_path())
-    sums = scratch.table(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "queues")
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; pack by a coarser column")
-    plan = phases({r.source: int(r.n) for r in totals}, targets)
-    offsets = sums.select(F.col("part").alias("p"), F.col("source").alias("s"), (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"))
+def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, targets: dict[str, float] | None = None, smoothing: float | None = None, length: int = LENGTH) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset, source.
+
+    Windows hold the sources in the proportions of ``targets``, or of their shares to the power ``smoothing``, or of their shares.
+    """
+    path = path or tokenizer_path()
+    kind = id_kind(path)
+    tokens = tokenise(df, doc_id, text, source, path)
+    sums = scratch.table(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queues")
+    sizes = {r.queue: int(r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MOST_QUEUES at most
+    if targets is None and smoothing is not None:
+        targets = {s: n**smoothing for s, n in sizes.items()}
+    elif targets is not None:
+        of_queue = tokens.where(F.col("source").isin(list(targets))).groupBy("queue").agg(F.collect_set("source").alias("own")).collect()
+        targets = {r.queue: sum(targets[s] for s in r.own) for r in of_queue}
+    held = df.sparkSession.sparkContext.broadcast(phases(sizes, targets))  # MOST_PHASES numbers per queue at most
+    offsets = sums.select(F.col("part").alias("p"), F.col("queue").alias("s"), (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     if sums.count() <= MOST_BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    placed = tokens.join(offsets, (F.col("part") == F.col("p")) & (F.col("source") == F.col("s"))).select("doc", "source", "n", (F.col("base") + F.col("before")).alias("at"), "ids")
+    placed = tokens.join(offsets, (F.col("part") == F.col("p")) & (F.col("queue") == F.col("s"))).select("doc", "source", "n", (F.col("base") + F.col("before")).alias("at"), "ids", "queue")
     schema = StructType([StructField(doc_id, placed.schema["doc"].dataType), *(StructField(c, LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), StructField("source", StringType()), StructField("ids", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sources, n, at = (b.column(i).to_pylist() for i in (1, 2, 3))
+            plan = held.value
+            queues, n, at = (b.column(i).to_pylist() for i in (5, 2, 3))
             for lo in range(0, b.num_rows, 500):  # rows at once, which bounds the pieces held
                 cols, which, parts = [[], [], [], []], [], []
                 for r in range(lo, min(lo + 500, b.num_rows)):
-                    ids = np.frombuffer(b.column(4)[r].as_buffer(), np.uint16).astype("<u4").tobytes()
-                    found = cut_document(sources[r], at[r], n[r], plan, length)
+                    ids = np.frombuffer(b.column(4)[r].as_buffer(), kind).astype("<u4").tobytes()
+                    found = cut_document(queues[r], at[r], n[r], plan, length)
                     for c, v in zip(cols, found, strict=True):
                         c.append(v)
                     which.append(np.full(len(found[0]), r))
@@ -220,7 +252,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    pieces = pack(docs)
+    pieces = pack(docs, smoothing=SMOOTHING)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 

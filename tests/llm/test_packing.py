@@ -39,17 +39,23 @@ def test_query_matches_brute_force(spark, sf):
     assert {p.doc_id for p in pieces} == set(ids)
     for p in pieces:
         assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == packing.crc32_of(ids[p.doc_id][p.start : p.start + p.length])
-    share = collections.Counter()
+    size = collections.Counter()
     for d, _, s in rows:
-        share[s] += len(ids[d])
-    total, last = sum(share.values()), max(p.sequence_id for p in pieces)
+        size[s] += len(ids[d])
+    target = {s: n**packing.SMOOTHING for s, n in size.items()}
+    total = sum(target.values())
+    dry = min(n / target[s] for s, n in size.items()) * total  # tokens until the first queue is dry
     mix = collections.defaultdict(collections.Counter)
     for p in pieces:
         mix[p.sequence_id][p.source] += p.length
-    depth = 2 * len(share).bit_length()
-    for k, own in mix.items():
-        if k < last:
-            assert all(abs(own[s] - 1024 * n / total) <= depth for s, n in share.items())
+    depth = 2 * len(size).bit_length()
+    full = [own for k, own in mix.items() if (k + 1) * 1024 < dry]
+    assert full and all(abs(own[s] - 1024 * n / total) <= depth for own in full for s, n in target.items())
+    last = max(mix)
+    for k, own in mix.items():  # later too, queues that are left keep their proportions to each other
+        if k < last - 2 and min(own.values()) > 30:
+            a, b = own.most_common(2)
+            assert abs(a[1] / b[1] - target[a[0]] / target[b[0]]) < 0.35 * target[a[0]] / target[b[0]]
 
 
 def test_tree_matches_a_loop_that_carries_deficits():
@@ -71,10 +77,44 @@ def test_tree_matches_a_loop_that_carries_deficits():
         places = [h for h, (x, _) in enumerate(order) if x == s]
         assert places == p.rank(s, np.arange(n)).tolist()
         assert [sum(h < k for h in places) for k in range(0, total, 50)] == p.dealt(s, np.arange(0, total, 50)).tolist()
-    big = {s: n * 10**10 for s, n in sizes.items()}
+    big = {s: n * 10**11 + 7 for s, n in sizes.items()}
     (q,) = packing.phases(big)
-    assert packing.exact(np.arange(3), [q]).dtype == object
-    assert int(q.rank("b", packing.exact(np.array([big["b"] - 1]), [q]))[0]) < sum(big.values())
+    for s, n in big.items():
+        c = [0, 1, n // 3, n - 1]
+        assert q.dealt(s, q.rank(s, np.array(c))).tolist() == c and q.dealt(s, q.rank(s, np.array(c)) + 1).tolist() == [x + 1 for x in c]
+
+
+def test_products_beyond_64_bits():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        d = int(rng.integers(1, 1 << int(rng.integers(1, 51))))
+        b, a = int(rng.integers(0, d + 1)), rng.integers(0, 1 << 51, 20)
+        for more in (0, -1):
+            assert packing.muldiv(a, b, d, more).tolist() == [(int(x) * b + more) // d for x in a]
+
+
+def test_many_queues_with_targets_need_few_phases():
+    rng = np.random.default_rng(2)
+    sizes = {f"s{k}": int(n) for k, n in enumerate(rng.integers(1, 4000, 500))}
+    plan = packing.phases(sizes, dict.fromkeys(sizes, 1.0), most=8)
+    assert len(plan) <= 8 and sum(p.total for p in plan) == sum(sizes.values())
+    taken = np.zeros(-(-sum(sizes.values()) // 1024) * 1024, int)
+    for s, n in sizes.items():
+        start, size, sequence, offset = packing.cut_document(s, 0, n, plan)
+        assert size.sum() == n and start.tolist() == (np.cumsum(size) - size).tolist()
+        for k, o, m in zip(sequence, offset, size, strict=True):
+            taken[k * 1024 + o : k * 1024 + o + m] += 1
+    assert taken[: sum(sizes.values())].tolist() == [1] * sum(sizes.values())
+
+
+def test_more_sources_than_queues(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", (F.col("doc_id") % 9).cast("string"))
+    rows = packing.pack(docs, targets={"1": 1.0, "2": 2.0}).collect()
+    check_layout(rows)
+    assert {r.source for r in rows} == {str(k) for k in range(9)}
 
 
 def test_targets_and_awkward_rows(spark, awkward, sf):
