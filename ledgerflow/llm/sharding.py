@@ -2,8 +2,9 @@
 
 Pass one scatters the rows uniformly into memory-sized buckets by a seeded hash of their place in the input and writes
 the buckets to the shared folder. Pass two draws one Fisher-Yates permutation per bucket (Spark's seeded ``shuffle`` of the
-bucket's array). A row's place in the whole order is its bucket's offset plus its place in the bucket; dealing that
-order out in turn gives shards whose row counts differ by one at most (law ``rows``).
+array of the bucket's places, so no text is ever gathered) and brings each row to its drawn place. A row's place in the whole
+order is its bucket's offset plus its place in the bucket; dealing that order out in turn gives shards whose row counts differ
+by one at most (law ``rows``).
 
 Only DataFrame functions are used. Hashing the place and not the content keeps buckets even when a third of all rows
 are copies or share a key.
@@ -21,6 +22,20 @@ from pyspark.sql import functions as F
 from ledgerflow.llm import scratch
 
 SHARDS, SEED, BUCKET_BYTES, LEAST_BUCKETS = 16, 20240229, 64 << 20, 64
+#: Bytes that a row counts for besides its own, so that a bucket of tiny rows holds about a million.
+ROW_BYTES = 64
+#: Buckets whose offsets are summed together; sums of such groups come first, so no task sees all buckets.
+GROUP = 1024
+#: Offsets are sent to all tasks up to so many buckets, and joined by a shuffle beyond.
+MOST_BROADCAST_ROWS = 100_000
+
+
+def offsets_of(counts: DataFrame) -> DataFrame:
+    """``counts(bucket, count)`` -> (bucket, base): rows in the buckets before it, summed in two levels."""
+    grouped = counts.withColumn("part", F.floor(F.col("bucket") / GROUP))
+    whole = grouped.groupBy("part").agg(F.sum("count").alias("all"))  # a thousandth of the buckets
+    before = whole.select("part", (F.sum("all").over(W.orderBy("part")) - F.col("all")).alias("before"))
+    return grouped.join(before, "part").select("bucket", (F.col("before") + F.sum("count").over(W.partitionBy("part").orderBy("bucket")) - F.col("count")).alias("base"))
 
 
 def shuffled(df: DataFrame, size: str, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
@@ -28,15 +43,18 @@ def shuffled(df: DataFrame, size: str, seed: int = SEED, bucket_bytes: int = BUC
 
     ``size`` names the column with a row's bytes; buckets hold about ``bucket_bytes`` of them.
     """
-    total = df.agg(F.sum(size)).first()[0] or 0
+    total = df.agg(F.sum(F.col(size) + ROW_BYTES)).first()[0] or 0
     buckets = max(least_buckets, -(-int(total) // bucket_bytes))
     scattered = df.select(F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int").alias("bucket"), F.monotonically_increasing_id().alias("place"), F.struct(*df.columns).alias("row"))
     written = scratch.table(scattered.repartition("bucket"), "scatter")
-    offsets = written.groupBy("bucket").count().select("bucket", (F.sum("count").over(W.orderBy("bucket")) - F.col("count")).alias("base"))
+    offsets = offsets_of(written.groupBy("bucket").count())
     # One row per bucket, in a fixed order inside each task: a task that runs again draws the same numbers.
-    gathered = written.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "row"))).alias("rows")).join(offsets, "bucket").sortWithinPartitions("bucket")
-    drawn = gathered.select("base", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    return drawn.select("base", F.posexplode("rows").alias("pos", "item")).select("item.row.*", (F.col("base") + F.col("pos")).alias("global_slot"))
+    places = written.groupBy("bucket").agg(F.array_sort(F.collect_list("place")).alias("places")).sortWithinPartitions("bucket")
+    drawn = places.select("bucket", F.posexplode(F.shuffle("places", F.lit(seed))).alias("pos", "place"))
+    placed = drawn.join(F.broadcast(offsets) if buckets <= MOST_BROADCAST_ROWS else offsets, "bucket")
+    # The drawn places are written: the shuffle that sorts the rows may read its input twice, and both must see one draw.
+    placed = scratch.table(placed.select("bucket", "place", (F.col("base") + F.col("pos")).alias("global_slot")), "drawn")
+    return written.join(placed, ["bucket", "place"]).select("row.*", "global_slot")
 
 
 def deal(df: DataFrame, size: str, shards: int = SHARDS, **options) -> DataFrame:

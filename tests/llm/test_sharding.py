@@ -29,6 +29,30 @@ def test_order_is_a_seeded_uniform_permutation(spark):
     assert abs(moved - 4000 / 3) < 150  # the mean displacement of a uniform permutation
 
 
+def test_each_bucket_is_the_seeded_permutation_of_its_places(spark, monkeypatch):
+    """The written draw, replayed: in every bucket the places in order of their slots are a permutation that begins at the bucket's offset."""
+    held = []
+    real = sharding.scratch.table
+    monkeypatch.setattr(sharding.scratch, "table", lambda df, *a, **b: held.append(real(df, *a, **b)) or held[-1])
+    monkeypatch.setattr(sharding, "GROUP", 8)
+    df = spark.range(0, 5000, 1, 7).withColumn("size", F.lit(1))
+    out = {r.id: r.global_slot for r in sharding.shuffled(df, "size").collect()}
+    scattered = {r.place: (r.bucket, r.row.id) for r in held[0].collect()}
+    assert sorted(i for _, i in scattered.values()) == list(range(5000))
+    by = collections.defaultdict(list)
+    for r in held[1].collect():
+        assert scattered[r.place][0] == r.bucket and out[scattered[r.place][1]] == r.global_slot
+        by[r.bucket].append((r.global_slot, r.place))
+    base = moved = 0
+    for bucket in sorted(by):
+        slots, places = zip(*sorted(by[bucket]), strict=True)
+        assert list(slots) == list(range(base, base + len(slots)))
+        assert sorted(places) == sorted(p for p, (b, _) in scattered.items() if b == bucket)
+        moved += list(places) != sorted(places)
+        base += len(slots)
+    assert base == 5000 and moved == len(by) == 64
+
+
 def test_awkward_rows_and_copies(spark, awkward, tmp_path):
     sized = awkward.withColumn("size", F.lit(5))
     out = sharding.deal(sized, "size")
