@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerflow.llm.textkit import BASE, mix
 
@@ -117,25 +118,25 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str] = RULES) ->
 def judge(df: DataFrame, url: str = "url", rules: dict[str, str] = RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule``, ``verdict`` and the model's ``score`` of blocking."""
     weights = fit(labelled_urls() if labelled is None else labelled)
-    host, path = host_and_path(F.col(url))
-    taken = ("host", "path", "rule", "verdict", "score")
-    named = df.select(*[c for c in df.columns if c not in taken or c == url], host.alias("_host"), path.alias("_path"))
+    host, path = host_and_path(F.col(f"`{url}`"))
+    taken = {"host", "path", "rule", "verdict", "score"}
+    # The input's own columns travel as one struct, whose names meet no others.
+    kept = [c for c in df.columns if c.lower() not in taken or c == url]
+    named = df.select(F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, p = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_host", "_path"))
+            h, p = b.column(1).to_pylist(), b.column(2).to_pylist()
             yield b.append_column("score", pa.array(score(h, p, weights), pa.float64()))
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*named.schema.fields, StructField("score", DoubleType())])
-    out = named.mapInArrow(scored, schema)
-    rule = matching_rule(F.col("_host"), F.col("_path"), rules)
+    out = named.mapInArrow(scored, StructType([*named.schema.fields, StructField("score", DoubleType())]))
     verdict = F.lit(None).cast("string")
     for name, what in rules.items():
         verdict = F.when(F.col("rule") == name, what).otherwise(verdict)
-    out = out.withColumns({"host": F.col("_host"), "path": F.col("_path"), "rule": rule}).drop("_host", "_path")
-    return out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")))
+    out = out.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
+    out = out.withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")))
+    own = [F.col(f"row.`{c}`") for c in kept if c.lower() not in taken]
+    return out.select(*own, "host", "path", "rule", "verdict", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
