@@ -7,7 +7,7 @@ shingles has a known least Jaccard similarity J with it, and ``band_plan`` takes
 a band with probability 1 - ``MISS`` or more. Pairs that share a band are verified on the words themselves: the share
 of the template's shingles found in the window is exact, so nothing false is reported.
 
-One pass without a shuffle. The template table is bounded (``MOST_TEMPLATES``, checked); tasks receive its bands.
+One pass without a shuffle. Tasks receive the bands of ``MOST_TEMPLATES`` templates at most; more take one pass for each so many.
 
 Defined results. Null, empty and short texts have no match. Words are runs of 0-9, a-z (A-Z lower-cased) and everything above
 7F, so case and punctuation do not matter. Repeated rows are scanned alike; overlapping templates are all reported.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +94,6 @@ class Group:
 
 
 def groups(templates: dict[str, str], contained: float = CONTAINED) -> list[Group]:
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"{len(templates)} templates; at most {MOST_TEMPLATES} are sent to the tasks")
     by: dict[int, dict[str, str]] = defaultdict(dict)
     for name, text in templates.items():
         n = len(words_of(text)) - WORDS + 1
@@ -149,18 +148,20 @@ def scan_texts(column: pa.ChunkedArray, plan: list[Group], contained: float) ->
 def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
     """A row per occurrence of a license: the columns of ``df`` but the text, with ``license``, ``containment`` and the
     words ``start_word`` to ``end_word`` (not included) that the matching shingles span."""
-    plan = groups(TEMPLATES if templates is None else templates, contained)
+    named = list((TEMPLATES if templates is None else templates).items())
+    if len(named) > MOST_TEMPLATES:
+        return reduce(DataFrame.unionAll, [scan(df, text, dict(named[k : k + MOST_TEMPLATES]), contained) for k in range(0, len(named), MOST_TEMPLATES)])
+    plan = groups(dict(named), contained)
     added = [StructField("license", StringType()), StructField("containment", DoubleType()), StructField("start_word", IntegerType()), StructField("end_word", IntegerType())]
-    rest = [c for c in df.columns if c != text and c not in {f.name for f in added}]
+    rest = [c for c in df.columns if c != text and c.lower() not in {f.name for f in added}]
     schema = StructType([*df.select(*rest).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in textkit.in_slices(batches, text, SLICE_BYTES):
             found = scan_texts(t.column(text), plan, contained)
-            rows = t.select(rest).take(pa.array([f[0] for f in found], pa.int64()))
-            for k, (field, kind) in enumerate(zip(added, (pa.string(), pa.float64(), pa.int32(), pa.int32()), strict=True)):
-                rows = rows.append_column(field.name, pa.array([f[k + 1] for f in found], kind))
-            yield from rows.to_batches()
+            at = pa.array([f[0] for f in found], pa.int64())
+            new = [pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
+            yield from pa.table([*t.select(rest).take(at).columns, *new], names=[*rest, *(f.name for f in added)]).to_batches()
 
     return df.select(*rest, text).mapInArrow(run, schema)
 
