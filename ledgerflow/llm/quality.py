@@ -10,7 +10,7 @@ whose minimiser estimates the log odds of label 1, so its logistic value is a pr
 
 A text's features are frequencies of its words' hashed shapes (runs of upper case, lower case, digits, marks) and a few
 rates: repeated words, distinct words, lengths, marks. They need one pass over the bytes. Samples are bounded
-(``MOST_POSITIVES``, ``MOST_UNLABELLED`` rows by smallest hash of the id); every document is scored, whole, without a
+(``MOST_POSITIVES``, ``MOST_UNLABELLED`` distinct rows by smallest hash of id and text); every document is scored, whole, without a
 shuffle, and tasks receive only the weights.
 
 Defined results. Null and empty texts have all-zero features and the score of those. Repeated rows are scored alike.
@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ledgerflow.llm import textkit
 
 SHAPES, RATES = 256, 9
-MOST_POSITIVES, MOST_UNLABELLED, SLICE_BYTES = 6000, 12_000, 4 << 20
+MOST_POSITIVES, MOST_UNLABELLED, SLICE_BYTES = 6000, 12_000, 1 << 20
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -120,6 +120,15 @@ class Model:
         return _sigmoid(((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1])
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Direction of descent of the non-negative risk: where the part for negatives has fallen below zero, it is raised again."""
+    zp, zu = p @ w, u @ w
+    as_positive = -(_sigmoid(-zp) @ p) / len(p)
+    rest = (_sigmoid(zu) @ u) / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
+    negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * as_positive + rest if negative_risk >= 0 else -rest
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, l2: float = 1e-4, steps: int = 400, rate: float = 0.03) -> Model:
     """Estimate the prior on halves of the samples, then minimise the non-negative risk on all of them."""
     d = unlabelled.shape[1] if len(unlabelled) else SHAPES + RATES
@@ -129,23 +138,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, l2: float = 1e-4, steps: i
     one = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
     p, u = one(positive), one(unlabelled)
     decay = np.append(np.full(d, l2), 0)
-    halves = lambda x: (x[::2], x[1::2])
-    (p0, p1), (u0, u1) = halves(p), halves(u)
-
-    def against(w: np.ndarray) -> np.ndarray:
-        return (-(_sigmoid(-(p0 @ w)) @ p0) / len(p0) + (_sigmoid(u0 @ w) @ u0) / len(u0)) / 2 + 10 * decay * w
 
-    w0 = _descend(against, d + 1, steps // 2, rate)
-    prior = estimate_prior(p1 @ w0, u1 @ w0)
+    def against(w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return (-(_sigmoid(-(p @ w)) @ p) / len(p) + (_sigmoid(u @ w) @ u) / len(u)) / 2 + 10 * decay * w
 
-    def non_negative(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        as_positive = -(_sigmoid(-zp) @ p) / len(p)
-        rest = (_sigmoid(zu) @ u) / len(u) - prior * (_sigmoid(zp) @ p) / len(p)
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        return (prior * as_positive + rest if risk >= 0 else -rest) + decay * w
-
-    return Model(mean, scale, _descend(non_negative, d + 1, steps, rate), prior)
+    # Each half of the samples is scored by a model of the other.
+    fitted = [_descend(lambda w, k=k: against(w, p[k::2], u[k::2]), d + 1, steps // 2, rate) for k in (0, 1)]
+    prior = float(np.mean([estimate_prior(p[1 - k :: 2] @ w, u[1 - k :: 2] @ w) for k, w in enumerate(fitted)]))
+    return Model(mean, scale, _descend(lambda w: risk_gradient(w, p, u, prior) + decay * w, d + 1, steps, rate), prior)
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -153,19 +153,22 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def _features(df: DataFrame) -> np.ndarray:
+    """Rows of a sample, in the order of its hashes whatever the partitions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in textkit.in_slices(batches, "text", SLICE_BYTES):
             x = features_of(t.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks() for k in ("h", "th")), pa.array([r.tobytes() for r in x], pa.binary())], ["h", "th", "x"])
 
-    rows = df.select("text").mapInArrow(run, "x binary").collect()
+    rows = sorted(df.select("h", "th", "text").mapInArrow(run, "h long, th long, x binary").collect(), key=lambda r: (r.h, r.th))
     return np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), SHAPES + RATES).astype(np.float64)
 
 
 def _sample(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """Texts of at most ``most`` documents of ``ids``, by smallest hash."""
-    few = ids.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id")
-    return docs.join(F.broadcast(few.distinct()), "doc_id", "left_semi")
+    """At most ``most`` distinct texts of ``ids``, by smallest hash of id and text; rows that repeat both count once."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th")).join(ids.select("doc_id"), "doc_id", "left_semi")
+    few = keyed.select("h", "th").distinct().orderBy("h", "th").limit(most)
+    return keyed.join(F.broadcast(few), ["h", "th"], "left_semi").dropDuplicates(["h", "th"])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> Model:
@@ -179,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, u
 
 def classify(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``score`` and ``predicted``."""
-    df = df.drop("score", "predicted")
+    df = df.drop(*[c for c in df.columns if c.lower() in ("score", "predicted")])
     schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
