@@ -103,11 +103,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], rank[order]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are at least 0.8 similar."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("shingles").alias(f"{k}_s"))
-    sized = pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    met = sized.join(side("b"), "b").join(side("a"), "a").where("5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)").select("a", "b", "a_s", "b_s")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, a_n, b, b_n)`` whose sets are at least 0.8 similar, of sizes that allow it."""
+    fit = pairs.where("a != b and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
+    fit = scratch.table(fit.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    compared = scratch.table(fit.select(F.col("a").alias("node")).unionAll(fit.select(F.col("b").alias("node"))).distinct(), "compared")
+    sets = scratch.table(_sets(texts.join(compared, texts["row_id"] == compared["node"], "left_semi")), "sets")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_s"))
+    met = fit.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_s", "b_s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -117,16 +120,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good[r] = 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in t.columns[:2]], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    out = scratch.table(met.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(fit, compared, sets)
+    return out
 
 
 def fingerprint_links(nodes: DataFrame, rounds: int, bits: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes(node, fp0 ..)`` that span the groups that fingerprints link."""
+    """Pairs (a, b) of ``nodes(node, n, fp0 ..)``, with their sizes, that span the groups that fingerprints link."""
     each = nodes.select("node", F.posexplode(F.array(*[f"fp{r}" for r in range(rounds)])).alias("round", "fp"))
     firsts = scratch.table(each.groupBy("round", "fp").agg(F.min("node").alias("first")), "codes")
     x, y = (firsts.select("round", F.col("fp").alias(k), F.col("first").alias(f"{k}_node")) for k in ("a", "b"))
     edges = simhash.link_edges(firsts.select("round", "fp"), bits).join(x, ["round", "a"]).join(y, ["round", "b"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    return edges.unionAll(each.join(firsts, ["round", "fp"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    edges = scratch.table(edges.unionAll(each.join(firsts, ["round", "fp"]).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "edges")
+    size = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"))
+    return edges.join(size("a"), "a").join(size("b"), "b").select("a", "a_n", "b", "b_n")
 
 
 def _mixed(shared: DataFrame, joined: DataFrame | None, end) -> DataFrame:
@@ -136,29 +143,31 @@ def _mixed(shared: DataFrame, joined: DataFrame | None, end) -> DataFrame:
         shared = shared.join(joined.select(F.col("a").alias("node"), "component"), "node", "left")
         label = F.coalesce("component", "node")
     labelled = scratch.table(shared.select("token", "node", "n", "place", label.alias("label")), "labelled")
-    ends = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), end(F.struct("label", "node")).alias("lead")).where("low < high")
+    ends = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), end(F.struct("label", "node", "n", "place")).alias("lead")).where("low < high")
     out = scratch.table(labelled.join(ends.select("token", "lead"), "token"), "mixed")
     scratch.drop(labelled)
     return out
 
 
+#: The best that two sets can still share from the places on where they share a shingle reaches 0.8.
+REACH = "9 * least(n - place, {0}n - {0}place) >= 4 * (n + {0}n)"
+
+
 def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFrame:
-    """(a, component) of all verified links. ``nodes(node, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
-    own = F.col("row_id") == F.col("node")
-    prefix = rows.select("row_id", "n", "prefix").join(nodes.select("node"), own, "left_semi")
+    """(a, component) of all verified links. ``nodes(node, n, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
+    one = scratch.table(nodes.select("node"), "nodes")
+    prefix = rows.select("row_id", "n", "prefix").join(one, F.col("row_id") == F.col("node"), "left_semi")
     prefix = scratch.table(prefix.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place"), "postings")
     several = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    several = scratch.table(several, "several")
     shared = scratch.table(prefix.join(several, "token"), "shared")
-    scratch.drop(prefix)
-    pairs = scratch.table(fingerprint_links(nodes, rounds, bits), "pairs")
-    known = shared.select("node").unionAll(pairs.select(F.col("a").alias("node"))).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    scratch.drop(prefix, several, one)
     texts = rows.select("row_id", "text")
-    sets = scratch.table(_sets(texts.join(known, texts["row_id"] == known["node"], "left_semi")), "sets")
     found, joined = None, None
 
     def add(more: DataFrame) -> None:
         nonlocal found, joined
-        more = scratch.table(verified(more, sets), "links")
+        more = verified(more, texts)
         found = more if found is None else found.unionAll(more)
         joined = scratch.table(components(found), "labels")
 
@@ -166,14 +175,14 @@ def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFram
     for k in range(STARS):
         mixed = _mixed(shared, joined, F.max if k % 2 else F.min)
         scratch.drop(previous)
-        star = mixed.where("label != lead.label").select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-        add(star.unionAll(pairs) if k == 0 else star)
+        star = mixed.where("label != lead.label").where(REACH.format("lead.")).select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("lead.node").alias("b"), F.col("lead.n").alias("b_n"))
+        add(star.unionAll(fingerprint_links(nodes, rounds, bits)) if k == 0 else star)
         previous, shared = mixed, mixed.select("token", "node", "n", "place")
     mixed = _mixed(shared, joined, F.min)
     scratch.drop(previous)
     small = mixed.where("place < n - ceil(8 * n / 9) + 1").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "label")))
-    met = small.join(mixed, "token").where("label != x_label and struct(x_n, x_node) < struct(n, node) and 5 * x_n >= 4 * n and 9 * least(n - place, x_n - x_place) >= 4 * (n + x_n)")
-    add(met.select(F.col("node").alias("a"), F.col("x_node").alias("b")))
+    met = small.join(mixed, "token").where("label != x_label and struct(x_n, x_node) < struct(n, node)").where(REACH.format("x_"))
+    add(met.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("x_node").alias("b"), F.col("x_n").alias("b_n")))
     return joined
 
 
@@ -197,8 +206,9 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", round
 
     rows = scratch.table(held.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row_id"))).alias("best")
-    classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min(F.struct("row_id", *names)).alias("one")).select("best", F.col("one.row_id").alias("node"), *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
-    joined = links(classes.select("node", *names), rows, rounds, bits)
+    classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min(F.struct("row_id", *names)).alias("one")).select("best", "n", F.col("one.row_id").alias("node"), *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
+    joined = links(classes.select("node", "n", *names), rows, rounds, bits)
     kept = classes.join(joined, classes["node"] == joined["a"], "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.row_id")
+    kept = scratch.table(kept, "kept")  # its size is known when the texts are joined, and they need not move if it is small
     back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
     return rows.join(kept, "row_id", "left_semi").select(*back)
