@@ -164,11 +164,13 @@ def _features(df: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), SHAPES + RATES).astype(np.float64)
 
 
-def _sample(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` distinct texts of ``ids``, by smallest hash of id and text; rows that repeat both count once."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th")).join(ids.select("doc_id"), "doc_id", "left_semi")
-    few = keyed.select("h", "th").distinct().orderBy("h", "th").limit(most)
-    return keyed.join(F.broadcast(few), ["h", "th"], "left_semi").dropDuplicates(["h", "th"])
+def _sample(docs: DataFrame, ids: DataFrame | None, most: int) -> DataFrame:
+    """At most ``most`` distinct texts of ``ids`` (None: of all), by smallest hash of id and text; rows that repeat both count once."""
+    hashes = [F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th")]
+    keys = docs.select("doc_id", *hashes)
+    keys = keys if ids is None else keys.join(ids.select("doc_id"), "doc_id", "left_semi")
+    few = keys.select("h", "th").distinct().orderBy("h", "th").limit(most)  # texts do not move but those of the sample
+    return docs.select("text", *hashes).join(F.broadcast(few), ["h", "th"], "left_semi").dropDuplicates(["h", "th"])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> Model:
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, u
     seen = ~held_out(F.col("doc_id"))
     trusted = labels.where(seen & (F.col("quality") == 1)).select("doc_id").distinct()
     p = _features(_sample(docs, trusted, positives))
-    u = _features(_sample(docs, docs.where(seen).select("doc_id").distinct(), unlabelled))
+    u = _features(_sample(docs.where(seen), None, unlabelled))
     return fit(p, u)
 
 
