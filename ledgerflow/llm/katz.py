@@ -189,7 +189,7 @@ def _binary_rows(rows: list[list], names: list[str], kinds: list[pa.DataType]) -
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def number_words(tokens: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+def number_words(tokens: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[int, int]], DataFrame]:
     """(chunk, bucket, numbers): the number of each of a chunk's words of that bucket, in hash order; and count classes."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,43 +200,41 @@ def number_words(tokens: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple
                 rows = [[b.column(0)[r].as_py(), k, enc(gaps(words[own == k]), "<u8"), enc(seen[own == k], "<u4")] for k in np.unique(own).tolist()]
                 yield from _binary_rows(rows, ["chunk", "bucket", "words", "seen"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]).to_batches()
 
-    asked = tokens.select("chunk", "words", "seen").mapInArrow(ask, "chunk long, bucket int, words binary, seen binary")
-
     def count(t: pa.Table) -> pa.Table:
-        words = np.concatenate([np.cumsum(dec(x.as_py(), "<u8"), dtype=np.uint64) for x in t.column("words")])
-        words, at = np.unique(words, return_inverse=True)
+        asks = [np.cumsum(dec(x.as_py(), "<u8"), dtype=np.uint64) for x in t.column("words")]
+        words, at = np.unique(np.concatenate(asks), return_inverse=True)
         c = np.bincount(at, np.concatenate([dec(x.as_py(), "<u4") for x in t.column("seen")]), len(words)).astype(np.int64)
         classes, sizes = np.unique(c[c > 0], return_counts=True)
-        row = [t.column("bucket")[0].as_py(), enc(gaps(words), "<u8"), enc(c, "<u8"), classes.tolist(), sizes.tolist()]
-        return _binary_rows([row], ["bucket", "words", "counts", "classes", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())])
+        asked = [enc(gaps(x), "<u4") for x in np.split(at, np.cumsum([len(x) for x in asks])[:-1])]
+        row = [t.column("bucket")[0].as_py(), enc(gaps(words), "<u8"), enc(c, "<u8"), classes.tolist(), sizes.tolist(), t.column("chunk").to_pylist(), asked]
+        return _binary_rows([row], ["bucket", "words", "counts", "classes", "sizes", "chunks", "asked"], [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())])
 
-    words = scratch.table(asked.groupBy("bucket").applyInArrow(count, "bucket int, words binary, counts binary, classes array<long>, sizes array<long>"), "words")
+    asked = tokens.select("chunk", "words", "seen").mapInArrow(ask, "chunk long, bucket int, words binary, seen binary")
+    words = scratch.table(asked.groupBy("bucket").applyInArrow(count, "bucket int, words binary, counts binary, classes array<long>, sizes array<long>, chunks array<long>, asked array<binary>"), "words")
     per = words.select("bucket", F.explode(F.arrays_zip("classes", "sizes")).alias("x")).select("bucket", F.col("x.classes").alias("c"), F.col("x.sizes").alias("n"))
     totals = [(int(r.c), int(r.n)) for r in per.groupBy("c").agg(F.sum("n").alias("n")).collect()]  # at most sqrt(2 N) rows
     after = np.cumsum([0] + [n for _, n in sorted(totals, reverse=True)])
     first = {c: 1 + int(a) for (c, _), a in zip(sorted(totals, reverse=True), after, strict=False)}
-    spark = tokens.sparkSession
-    firsts = spark.createDataFrame(list(first.items()), "c long, first long")
+    firsts = tokens.sparkSession.createDataFrame(list(first.items()), "c long, first long")
     starts = per.join(firsts, "c").select("bucket", "c", (F.col("first") + F.sum("n").over(W.partitionBy("c").orderBy("bucket")) - F.col("n")).alias("start"))
-    given = words.select("bucket", "words", "counts").join(starts.groupBy("bucket").agg(F.collect_list(F.struct("c", "start")).alias("starts")), "bucket", "left")
-    given = given.select(F.col("bucket").alias("b"), F.col("words").alias("all_words"), "counts", F.col("starts.c").alias("cs"), F.col("starts.start").alias("at"))
-
-    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
-        words, c = np.cumsum(dec(known.column("all_words")[0].as_py(), "<u8"), dtype=np.uint64), dec(known.column("counts")[0].as_py(), "<u8").astype(np.int64)
-        start = dict(zip(known.column("cs")[0].as_py() or [], known.column("at")[0].as_py() or [], strict=True))
-        numbers = np.zeros(len(words), np.int64)
-        order = np.argsort(c, kind="stable")
-        bounds = np.flatnonzero(np.diff(c[order], prepend=-1))
-        for lo, hi in zip(bounds, [*bounds[1:], len(c)], strict=True):
-            if c[order[lo]]:
-                numbers[order[lo:hi]] = start[int(c[order[lo]])] + np.arange(hi - lo)
-        rows = []
-        for chunk, x in zip(asks.column("chunk").to_pylist(), asks.column("words"), strict=True):
-            own = np.cumsum(dec(x.as_py(), "<u8"), dtype=np.uint64)
-            rows.append([chunk, asks.column("bucket")[0].as_py(), enc(numbers[np.searchsorted(words, own)], "<u4")])
-        return _binary_rows(rows, ["chunk", "bucket", "numbers"], [pa.int64(), pa.int32(), pa.binary()])
+    starts = scratch.table(starts.groupBy("bucket").agg(F.collect_list(F.struct("c", "start")).alias("starts")), "starts")  # read with its size known
+    given = words.select("bucket", "counts", "chunks", "asked").join(starts, "bucket", "left").select("bucket", "counts", "chunks", "asked", F.col("starts.c").alias("cs"), F.col("starts.start").alias("at"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                c = dec(b.column(1)[r].as_py(), "<u8").astype(np.int64)
+                start = dict(zip(b.column(4)[r].as_py() or [], b.column(5)[r].as_py() or [], strict=True))
+                numbers = np.zeros(len(c), np.int64)
+                order = np.argsort(c, kind="stable")
+                bounds = np.flatnonzero(np.diff(c[order], prepend=-1))
+                for lo, hi in zip(bounds, [*bounds[1:], len(c)], strict=True):
+                    if c[order[lo]]:
+                        numbers[order[lo:hi]] = start[int(c[order[lo]])] + np.arange(hi - lo)
+                rows = [[chunk, b.column(0)[r].as_py(), enc(numbers[np.cumsum(dec(x.as_py(), "<u4").astype(np.int64))], "<u4")] for chunk, x in zip(b.column(2)[r].as_py(), b.column(3)[r], strict=True)]
+                yield from _binary_rows(rows, ["chunk", "bucket", "numbers"], [pa.int64(), pa.int32(), pa.binary()]).to_batches()
 
-    return asked.groupBy("bucket").cogroup(given.groupBy("b")).applyInArrow(answer, "chunk long, bucket int, numbers binary"), totals
+    return given.mapInArrow(answer, "chunk long, bucket int, numbers binary"), totals, words
 
 
 def occurrences(tokens: DataFrame, back: DataFrame, level: int, last: bool, words_buckets: int, buckets: int, uni: Unigrams, bucket_tokens: int) -> DataFrame:
@@ -418,7 +416,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
     tokens = tokens_of(docs, chunk_bytes)
     sums = tokens.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_words", "n_train"))).first()
     buckets, words_buckets = (max(1, -(-int(n) // bucket_tokens)) for n in (sums.n_tokens, sums.n_words))
-    numbers, classes = number_words(tokens, words_buckets)
+    numbers, classes, words = number_words(tokens, words_buckets)
     uni = Unigrams(classes, int(sums.n_train))
     numbers = numbers.select(F.col("chunk").alias("to"), F.lit(0).alias("kind"), "bucket", F.col("numbers").alias("values"))
     back = numbers
@@ -432,6 +430,9 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
         found = answers(model, split_contexts(model, uni, d, buckets), uni, d, last)
         if not last:
             back = numbers.unionAll(found)
+    heads = scratch.table(tokens.select("chunk", "docs", "sizes", "train"), "documents")
+    if order == 2:  # nothing later reads words or tokens
+        scratch.drop(tokens, words)
     base = model.where("bucket < 0").select(F.element_at("chunks", 1).alias("to"), F.concat(F.lit(b"base"), "c").alias("docs"), F.concat("h", "w").alias("sums"))
     schema = f"{doc_id} {docs.schema['doc'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -452,7 +453,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int
         kind = left.schema.field("docs").type.value_type
         return pa.table([pa.array(left.column("docs")[0].as_py(), kind), pc.invert(train), pa.array(n), pa.array(known), pa.repeat(uni.total, len(n)), pa.array(base), pa.array(total)], names=[doc_id, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return tokens.select("chunk", "docs", "sizes", "train").groupBy("chunk").cogroup(found.unionAll(base).groupBy("to")).applyInArrow(run, schema)
+    return heads.groupBy("chunk").cogroup(found.unionAll(base).groupBy("to")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
