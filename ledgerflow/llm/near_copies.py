@@ -6,10 +6,16 @@ the sets themselves; fingerprints and shared shingles only say which pairs to ve
 1. Texts with equal sets collapse to one node, so thousands of copies cost one entry.
 2. Candidates of op6: links of SimHash fingerprints of the sets, found in its Gray-order index, a spanning forest of each group.
 3. Candidates by prefix: in one order of all shingles, common ones last, two sets that are 0.8 similar share one among the
-   first n - ceil(0.8 n) + 1 of the larger and n - ceil(8/9 n) + 1 of the smaller. No link is without such a pair.
-4. Dense groups: for each shared shingle all its texts are first verified against one of them, in pairs that grow with the
-   number of texts. Components of those links come next, and pairs are made only between texts still in different ones.
-   A pair left out joins two texts that verified links have joined already, so the components are those of all links.
+   first n - ceil(0.8 n) + 1 of each. All texts that share such a shingle are verified against one of them, its lead, so the
+   pairs grow with the number of texts and never with the square of a group.
+4. Rounds: components of the verified links come next, and only shingles whose texts still lie in different ones go on, with
+   another lead. In the first round all shingles of a group lead to its first text, later each shingle draws its own lead, so
+   a text meets as many others as its prefix has shingles.
+5. The rest: shingles whose texts still lie in different components. Pairs of a few texts are rows; of more, blocks of texts are
+   compared by their signatures (64 bytes: the parity of the shingles with each of 512 hash values). Signatures differ in no more
+   places than the sets do, so no similar pair is passed over; only pairs that may be similar become rows and are verified.
+
+So no link is lost: the components are those of all verified links.
 
 Shingles are told apart by 64-bit hashes. Defined results. Texts without words are copies of each other. Fewer words than a
 shingle: the whole sequence is one shingle. Empty table: empty result.
@@ -23,14 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ledgerflow.llm import scratch, simhash, textkit
 from ledgerflow.llm.components import components
 
 WORDS, SLICE_BYTES = 5, 1 << 20
-#: Texts sampled for the order of shingles, the most shingles held as common, and rounds against one text of each shingle.
+#: Texts sampled for the order of shingles, the most shingles held as common, and rounds against a lead of each shingle.
 SAMPLE, MOST_COMMON, STARS = 20_000, 200_000, 2
+#: Texts of a shingle whose signatures are compared as one block, and pairs compared at once.
+BLOCK, PAIRS_AT_ONCE = 512, 1 << 16
+#: Texts of a shingle up to which its pairs are rows: a fixed multiple of the texts.
+FEW = 16
 
 
 def shingle_sets(column: pa.ChunkedArray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +69,14 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (total[end] - total[end - n]).view(np.int64)
 
 
+def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """512 parity bits of each text as eight integers: a shingle turns the bit that its hash names."""
+    out = np.zeros((len(n), 8), np.uint64)
+    mixed = textkit.mix(hashes + np.uint64(0x5151))
+    np.bitwise_xor.at(out.reshape(-1), np.repeat(np.arange(len(n)), n) * 8 + ((mixed >> np.uint64(6)) & np.uint64(7)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
+    return out
+
+
 def prefixes(hashes: np.ndarray, n: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index in ``hashes``, text, place) of the shingles that a text is met by; ``common`` is sorted, ``rank`` is its order."""
     doc = np.repeat(np.arange(len(n)), n)
@@ -136,25 +154,26 @@ def fingerprint_links(nodes: DataFrame, rounds: int, bits: int) -> DataFrame:
     return edges.join(size("a"), "a").join(size("b"), "b").select("a", "a_n", "b", "b_n")
 
 
-def _mixed(shared: DataFrame, joined: DataFrame | None, end) -> DataFrame:
+def _mixed(shared: DataFrame, joined: DataFrame | None, k: int) -> DataFrame:
     """``shared`` with each text's label, without shingles whose texts all have one, and with the shingle's text ``lead``."""
     label: Column = F.col("node")
     if joined is not None:
         shared = shared.join(joined.select(F.col("a").alias("node"), "component"), "node", "left")
         label = F.coalesce("component", "node")
     labelled = scratch.table(shared.select("token", "node", "n", "place", label.alias("label")), "labelled")
-    ends = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), end(F.struct("label", "node", "n", "place")).alias("lead")).where("low < high")
+    first = F.xxhash64("token", "node", F.lit(k)) if k else F.col("label")
+    ends = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(first.alias("first"), "label", "node", "n", "place")).alias("lead")).where("low < high")
     out = scratch.table(labelled.join(ends.select("token", "lead"), "token"), "mixed")
     scratch.drop(labelled)
     return out
 
 
 #: The best that two sets can still share from the places on where they share a shingle reaches 0.8.
-REACH = "9 * least(n - place, {0}n - {0}place) >= 4 * (n + {0}n)"
+REACH = "9 * least(n - place, lead.n - lead.place) >= 4 * (n + lead.n)"
 
 
 def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFrame:
-    """(a, component) of all verified links. ``nodes(node, n, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
+    """(a, component) of all verified links. ``nodes(node, n, signature, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
     one = scratch.table(nodes.select("node"), "nodes")
     prefix = rows.select("row_id", "n", "prefix").join(one, F.col("row_id") == F.col("node"), "left_semi")
     prefix = scratch.table(prefix.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place"), "postings")
@@ -173,24 +192,60 @@ def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFram
 
     previous = shared
     for k in range(STARS):
-        mixed = _mixed(shared, joined, F.max if k % 2 else F.min)
+        mixed = _mixed(shared, joined, k)
         scratch.drop(previous)
-        star = mixed.where("label != lead.label").where(REACH.format("lead.")).select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("lead.node").alias("b"), F.col("lead.n").alias("b_n"))
+        star = mixed.where("label != lead.label").where(REACH).select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("lead.node").alias("b"), F.col("lead.n").alias("b_n"))
         add(star.unionAll(fingerprint_links(nodes, rounds, bits)) if k == 0 else star)
         previous, shared = mixed, mixed.select("token", "node", "n", "place")
-    mixed = _mixed(shared, joined, F.min)
+    mixed = _mixed(shared, joined, 0)
     scratch.drop(previous)
-    small = mixed.where("place < n - ceil(8 * n / 9) + 1").select("token", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "label")))
-    met = small.join(mixed, "token").where("label != x_label and struct(x_n, x_node) < struct(n, node)").where(REACH.format("x_"))
-    add(met.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("x_node").alias("b"), F.col("x_n").alias("b_n")))
+    add(rest_pairs(mixed, nodes))
     return joined
 
 
+def rest_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, a_n, b, b_n): pairs under one shingle with different labels that their sizes, places and signatures allow to be similar."""
+    sizes = scratch.table(mixed.groupBy("token").agg(F.count("*").alias("size")), "sizes")
+    held = mixed.select("token", "node", "n", "place", "label").join(sizes, "token")
+    few, many = held.where(F.col("size") <= FEW), held.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    lead = few.select("token", F.struct("node", "n", "place", "label").alias("lead"))
+    plain = few.join(lead, "token").where("label != lead.label and node < lead.node and 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)").where(REACH).select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("lead.node").alias("b"), F.col("lead.n").alias("b_n"))
+    held = many.join(nodes.select("node", "signature"), "node")
+    part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = held.groupBy("token", "blocks", part.alias("i")).agg(F.collect_list(F.struct("node", "n", "place", "label", "signature")).alias("x"))
+    rows = scratch.table(rows, "blocks")
+    other = rows.where("blocks > 1").select("token", F.col("i").alias("j"), F.col("x").alias("y"))
+    inside = rows.select("x", F.lit(None).cast(rows.schema["x"].dataType).alias("y"))
+    between = rows.where("blocks > 1").join(other, "token").where("i < j").select("x", "y")
+
+    def arrays(v: pa.StructArray) -> list[np.ndarray]:
+        return [*(v.field(c).to_numpy() for c in ("node", "n", "place", "label")), np.frombuffer(b"".join(v.field("signature").to_pylist()), np.uint64).reshape(-1, 8)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x = arrays(b.column(0)[r].values)
+                y = arrays(b.column(1)[r].values) if b.column(1)[r].is_valid else x
+                step = max(1, PAIRS_AT_ONCE // len(y[0]))
+                for lo in range(0, len(x[0]), step):
+                    node, n, place, label, sign = (v[lo : lo + step, None] for v in x)
+                    both = n + y[1]
+                    good = (label != y[3]) & (5 * np.minimum(n, y[1]) >= 4 * np.maximum(n, y[1])) & (9 * np.minimum(n - place, y[1] - y[2]) >= 4 * both)
+                    if y is x:
+                        good &= node < y[0]
+                    i, j = np.nonzero(good)
+                    close = 9 * np.bitwise_count(sign[i, 0] ^ y[4][j]).sum(axis=1, dtype=np.int64) <= both[i, j]
+                    i, j = i[close], j[close]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[0][lo + i], x[1][lo + i].astype(np.int32), y[0][j], y[1][j].astype(np.int32))], ["a", "a_n", "b", "b_n"])
+
+    return plain.unionAll(inside.unionAll(between).mapInArrow(run, "a long, a_n int, b long, b_n int"))
+
+
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2, bits: int = simhash.BITS) -> DataFrame:
     """The rows of ``df`` that stay when each group of near copies keeps one: the one with the smallest id."""
     names = [f"fp{r}" for r in range(rounds)]
     held = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
-    schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names)), StructField("prefix", ArrayType(LongType()))])
+    schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names)), StructField("signature", BinaryType()), StructField("prefix", ArrayType(LongType()))])
     common = df.sparkSession.sparkContext.broadcast(common_shingles(held))  # at most MOST_COMMON of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +257,13 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", round
             ends = np.searchsorted(doc, np.arange(len(n) + 1))
             for name, v in zip(["n", "s0", "s1", *names], [n.astype(np.int32), *sums, *fps], strict=True):
                 t = t.append_column(name, pa.array(v))
+            t = t.append_column("signature", pa.array([v.tobytes() for v in signatures(hashes, n)], pa.binary()))
             yield from t.append_column("prefix", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[at].view(np.int64)))).to_batches()
 
     rows = scratch.table(held.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row_id"))).alias("best")
-    classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min(F.struct("row_id", *names)).alias("one")).select("best", "n", F.col("one.row_id").alias("node"), *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
-    joined = links(classes.select("node", "n", *names), rows, rounds, bits)
+    classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min(F.struct("row_id", "signature", *names)).alias("one")).select("best", "n", F.col("one.row_id").alias("node"), "one.signature", *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
+    joined = links(classes.select("node", "n", "signature", *names), rows, rounds, bits)
     kept = classes.join(joined, classes["node"] == joined["a"], "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.row_id")
     kept = scratch.table(kept, "kept")  # its size is known when the texts are joined, and they need not move if it is small
     back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]

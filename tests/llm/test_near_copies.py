@@ -62,3 +62,30 @@ def test_pairs_between_groups_are_all_found(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == brute(rows)
     assert near_copies.deduplicate(df.limit(0)).count() == 0
+
+
+def test_blocks_of_signatures_find_what_pairs_find(spark, sf, monkeypatch):
+    """With hardly any group compared as rows and tiny blocks, many pairs of blocks: the same rows."""
+    for name, value in (("STARS", 1), ("FEW", 1), ("BLOCK", 6)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(9)
+    base = [str(rng.random()) for _ in range(70)]
+    rows = []
+    for g in range(90):
+        copy = list(base)
+        for at in rng.sample(range(70), rng.randrange(4)):
+            copy[at] = str(rng.random())
+        rows.append((g, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == brute(rows)
+
+
+def test_signatures_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 900, 30)
+    pool = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, k, replace=False)) for k in n]
+    s = near_copies.signatures(np.concatenate(sets), n)
+    for i in range(30):
+        for j in range(30):
+            assert np.bitwise_count(s[i] ^ s[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
