@@ -110,6 +110,8 @@ def tokenise(df: DataFrame, doc_id: str, text: str, source: str, path: str) -> D
 def muldiv(a: np.ndarray, b: int, d: int, more: int = 0) -> np.ndarray:
     """``(a * b + more) // d`` without overflow, for values below 2**52: a quotient in floating point is mended by the remainder, which
     wrapping 64-bit products give exactly."""
+    if a.size <= 64:  # few values: Python's integers are exact too, and quicker than many array operations
+        return np.array([(x * b + more) // d for x in a.tolist()], np.int64)
     a, b, d, more = (np.asarray(x, np.int64) for x in (a, b, d, more))
     q = np.atleast_1d(a * (b.astype(np.float64) / d)).astype(np.int64)
     rest = np.atleast_1d(a) * b + more - q * d
@@ -127,14 +129,18 @@ class Phase:
         self.sizes, self.base = sizes, base  # base: the tokens of each queue dealt before this phase
         self.names = sorted(s for s in sizes if sizes[s])
         self.sums = [0, *accumulate(sizes[s] for s in self.names)]
+        self.known: dict[str, list] = {}  # paths asked for
 
     def path(self, queue: str) -> list[tuple[bool, int, int]]:
         """From the root: (is left, tokens of the left half, tokens of both)."""
+        if queue in self.known:
+            return self.known[queue]
         at, lo, hi, out = bisect_left(self.names, queue), 0, len(self.names), []
         while hi - lo > 1:
             mid = lo + (hi - lo) // 2
             out.append((at < mid, self.sums[mid] - self.sums[lo], self.sums[hi] - self.sums[lo]))
             lo, hi = (lo, mid) if at < mid else (mid, hi)
+        self.known[queue] = out
         return out
 
     def dealt(self, queue: str, h: np.ndarray) -> np.ndarray:
