@@ -11,6 +11,7 @@ the sets themselves; fingerprints and shared shingles only say which pairs to ve
 4. Rounds: components of the verified links come next, and only shingles whose texts still lie in different ones go on, with
    another lead. In the first round all shingles of a group lead to its first text, later each shingle draws its own lead, so
    a text meets as many others as its prefix has shingles.
+   Before any set is fetched, pairs are compared by sketches: parity bits like the signatures of 5, about one bit per shingle.
 5. The rest: shingles whose texts still lie in different components. Pairs of a few texts are rows; of more, blocks of texts are
    compared by their signatures (64 bytes: the parity of the shingles with each of 512 hash values). Signatures differ in no more
    places than the sets do, so no similar pair is passed over; only pairs that may be similar become rows and are verified.
@@ -69,11 +70,38 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (total[end] - total[end - n]).view(np.int64)
 
 
-def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """512 parity bits of each text as eight integers: a shingle turns the bit that its hash names."""
-    out = np.zeros((len(n), 8), np.uint64)
+def sketches(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of all texts, one text after the other, and each text's end, in 64-bit words: a shingle turns the bit that its
+    hash names. A text has a bit per shingle, rounded up to a power of two, 512 at least; a wide sketch folds to a narrow one."""
+    wide = 8 << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 512)), 0).astype(np.int64)
+    end = np.cumsum(wide)
+    out = np.zeros(int(wide.sum()), np.uint64)
     mixed = textkit.mix(hashes + np.uint64(0x5151))
-    np.bitwise_xor.at(out.reshape(-1), np.repeat(np.arange(len(n)), n) * 8 + ((mixed >> np.uint64(6)) & np.uint64(7)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
+    word = np.repeat(end - wide, n) + ((mixed >> np.uint64(6)).astype(np.int64) & np.repeat(wide - 1, n))
+    np.bitwise_xor.at(out, word, np.uint64(1) << (mixed & np.uint64(63)))
+    return out, end
+
+
+def narrow(flat: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sketches folded to 512 bits each, as eight integers."""
+    if not len(end):
+        return np.zeros((0, 8), np.uint64)
+    return np.bitwise_xor.reduceat(flat.reshape(-1, 8), np.concatenate([[0], end[:-1]]) // 8, axis=0)
+
+
+def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """512 parity bits of each text as eight integers."""
+    return narrow(*sketches(hashes, n))
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which the sketches of each pair differ, in the narrower one's width: never more than the sets differ in."""
+    out = np.zeros(len(a), np.int64)
+    wide = np.array([[len(x) // 8, len(y) // 8] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for x, y in np.unique(wide, axis=0):
+        at, m = np.flatnonzero((wide == (x, y)).all(axis=1)), min(x, y)
+        fold = lambda v: np.bitwise_xor.reduce(np.frombuffer(b"".join(v[i] for i in at), np.uint64).reshape(len(at), -1, m), axis=1)  # noqa: E731, B023
+        out[at] = np.bitwise_count(fold(a) ^ fold(b)).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -121,10 +149,23 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], rank[order]
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, a_n, b, b_n)`` whose sets are at least 0.8 similar, of sizes that allow it."""
+def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that the sketches allow to be 0.8 similar; a pair takes some hundred bytes here and not two sets."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_k"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", (F.col("a_n") + F.col("b_n")).alias("both"), "a_k", "b_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            good = pa.array(9 * differing(t.column(3).to_pylist(), t.column(4).to_pylist()) <= t.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in t.columns[:2]], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, a_n, b, b_n)`` whose sets are at least 0.8 similar, of sizes and sketches that allow it."""
     fit = pairs.where("a != b and 5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)")
-    fit = scratch.table(fit.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    fit = scratch.table(close_pairs(fit.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes), "pairs")
     compared = scratch.table(fit.select(F.col("a").alias("node")).unionAll(fit.select(F.col("b").alias("node"))).distinct(), "compared")
     sets = scratch.table(_sets(texts.join(compared, texts["row_id"] == compared["node"], "left_semi")), "sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}_s"))
@@ -173,20 +214,20 @@ REACH = "9 * least(n - place, lead.n - lead.place) >= 4 * (n + lead.n)"
 
 
 def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFrame:
-    """(a, component) of all verified links. ``nodes(node, n, signature, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
+    """(a, component) of all verified links. ``nodes(node, n, signature, sketch, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
     one = scratch.table(nodes.select("node"), "nodes")
     prefix = rows.select("row_id", "n", "prefix").join(one, F.col("row_id") == F.col("node"), "left_semi")
-    prefix = scratch.table(prefix.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place"), "postings")
+    prefix = prefix.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place")
     several = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     several = scratch.table(several, "several")
-    shared = scratch.table(prefix.join(several, "token"), "shared")
-    scratch.drop(prefix, several, one)
+    shared = scratch.table(prefix.join(several.hint("merge"), "token"), "shared")  # grows with the corpus: one plan at every size
+    scratch.drop(several, one)
     texts = rows.select("row_id", "text")
     found, joined = None, None
 
     def add(more: DataFrame) -> None:
         nonlocal found, joined
-        more = verified(more, texts)
+        more = verified(more, texts, nodes)
         found = more if found is None else found.unionAll(more)
         joined = scratch.table(components(found), "labels")
 
@@ -245,7 +286,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", round
     """The rows of ``df`` that stay when each group of near copies keeps one: the one with the smallest id."""
     names = [f"fp{r}" for r in range(rounds)]
     held = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
-    schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names)), StructField("signature", BinaryType()), StructField("prefix", ArrayType(LongType()))])
+    schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names)), StructField("signature", BinaryType()), StructField("sketch", BinaryType()), StructField("prefix", ArrayType(LongType()))])
     common = df.sparkSession.sparkContext.broadcast(common_shingles(held))  # at most MOST_COMMON of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +298,15 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", round
             ends = np.searchsorted(doc, np.arange(len(n) + 1))
             for name, v in zip(["n", "s0", "s1", *names], [n.astype(np.int32), *sums, *fps], strict=True):
                 t = t.append_column(name, pa.array(v))
-            t = t.append_column("signature", pa.array([v.tobytes() for v in signatures(hashes, n)], pa.binary()))
+            flat, end = sketches(hashes, n)
+            t = t.append_column("signature", pa.array([v.tobytes() for v in narrow(flat, end)], pa.binary()))
+            t = t.append_column("sketch", pa.array([v.tobytes() for v in np.split(flat, end[:-1])] if len(n) else [], pa.binary()))
             yield from t.append_column("prefix", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[at].view(np.int64)))).to_batches()
 
     rows = scratch.table(held.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id()), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row_id"))).alias("best")
-    classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min(F.struct("row_id", "signature", *names)).alias("one")).select("best", "n", F.col("one.row_id").alias("node"), "one.signature", *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
-    joined = links(classes.select("node", "n", "signature", *names), rows, rounds, bits)
+    classes = scratch.table(rows.groupBy("n", "s0", "s1").agg(best, F.min_by(F.struct("row_id", "signature", "sketch", *names), "row_id").alias("one")).select("best", "n", F.col("one.row_id").alias("node"), "one.signature", "one.sketch", *(F.col(f"one.{c}").alias(c) for c in names)), "classes")
+    joined = links(classes.select("node", "n", "signature", "sketch", *names), rows, rounds, bits)
     kept = classes.join(joined, classes["node"] == joined["a"], "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.row_id")
     kept = scratch.table(kept, "kept")  # its size is known when the texts are joined, and they need not move if it is small
     back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]

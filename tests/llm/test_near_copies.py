@@ -89,3 +89,20 @@ def test_signatures_differ_in_no_more_places_than_sets():
     for i in range(30):
         for j in range(30):
             assert np.bitwise_count(s[i] ^ s[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_sketches_of_any_width_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(2)
+    n = np.array([0, 1, 511, 512, 513, 900, 1024, 1500, 2100, 5000])
+    pool = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, k, replace=False)) for k in n]
+    flat, end = near_copies.sketches(np.concatenate(sets), n)
+    one = [v.tobytes() for v in np.split(flat, end[:-1])]
+    assert [len(v) * 8 for v in one] == [512, 512, 512, 512, 1024, 1024, 1024, 2048, 4096, 8192]
+    pairs = [(i, j) for i in range(10) for j in range(10)]
+    found = near_copies.differing([one[i] for i, _ in pairs], [one[j] for _, j in pairs])
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, (i, j) in zip(found, pairs, strict=True))
+    other = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)  # unrelated sets of one size are told apart
+    far = near_copies.sketches(other, np.array([5000]))[0].tobytes()
+    assert 9 * near_copies.differing([one[9]], [far])[0] > 10000
+    assert len(near_copies.differing([], [])) == 0 and near_copies.narrow(np.zeros(0, np.uint64), np.zeros(0, np.int64)).shape == (0, 8)
