@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.money import TOKEN
+from ledgerflow.operators import bank_profiles
 
 PAGE = ("file_id", "page_no")
+#: Words of a header or a block of totals.
+HEADER_NOISE = r"ADDRESS|ACCOUNT|STATEMENT|TOTAL|OPENING|CLOSING|CURRENT BAL|EFF\."
 #: Header words of the detectors, one profile per layout, with the edge that anchors a column.
 HEADER_WORDS = {"date": "x0", "narration": "x0", "description": "x0", "debit": "x1", "withdrawal": "x1", "credit": "x1", "deposit": "x1", "balance": "x1"}
-#: Banks by the words that name them, in the order they are tried.
-BANK_NAMES = [("access", "access bank"), ("gtbank", "guaranty trust"), ("fcmb", "first city monument"), ("fidelity", "fidelity bank"), ("sterling", "sterling bank"), ("wema", "wema bank"), ("zenith", "zenith bank"), ("uba", "united bank for africa"), ("providus", "providus bank")]
-NOISE = r"(?i)^(page \d+|generated on|this statement|customer care|continued)"
-TOTALS = r"(?i)^\s*(total|sub ?total|grand total|closing balance|opening balance)\b"
 
 
 def cluster_lines(words: DataFrame, tolerance: float = 3.0, look_back: int = 8) -> DataFrame:
@@ -40,9 +39,10 @@ def cluster_lines(words: DataFrame, tolerance: float = 3.0, look_back: int = 8)
     return words.join(ids, [*PAGE, "word_seq"])
 
 
-def bucket_lines(words: DataFrame, height: float = 3.0) -> DataFrame:
-    """LAY-02: line id from the rounded position."""
-    return words.withColumn("line_id", F.bround(F.col("top") / height).cast("int"))
+def bucket_lines(words: DataFrame, height: float = 3.0, down: bool = False) -> DataFrame:
+    """LAY-02: line id from the rounded position, or from the one below it (``down``)."""
+    place = F.col("top") / height
+    return words.withColumn("line_id", (F.floor(place) if down else F.bround(place)).cast("int"))
 
 
 def gap_lines(words: DataFrame, gap: float = 4.0) -> DataFrame:
@@ -98,6 +98,11 @@ def pick_money(cell: Column, which: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(F.coalesce(cell, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lit(which))
 
 
+def pick_number(cell: Column) -> Column:
+    """LAY-11: the first word of a cell with a digit and a comma or point; null without one."""
+    return F.try_element_at(F.filter(F.split(F.trim(F.coalesce(cell, F.lit(""))), r"\s+"), lambda p: p.rlike(r"\d") & p.rlike("[,.]")), F.lit(1))
+
+
 def header_line(lines: DataFrame, least: int = 3) -> DataFrame:
     """LAY-12: per page the line with most header words, the topmost of equals."""
     hit = F.lower("text").isin(list(HEADER_WORDS)).cast("int")
@@ -146,29 +151,6 @@ def occupied_runs(words: DataFrame, least: int = 10) -> DataFrame:
     return g.select(*PAGE, (F.row_number().over(Window.partitionBy(*PAGE).orderBy("x_left")) - 1).alias("col_ord"), "x_left", "x_right")
 
 
-def bank_of(text: Column, head: int = 1500) -> Column:
-    """LAY-18: the first bank whose name is in the page's head."""
-    s, out = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, head)), None
-    for bank, words in BANK_NAMES:
-        out = F.when(s.contains(words), bank) if out is None else out.when(s.contains(words), bank)
-    return out.otherwise("generic")
-
-
-def guarded_bank(bank: Column, text: Column) -> Column:
-    """LAY-19: generic again where fewer than two signs of a statement's structure are in the text."""
-    s = F.lower(F.coalesce(text, F.lit("")))
-    signs = s.contains("account no").cast("int") + s.contains("statement period").cast("int") + s.contains("balance").cast("int")
-    return F.when(signs >= 2, bank).otherwise("generic")
-
-
-def bank_hint(name: Column) -> Column:
-    """LAY-20: bank from a file name."""
-    s, out = F.lower(name), None
-    for bank, _ in BANK_NAMES:
-        out = F.when(s.contains(bank), bank) if out is None else out.when(s.contains(bank), bank)
-    return out.when(s.contains("gtco"), "gtbank").otherwise("auto")
-
-
 def distinct_pages(pages: DataFrame, most: int = 30_000) -> DataFrame:
     """LAY-21: of pages with the same text (white space folded, first 30,000 characters), the first."""
     sign = F.xxhash64(F.substring(F.regexp_replace(F.trim("text"), r"\s+", " "), 1, most))
@@ -194,9 +176,10 @@ def first_and_last(pages: DataFrame, names: Sequence[str], key: Sequence[str] =
     return pages.groupBy(*key).agg(*[F.coalesce(F.nullif(F.max_by(c, "page_no"), F.lit("")), F.nullif(F.min_by(c, "page_no"), F.lit(""))).alias(c) for c in names])
 
 
-def without_noise(rows: DataFrame, text: str = "text") -> DataFrame:
-    """LAY-25, LAY-26, LAY-27: rows that are neither page furniture nor printed totals."""
-    return rows.where(~F.coalesce(F.col(text), F.lit("")).rlike(NOISE) & ~F.coalesce(F.col(text), F.lit("")).rlike(TOTALS))
+def without_noise(rows: DataFrame, text: str = "text", reference: str | None = None, bank: str | None = None) -> DataFrame:
+    """LAY-25, LAY-26, LAY-27: rows that are neither page furniture nor printed totals, of any bank or of the row's own."""
+    out = rows.where(~bank_profiles.is_noise(F.col(text), F.col(reference) if reference else None) & ~bank_profiles.is_summary(F.col(text)))
+    return out.where(~bank_profiles.is_bank_noise(F.col(bank), F.col(text))) if bank else out
 
 
 def without_totals_echo(rows: DataFrame, meta: DataFrame, key: Sequence[str] = ("stmt_id",)) -> DataFrame:
@@ -206,6 +189,23 @@ def without_totals_echo(rows: DataFrame, meta: DataFrame, key: Sequence[str] = (
     return rows.join(m, list(key), "left").where(~(F.col("date_raw").isNull() & same)).drop("statement_total_debit", "statement_total_credit")
 
 
+def guarded_dates(rows: DataFrame, meta: DataFrame, key: Sequence[str] = ("stmt_id",), large: float = 1_000_000.0) -> DataFrame:
+    """LAY-28: undated rows with an amount take the last date, if they look like entries: letters in the description or reference, a
+    balance above zero or a large amount, and neither a page counter nor words of a header nor the printed totals again.
+    ``rows(line_no, date_raw, description, reference, row_text, debit, credit, balance)``; null amounts count as none."""
+    w = Window.partitionBy(*key).orderBy("line_no")
+    m = meta.select(*key, F.col("statement_total_debit").alias("_d"), F.col("statement_total_credit").alias("_c"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    said = F.concat_ws(" ", "description", "reference")
+    counter = F.trim(F.regexp_replace(F.coalesce("row_text", F.lit("")), r"\s+", " ")).rlike(r"^\d{1,4}$")
+    header = F.upper(F.coalesce("row_text", F.lit(""))).rlike(HEADER_NOISE)
+    echo = F.coalesce((F.col("_d") != 0) & (F.col("_c") != 0) & (F.abs(n("debit") - F.col("_d")) <= 0.01) & (F.abs(n("balance") - F.col("_c")) <= 0.01), F.lit(False))
+    entry = said.rlike(r"\p{L}") | (n("balance") > 0) | (F.greatest(n("debit"), n("credit")) >= large)
+    takes = F.col("date_raw").isNull() & ((n("debit") != 0) | (n("credit") != 0)) & ~counter & ~header & ~echo & entry
+    dated = rows.withColumn("_l", F.last("date_raw", ignorenulls=True).over(w)).join(m, list(key), "left")
+    return dated.withColumn("date_raw", F.when(takes, F.col("_l")).otherwise(F.col("date_raw"))).drop("_l", "_d", "_c")
+
+
 def merge_lines(lines: DataFrame, key: Sequence[str] = ("file_id",)) -> DataFrame:
     """LAY-29: a line with a date and an amount or a balance is an entry; the lines after it add their text, and a date to an
     empty value date. Lines before the first entry are dropped."""

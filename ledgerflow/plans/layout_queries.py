@@ -157,13 +157,6 @@ def page_texts(spark, sf_dir) -> DataFrame:
 _META = f"WITH {LEDGER_SQL}, {META_SQL}"
 
 
-@query("lay_18_bank_of", f"{_META} SELECT stmt_id AS file_id, CASE WHEN bank IN ('access', 'fidelity', 'sterling', 'wema', 'zenith', 'providus') THEN bank ELSE 'generic' END AS bank, CASE WHEN bank IN ('access', 'fidelity', 'sterling', 'wema', 'zenith', 'providus') THEN bank ELSE 'generic' END AS guarded, bank AS hint FROM statement_meta")
-def _(spark, sf_dir):
-    pages = page_texts(spark, sf_dir).where("page_no = 0").join(statement_meta(spark, sf_dir).select(F.col("stmt_id").alias("file_id"), F.col("bank").alias("b")), "file_id")
-    bank = layout.bank_of(F.col("text"))
-    return pages.select("file_id", bank.alias("bank"), layout.guarded_bank(bank, F.col("text")).alias("guarded"), layout.bank_hint(F.concat(F.lit("Stmt_"), F.upper("b"), F.lit(".pdf"))).alias("hint"))
-
-
 @query("lay_21_distinct_pages", f"{_META} SELECT stmt_id AS file_id, CASE WHEN stmt_id % 7 = 0 THEN 2 ELSE 3 END AS n FROM statement_meta")
 def _(spark, sf_dir):
     return layout.distinct_pages(page_texts(spark, sf_dir)).groupBy("file_id").agg(F.count("*").cast("int").alias("n"))
