@@ -133,12 +133,15 @@ def _(spark, sf_dir):
     return plain(out.groupBy("file_id", "page_no").agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"), F.count("*").alias("n")))
 
 
-@query("lay_10_clean_number", f"WITH {LEDGER_SQL} SELECT stmt_id, row_seq, CASE event_id % 3 WHEN 0 THEN CAST(balance AS VARCHAR) WHEN 1 THEN CAST(debit AS VARCHAR) ELSE '12' || event_id END AS number, CAST(CASE WHEN event_id % 3 < 2 THEN CAST(balance AS VARCHAR) END AS VARCHAR) AS first_money FROM ledger WHERE balance < 1000 AND balance >= 0")
+_balance, _debit = (f"format('{{:,.2f}}', {c})" for c in ("CAST(balance AS DOUBLE)", "CAST(debit AS DOUBLE)"))
+
+
+@query("lay_10_clean_number", f"WITH {LEDGER_SQL} SELECT stmt_id, row_seq, CASE event_id % 3 WHEN 0 THEN {_balance} WHEN 1 THEN {_debit} ELSE '12' || event_id END AS number, CASE WHEN event_id % 3 < 2 THEN ltrim({_balance}, '-') END AS first_money FROM ledger")
 def _(spark, sf_dir):
     n = F.col("event_id") % 3
-    cell = F.when(n == 0, F.col("balance").cast("string")).when(n == 1, F.concat_ws(" ", F.col("balance").cast("string"), "narration", F.col("debit").cast("string"))).otherwise(F.concat(F.lit("12 "), F.col("event_id").cast("string")))
-    rows = ledger(spark, sf_dir).where("balance < 1000 and balance >= 0")
-    return rows.select("stmt_id", "row_seq", layout.clean_number(cell).alias("number"), layout.pick_money(cell).alias("first_money"))
+    balance, debit = F.format_number("balance", 2), F.format_number("debit", 2)
+    cell = F.when(n == 0, balance).when(n == 1, F.concat_ws(" ", balance, "narration", debit)).otherwise(F.concat(F.lit("12 "), F.col("event_id").cast("string")))
+    return ledger(spark, sf_dir).select("stmt_id", "row_seq", layout.clean_number(cell).alias("number"), layout.pick_money(cell).alias("first_money"))
 
 
 # --- pages of text ---------------------------------------------------------------------------------------------------
@@ -262,9 +265,9 @@ def _(spark, sf_dir):
     return plain(layout.attach_money(top.unionByName(low)), "file_id", "line_no", "amount", "balance")
 
 
-@query("lay_30_split_decimals", f"WITH {LEDGER_SQL} SELECT stmt_id AS file_id, 2 * row_seq AS line_no, CAST(balance AS VARCHAR) AS cell FROM ledger WHERE balance >= 0 UNION ALL SELECT stmt_id, 2 * row_seq + 1, '' FROM ledger WHERE balance >= 0")
+@query("lay_30_split_decimals", f"WITH {LEDGER_SQL} SELECT stmt_id AS file_id, 2 * row_seq AS line_no, CAST(abs(balance) AS VARCHAR) AS cell FROM ledger UNION ALL SELECT stmt_id, 2 * row_seq + 1, '' FROM ledger")
 def _(spark, sf_dir):
-    rows = ledger(spark, sf_dir).where("balance >= 0")
+    rows = ledger(spark, sf_dir).withColumn("balance", F.abs("balance"))
     b = F.col("balance").cast("string")
     top = rows.select(F.col("stmt_id").alias("file_id"), (F.col("row_seq") * 2).alias("line_no"), F.expr("substring(cast(balance as string), 1, length(cast(balance as string)) - 2)").alias("cell"))
     low = rows.select(F.col("stmt_id").alias("file_id"), (F.col("row_seq") * 2 + 1).alias("line_no"), F.substring(b, -2, 2).alias("cell"))
