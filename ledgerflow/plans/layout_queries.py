@@ -188,9 +188,11 @@ def _(spark, sf_dir):
     return layout.first_and_last(layout.page_metadata(page_texts(spark, sf_dir)), ["account_no", "currency"])
 
 
-@query("lay_40_page_metadata", f"{_META} SELECT stmt_id AS file_id, account_no, '01-Jan-2024 to 31-Jan-2024' AS period, CAST(opening_balance AS DOUBLE) AS opening_balance, 2024 AS year FROM statement_meta")
+@query("lay_40_page_metadata", f"""{_META}, p AS (SELECT *, page_no = 0 OR (page_no = 1 AND stmt_id % 7 = 0) AS head, page_no = 2 AS foot FROM statement_meta, (VALUES (0), (1), (2)) t(page_no))
+SELECT stmt_id AS file_id, page_no, CASE WHEN head THEN account_no END AS account_no, CASE WHEN head THEN '01-Jan-2024 to 31-Jan-2024' END AS period, CASE WHEN head THEN CAST(opening_balance AS DOUBLE) END AS opening_balance, CASE WHEN head THEN 2024 END AS year,
+ CASE WHEN foot THEN CAST(closing_balance AS DOUBLE) END AS closing_balance, CASE WHEN foot THEN CAST(statement_total_debit AS DOUBLE) END AS statement_total_debit, CASE WHEN foot THEN CAST(statement_total_credit AS DOUBLE) END AS statement_total_credit FROM p""")
 def _(spark, sf_dir):
-    return plain(layout.page_metadata(page_texts(spark, sf_dir)).where("page_no = 0"), "file_id", "account_no", "period", "opening_balance", "year")
+    return plain(layout.page_metadata(page_texts(spark, sf_dir)), "file_id", "page_no", "account_no", "period", "opening_balance", "year", "closing_balance", "statement_total_debit", "statement_total_credit")
 
 
 @query("lay_43_largest_total", f"{_META} SELECT stmt_id AS file_id, CAST(statement_total_debit AS DOUBLE) AS statement_total_debit, CAST(statement_total_credit AS DOUBLE) AS statement_total_credit FROM statement_meta")
