@@ -215,11 +215,13 @@ REACH = "9 * least(n - place, lead.n - lead.place) >= 4 * (n + lead.n)"
 
 def links(nodes: DataFrame, rows: DataFrame, rounds: int, bits: int) -> DataFrame:
     """(a, component) of all verified links. ``nodes(node, n, signature, sketch, fp0 ..)``, ``rows(row_id, n, prefix, text)``."""
-    one = scratch.table(nodes.select("node"), "nodes")
-    prefix = rows.select("row_id", "n", "prefix").join(one, F.col("row_id") == F.col("node"), "left_semi")
-    prefix = prefix.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place")
-    several = prefix.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    postings = lambda df: df.select("n", F.col("row_id").alias("node"), F.posexplode("prefix").alias("place", "token")).select("token", "node", "n", "place")
+    prefixes_of = rows.select("row_id", "n", "prefix")
+    # A text's shingles are distinct, so a count tells what several rows share. Copies count too: a superset, and no join before it.
+    several = postings(prefixes_of).groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     several = scratch.table(several, "several")
+    one = scratch.table(nodes.select("node"), "nodes")
+    prefix = postings(prefixes_of.join(one, F.col("row_id") == F.col("node"), "left_semi"))
     shared = scratch.table(prefix.join(several.hint("merge"), "token"), "shared")  # grows with the corpus: one plan at every size
     scratch.drop(several, one)
     texts = rows.select("row_id", "text")
