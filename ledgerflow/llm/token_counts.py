@@ -89,8 +89,10 @@ def vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, added = spec["model"], spec["added_tokens"]
-    pieces = spec["pre_tokenizer"]["pretokenizers"]
-    known = model["type"] == "BPE" and not (model["unk_token"] or model["continuing_subword_prefix"] or model["ignore_merges"] or model["byte_fallback"]) and pieces[0]["pattern"] == {"Regex": PATTERN} and not pieces[1]["use_regex"] and not pieces[1]["add_prefix_space"]
+    split, level = [*(spec["pre_tokenizer"] or {}).get("pretokenizers", []), {}, {}][:2]
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    known = model["type"] == "BPE" and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "ignore_merges", "byte_fallback", "dropout"))
+    known &= kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": PATTERN} and level.get("type") == "ByteLevel" and not level["use_regex"] and not level["add_prefix_space"]
     if not known or any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError(f"{path}: not a byte-level vocabulary with word ends of the kind this module counts")
     ids, end = model["vocab"], model["end_of_word_suffix"] or ""
