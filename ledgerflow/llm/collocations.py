@@ -242,7 +242,8 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
             break
         table = scratch.table(ranked(table, by), f"phrases-frequent-{length}")
         levels.append(table)
-        answers = symbols.join(table.select(*by, "id"), by).select(F.col("chunk").alias("to"), "local", "id")
+        # One plan at every size: a table of frequent symbols grows with the corpus.
+        answers = symbols.join(table.select(*by, "id").hint("merge"), by).select(F.col("chunk").alias("to"), "local", "id")
         before, chunks = chunks, scratch.table(next_chunks(chunks, answers, length + 1 == longest), f"phrases-{length + 1}")
         scratch.drop(before)
         by = ["a", "b"]
