@@ -50,11 +50,31 @@ def decode_csv(files: DataFrame) -> DataFrame:
     return files.select("path", text.alias("text"))
 
 
+#: A field of a delimited record: quoted (quotes doubled inside, anything but a comma after it) or bare. All loops are possessive: a
+#: record is read once from left to right, however long it is.
+FIELD = r'(?:"(?:[^"]++|"")*+(?:"[^,\r\n]*+)?|[^",\r\n][^,\r\n]*+)?+'
+RECORD = rf"{FIELD}(?:,{FIELD})*+(?:\r\n|\n|\r|\z)"
+
+
+def split_records(text: Column) -> Column:
+    """Records of a delimited text. A quote that begins a field holds commas and line breaks together until the quote that ends
+    it; elsewhere a quote is a character like any other. A field that is never closed goes on to the end of the text."""
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, "^\ufeff", ""), F.lit(RECORD), F.lit(0)), lambda r: F.regexp_replace(r, r"(?:\r\n|\n|\r)\z", ""))
+
+
+def split_cells(record: Column) -> Column:
+    """Cells of a record without their quotes, doubled quotes as one, outer white space trimmed."""
+    raw = F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(rf",({FIELD})"), F.lit(0)), lambda c: F.substr(c, F.lit(2)))
+    quoted = r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+    bare = lambda c: F.concat(F.regexp_replace(F.regexp_extract(c, quoted, 1), '""', '"'), F.regexp_extract(c, quoted, 2))
+    return F.transform(raw, lambda c: F.regexp_replace(F.when(c.startswith('"'), bare(c)).otherwise(c), r"^\s+|\s+$", ""))
+
+
 def cell_rows(texts: DataFrame, file_id: str = "path", text: str = "text") -> DataFrame:
-    """Lines of decoded files as cell rows; quoted cells may hold commas."""
-    each = texts.select(F.col(file_id).alias("file_id"), F.posexplode(F.split(text, r"\r?\n")).alias("row_idx", "line")).where("line <> ''")
-    cells = F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
-    return each.select("file_id", "row_idx", cells.alias("cells"))
+    """SRC-02: records of decoded files as cell rows, numbered without blank ones. A file is at most ``MOST_BYTES`` long."""
+    records = F.filter(split_records(F.coalesce(text, F.lit(""))), lambda r: F.trim(r) != "")
+    each = texts.select(F.col(file_id).alias("file_id"), F.posexplode(records).alias("row_idx", "record"))
+    return each.select("file_id", "row_idx", split_cells(F.col("record")).alias("cells"))
 
 
 def read_csv_folder(spark: SparkSession, path: str) -> DataFrame:
