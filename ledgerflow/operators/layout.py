@@ -280,7 +280,7 @@ def nearest_date(rows: DataFrame, key: Sequence[str] = ("file_id",)) -> DataFram
 
 
 def attach_money(rows: DataFrame, key: Sequence[str] = ("file_id",)) -> DataFrame:
-    """LAY-38, LAY-39: a dated row without money takes that of the undated row right below it, which goes."""
+    """LAY-39: a dated row without money takes that of the undated row right below it, which goes."""
     w = Window.partitionBy(*key).orderBy("line_no")
     gives = F.col("date_raw").isNull() & F.col("amount").isNotNull() & (F.lag("date_raw").over(w).isNotNull()) & F.lag("amount").over(w).isNull()
     x = rows.withColumn("_g", F.coalesce(gives, F.lit(False))).withColumns({"_t": F.coalesce(F.lead("_g").over(w), F.lit(False)), "_a": F.lead("amount").over(w), "_b": F.lead("balance").over(w)})
@@ -308,7 +308,7 @@ def largest_total(pages: DataFrame, text: str = "text", edge: int = 5) -> DataFr
 
 
 def text_in_zone(words: DataFrame, left: float, right: float) -> DataFrame:
-    """LAY-46, LAY-09: a line's text between two x positions, without dates and amounts."""
+    """LAY-46: a line's text between two x positions, without dates and amounts."""
     z = words.where((F.col("x0") >= left) & (F.col("x0") < right) & ~F.col("text").rlike(f"^{TOKEN}$") & ~F.col("text").rlike(r"^\d{1,2}[-/]"))
     g = z.groupBy(*PAGE, "line_id").agg(F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text"))).alias("ws"))
     return g.select(*PAGE, "line_id", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("description"))
