@@ -53,6 +53,8 @@ PATH_DIM, WORD_DIM, EXTRA, HIDDEN = 192, 64, 6, 20
 PAGES_AT_ONCE, SEGMENT, TRAINING_PAGES, EPOCHS = 256, 4096, 240, 14
 #: Elements of a block's path, from the innermost, that are features.
 DEPTH = 64
+#: Ends of a comment right after it began, and further on.
+COMMENT_END, COMMENT_END_INSIDE = re.compile("-?>"), re.compile("--!?>")
 
 
 class Block:
@@ -71,8 +73,8 @@ def events(page: str) -> list[tuple[str, str, bool, str]]:
         text.append(page[at : m.start()])
         at, name = m.end(), (m[2] or "").lower()
         if m[0] == "<!--":
-            end = page.find("-->", at)
-            at = end + 3 if end >= 0 else len(page)
+            end = COMMENT_END.match(page, at) or COMMENT_END_INSIDE.search(page, at)
+            at = end.end() if end else len(page)
         if not name:
             continue
         out.append(("".join(text), name, bool(m[1]), m[3]))

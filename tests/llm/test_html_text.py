@@ -78,6 +78,9 @@ def test_broken_markup():
         assert texts(f"<{name}>go<p>two</p><{name}>x</{name}> y") == ["two", "y"] or name in h.RAW_TAGS, name
     assert texts("<p>a<script>var x = '<p>no</p>'") == ["a"] and texts("a<!-- b -->c<!-- d") == ["ac"]
     assert texts("x </p></div> y <p") == ["x", "y"]
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<!---->", "<!----->", "<!-- a > b -> c -->", "<!--!>-->", "<!-- <p>no</p> --!>"):
+        assert texts(f"<p>A</p>{comment}<p>B</p>") == ["A", "B"], comment
+    assert texts("<p>A</p><!-- x --! ><p>B</p>") == ["A"] == texts("<p>A</p><!--<p>B</p>")
 
 
 def test_gradients_match_differences():
