@@ -18,7 +18,8 @@ Only sums and the table of count classes (at most sqrt(2 N) rows) reach the driv
 
 Defined results. Null and empty texts are the end token alone. Ids are compared as text; null ids count as training rows.
 Repeated rows count repeatedly. Empty table: empty result. Without training rows every token is of the unseen class.
-Extra columns are left out. Words and longer contexts are told apart by 64-bit hashes.
+Extra columns are left out. Words are told apart by 64-bit hashes, contexts of several words by 56 bits. Counts are 64-bit; words are numbered below
+2 ** 55. What one chunk counts by itself fits 32 bits, as a chunk is a few megabytes.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ ORDER, FOLDS, MOST_DISCOUNTED, CHUNK_BYTES, BUCKET_TOKENS = 2, 10, 5, 8 << 20, 1
 #: Bytes of text scanned at once; a chunk keeps only hashes of what was scanned.
 SLICE_BYTES = 1 << 20
 #: Hash of the end token (no word has it but by chance), number of the unseen class, number of the context "begin".
-END_HASH, UNSEEN, BEGIN = 0x5EED0E4D, 0, (1 << 32) - 1
+END_HASH, UNSEEN, BEGIN = 0x5EED0E4D, 0, (1 << 55) - 1
 #: Split contexts are sent to all tasks up to so many rows, and joined by a shuffle beyond.
 MOST_BROADCAST_ROWS = 100_000
 #: What a context gives up where Good-Turing discounts nothing.
@@ -231,7 +232,7 @@ def number_words(tokens: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple
                 for lo, hi in zip(bounds, [*bounds[1:], len(c)], strict=True):
                     if c[order[lo]]:
                         numbers[order[lo:hi]] = start[int(c[order[lo]])] + np.arange(hi - lo)
-                rows = [[chunk, b.column(0)[r].as_py(), enc(numbers[np.cumsum(dec(x.as_py(), "<u4").astype(np.int64))], "<u4")] for chunk, x in zip(b.column(2)[r].as_py(), b.column(3)[r], strict=True)]
+                rows = [[chunk, b.column(0)[r].as_py(), enc(numbers[np.cumsum(dec(x.as_py(), "<u4").astype(np.int64))], "<u8")] for chunk, x in zip(b.column(2)[r].as_py(), b.column(3)[r], strict=True)]
                 yield from _binary_rows(rows, ["chunk", "bucket", "numbers"], [pa.int64(), pa.int32(), pa.binary()]).to_batches()
 
     return given.mapInArrow(answer, "chunk long, bucket int, numbers binary"), totals, words
@@ -254,7 +255,7 @@ def occurrences(tokens: DataFrame, back: DataFrame, level: int, last: bool, word
             if kind:
                 sent[k] = dec(x.as_py(), "<f8")
             else:
-                number[own == k] = dec(x.as_py(), "<u4")
+                number[own == k] = dec(x.as_py(), "<u8")
         w = number[dec(left.column("ids")[0].as_py(), "<u4")]
         sizes, train = np.array(left.column("sizes")[0].as_py(), np.int64), np.array(left.column("train")[0].as_py(), bool)
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -286,7 +287,7 @@ def occurrences(tokens: DataFrame, back: DataFrame, level: int, last: bool, word
         edges = np.searchsorted(place[by], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             mine = by[edges[k] : edges[k + 1]]
-            row = [chunk, k, enc(gaps(key[mine]), "<u8"), enc(w[mine], "<u4"), enc(seen[mine], "<u4"), enc(low[mine], "<f8") if level > 2 else None, None, None]
+            row = [chunk, k, enc(gaps(key[mine]), "<u8"), enc(w[mine], "<u8"), enc(seen[mine], "<u4"), enc(low[mine], "<f8") if level > 2 else None, None, None]
             if last:
                 each = np.repeat(new[mine] - (np.cumsum(n[mine]) - n[mine]), n[mine]) + np.arange(int(n[mine].sum()))
                 row[6:] = [enc(n[mine], "<u4"), enc(doc[at[each]], "<u4")]
@@ -307,7 +308,7 @@ def ngram_counts(occ: DataFrame, uni: Unigrams) -> DataFrame:
                 sums = [t.column(k)[r].as_py() for k in ("h", "w", "seen")]
                 rows.append([-1, *sums, None, [t.column("chunk")[r].as_py()], [], [], [], []])
         if own.num_rows:
-            parts = [(np.cumsum(dec(h.as_py(), "<u8"), dtype=np.uint64), dec(w.as_py(), "<u4"), dec(s.as_py(), "<u4")) for h, w, s in zip(*(own.column(k) for k in ("h", "w", "seen")), strict=True)]
+            parts = [(np.cumsum(dec(h.as_py(), "<u8"), dtype=np.uint64), dec(w.as_py(), "<u8"), dec(s.as_py(), "<u4")) for h, w, s in zip(*(own.column(k) for k in ("h", "w", "seen")), strict=True)]
             key, w, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
             ends = np.cumsum([len(p[0]) for p in parts])
             del parts
@@ -319,7 +320,7 @@ def ngram_counts(occ: DataFrame, uni: Unigrams) -> DataFrame:
             low = enc(np.concatenate([dec(x.as_py(), "<f8") for x in own.column("low")])[first], "<f8") if own.column("low")[0].is_valid else None
             times = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[: MOST_DISCOUNTED + 2]
             asked = [enc(gaps(index[a:b]), "<u4") for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            rows.append([own.column("bucket")[0].as_py(), enc(gaps(key[first]), "<u8"), enc(w[first], "<u4"), enc(c, "<u4"), low, own.column("chunk").to_pylist(), asked, own.column("n").to_pylist(), own.column("doc").to_pylist(), times.tolist()])
+            rows.append([own.column("bucket")[0].as_py(), enc(gaps(key[first]), "<u8"), enc(w[first], "<u8"), enc(c, "<u8"), low, own.column("chunk").to_pylist(), asked, own.column("n").to_pylist(), own.column("doc").to_pylist(), times.tolist()])
         blobs = pa.list_(pa.binary())
         return _binary_rows(rows, ["bucket", "h", "w", "c", "low", "chunks", "asked", "n", "doc", "times"], [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), blobs, blobs, blobs, pa.list_(pa.int64())])
 
@@ -345,8 +346,8 @@ def weights(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _decoded(h: bytes, w: bytes, c: bytes, low: bytes | None, uni: Unigrams) -> tuple[np.ndarray, ...]:
-    word = dec(w, "<u4")
-    return np.cumsum(dec(h, "<u8"), dtype=np.uint64), dec(c, "<u4").astype(np.int64), uni.probability(word.astype(np.int64)) if low is None else dec(low, "<f8")
+    word = dec(w, "<u8")
+    return np.cumsum(dec(h, "<u8"), dtype=np.uint64), dec(c, "<u8").astype(np.int64), uni.probability(word.astype(np.int64)) if low is None else dec(low, "<f8")
 
 
 def split_contexts(model: DataFrame, uni: Unigrams, d: np.ndarray, buckets: int) -> DataFrame:

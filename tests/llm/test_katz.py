@@ -135,3 +135,18 @@ def test_awkward_rows(spark, awkward):
     assert len(rows) == awkward.count() and all(math.isfinite(r.score) and r.score < 0 or r.score == 0 for r in rows)
     assert katz.score(awkward.limit(0)).count() == 0
     assert [r.train_tokens for r in katz.score(spark.createDataFrame([(i, "a b") for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")).collect()][0] == 0
+
+
+def test_counts_beyond_32_bits(spark):
+    """Two chunks of a corpus whose n-gram counts and word numbers pass 2 ** 32."""
+    import numpy as np
+    from ledgerflow.llm import katz
+
+    big = np.array([3, 2**32 + 5, 2**40], np.int64)
+    assert katz.dec(katz.enc(big, "<u8"), "<u8").tolist() == big.tolist()
+    key, word, seen = np.array([1 << 8, 2 << 8], np.uint64), np.array([7, 2**33 + 1], np.int64), np.array([2**32 - 1, 2**31 + 1], np.int64)
+    rows = [(c, 0, katz.enc(katz.gaps(key), "<u8"), katz.enc(word, "<u8"), katz.enc(seen, "<u4"), None, None, None) for c in range(3)]
+    occ = spark.createDataFrame(rows, "chunk long, bucket int, h binary, w binary, seen binary, low binary, n binary, doc binary")
+    uni = katz.Unigrams([(5, 2), (1, 1)], 1)
+    (row,) = katz.ngram_counts(occ, uni).collect()
+    assert katz.dec(bytes(row.c), "<u8").tolist() == [3 * (2**32 - 1), 3 * (2**31 + 1)] and katz.dec(bytes(row.w), "<u8").tolist() == word.tolist()
