@@ -8,8 +8,8 @@ step, applied to the ids of the step before, gives phrases of four and five.
 
 Spark holds it together: texts become chunks of about ``SLICE_BYTES``, each a row of codes plus a row for each distinct symbol with its
 count. Counts of a symbol are summed over chunks by a grouping, symbols seen ``least`` times are numbered by a range partitioning, the
-numbers go back to the chunks that asked by a join, and codes and numbers meet in a cogrouping by chunk, which forms the next
-length's pairs. All chunks and all groups are bounded; sums combine before the shuffle; no vocabulary is ever in one task. A phrase
+numbers go back to the chunks that asked by a streamed merge, and codes and numbers meet in a cogrouping by chunk, which forms the
+next length's pairs. All chunks and all groups are bounded; sums combine before the shuffle; no vocabulary is ever in one task. A phrase
 that crosses the end of a chunk belongs to the chunk of its first word: chunks of one text overlap by the words that takes.
 
 All parts of a frequent phrase are frequent, so the tables of frequent phrases hold every count that scores need. A phrase is
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,6 +37,8 @@ from ledgerflow.llm.katz import dec, enc
 LONGEST, LEAST, TOP, SLICE_BYTES = 5, 100, 2000, 4 << 20
 #: Ids on a side of a tile; how many tiles on a side may be dense; pairs that make a tile dense.
 TILE_BITS, HEAD, DENSE = 9, 16, 1 << 15
+#: Answers that are packed together.
+FLUSH = 1 << 20
 #: Groups into which a language's phrases are dealt before the last ranking.
 DEALT = 64
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -190,8 +193,56 @@ def word_chunks(docs: DataFrame, longest: int) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, own binary, codes binary, local int, lang string, word string, n long")
 
 
+def answered(symbols: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """What ``table(by, id)`` knows of the symbols that chunks ask for: (to, local, id), a row for each chunk and ``FLUSH`` answers, its
+    numbers packed. A merge of both sides in the order of their symbols, streamed: a symbol's row of the table comes first, and those who
+    ask follow, however many they are; memory does not depend on them."""
+    asked = symbols.select(*by, F.lit(1).alias("side"), "chunk", "local", F.lit(None).cast("long").alias("id"))
+    known = table.select(*by, F.lit(0).alias("side"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("local"), "id")
+    merged = known.unionAll(asked).repartition(*map(F.col, by)).sortWithinPartitions(*by, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, last, last_id = 0, None, -1
+
+        def flush() -> pa.RecordBatch:
+            chunk, local, number = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((local, chunk))
+            chunk, local, number = chunk[order], local[order], number[order]
+            edges = [*np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), len(chunk)]
+            spans = list(zip(edges[:-1], edges[1:], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int64()), pa.array([enc(local[a:b], "<u4") for a, b in spans], pa.binary()), pa.array([enc(number[a:b], "<u8") for a, b in spans], pa.binary())], names=["to", "local", "id"])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(k) for k in range(len(by))]
+            new = np.zeros(n, bool)
+            for k in keys:
+                new[1:] |= pc.not_equal(k.slice(1), k.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[0] = last != [k[0].as_py() for k in keys]
+            ids = batch.column(len(by) + 3).fill_null(-1).to_numpy()
+            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            # The id of a symbol stands in its first row; symbols that go on from the last batch keep theirs.
+            number = np.where(first >= 0, ids[np.maximum(first, 0)], last_id)
+            last, last_id = [k[n - 1].as_py() for k in keys], int(number[-1])
+            asks = (batch.column(len(by)).to_numpy() == 1) & (number >= 0)
+            if asks.any():
+                held.append((batch.column(len(by) + 1).fill_null(-1).to_numpy()[asks], batch.column(len(by) + 2).fill_null(-1).to_numpy()[asks], number[asks]))
+                size += int(asks.sum())
+            if size >= FLUSH:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return merged.mapInArrow(run, "to long, local binary, id binary")
+
+
 def next_chunks(chunks: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
-    """Chunks of the phrases one word longer: codes meet the ids that ``answers(to, local, id)`` gives their symbols."""
+    """Chunks of the phrases one word longer: codes meet the ids that ``answers(to, local, id)`` give their symbols."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({k: pa.array([], t) for k, t in (("chunk", pa.int64()), ("own", pa.binary()), ("codes", pa.binary()), ("local", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()))})
@@ -199,7 +250,8 @@ def next_chunks(chunks: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
             return empty
         codes, own = dec(left.column("codes")[0].as_py(), "<i4"), dec(left.column("own")[0].as_py(), "u1").astype(bool)
         number = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last is for -1
-        number[right.column("local").to_numpy()] = right.column("id").to_numpy()
+        for local, ids in zip(right.column("local"), right.column("id"), strict=True):
+            number[dec(local.as_py(), "<u4")] = dec(ids.as_py(), "<u8").astype(np.int64)
         codes, a, b, n = pairs_of(number[codes], own)
         if not len(a):
             return empty
@@ -242,8 +294,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
             break
         table = scratch.table(ranked(table, by), f"phrases-frequent-{length}")
         levels.append(table)
-        # One plan at every size: a table of frequent symbols grows with the corpus.
-        answers = symbols.join(table.select(*by, "id").hint("merge"), by).select(F.col("chunk").alias("to"), "local", "id")
+        answers = answered(symbols, table, by)
         before, chunks = chunks, scratch.table(next_chunks(chunks, answers, length + 1 == longest), f"phrases-{length + 1}")
         scratch.drop(before)
         by = ["a", "b"]

@@ -59,14 +59,17 @@ def test_query_equals_dictionaries(spark):
 @pytest.mark.parametrize("dense", [1, 1 << 15])
 def test_random_texts_in_many_chunks(spark, monkeypatch, dense):
     """Chunks of a few words, tiles of four ids, ties, overlaps and phrases over the ends of chunks."""
-    for name, value in (("SLICE_BYTES", 40), ("TILE_BITS", 2), ("HEAD", 2), ("DENSE", dense)):
+    for name, value in (("SLICE_BYTES", 40), ("TILE_BITS", 2), ("HEAD", 2), ("DENSE", dense), ("FLUSH", 50)):
         monkeypatch.setattr(collocations, name, value)
+    rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if dense == 1 else rows_a_batch)
     random.seed(11)
     vocabulary = ["a", "b", "aa", "Ä", "é", "The", "x-y", "'s", "\x00", "w" * 50]
     rows = [(random.choice(["en", "de", None, "und", ""]), "".join(random.choice(vocabulary) + random.choice([" ", "  ", "\t", ". ", "\n", ",", " "]) for _ in range(random.choice([0, 3, 60])))) for _ in range(60)]
     rows += [("en", "a b c d e f " * 30), ("en", "a a a a a a a a"), (None, None), ("zz", "")]
     for options in ({"least": 3}, {"least": 2, "longest": 3, "top": 7}, {"least": 1, "longest": 2}):
         assert mine(frame(spark, rows).repartition(3), **options) == brute(rows, **{"longest": 5, **options})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
 
 
 def test_tiles_against_a_counter():
