@@ -162,3 +162,30 @@ def confidence_label(score: Column) -> Column:
 def confidence_score(label: Column) -> Column:
     """SCL-T15: the number of a label; 0.85 for others."""
     return F.when(label == "High", 0.9).when(label == "Medium", 0.65).when(label == "Low", 0.5).otherwise(0.85)
+
+
+#: Fixed values of SCL-T8: a branch, a branch in front of a text, and references that stand for none.
+BRANCH = r"^\s*\d{3}\s+[A-Z][A-Z ]+\s*$"
+BRANCH_IN_FRONT = r"^\s*(\d{3}\s+[A-Z][A-Z ]+)\s+(.*)$"
+PLACEHOLDERS = ["'", "GAP", "'GAP"]
+
+
+def repair_fields(df: DataFrame, reference_: str = "reference", branch: str = "branch", text: str = "description") -> DataFrame:
+    """SCL-T8: reference, branch and text that run into each other, mended in five steps, each on what the one before left: a branch in
+    front of the text; a branch in place of the reference; a reference in front of the text, where there is none; words after a
+    reference go in front of the text; placeholders are no reference."""
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    x = df.withColumns({"_r": bare(F.col(reference_)), "_b": bare(F.col(branch)), "_t": bare(F.col(text))})
+    r, b, t = F.col("_r"), F.col("_b"), F.col("_t")
+    moves = t.rlike(BRANCH_IN_FRONT) & ~b.rlike(BRANCH)
+    x = x.withColumns({"_b": F.when(moves, bare(F.regexp_extract(t, BRANCH_IN_FRONT, 1))).otherwise(b), "_t": F.when(moves, bare(F.regexp_extract(t, BRANCH_IN_FRONT, 2))).otherwise(t)})
+    swaps = r.rlike(BRANCH) & (b == "")
+    x = x.withColumns({"_b": F.when(swaps, r).otherwise(b), "_r": F.when(swaps, "").otherwise(r)})
+    first = F.regexp_extract(t, r"^\S+", 0)
+    token = F.regexp_replace(first, "^'+|'+$", "")
+    gives = ((r == "") | r.isin(PLACEHOLDERS)) & (F.length(token) >= 6) & token.rlike(r"\d")
+    x = x.withColumns({"_r": F.when(gives, first).otherwise(r), "_t": F.when(gives, bare(F.substr(t, F.length(first) + 1))).otherwise(t)})
+    words = F.split(r, r"\s+")
+    spills = F.contains(r, F.lit(" "))
+    x = x.withColumns({"_r": F.when(spills, F.get(words, F.lit(0))).otherwise(r), "_t": F.when(spills, bare(F.concat_ws(" ", F.array_join(F.slice(words, 2, 1_000_000), " "), t))).otherwise(t)})
+    return x.withColumns({reference_: F.when(r.isin(PLACEHOLDERS), "").otherwise(r), branch: b, text: t}).drop("_r", "_b", "_t")

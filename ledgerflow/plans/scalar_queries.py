@@ -194,3 +194,18 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("ﬁ "), "text").alias("text"))
     return text.fold_compatibility(docs, "text").select("doc_id", text.clean_description(F.col("text")).alias("value"))
+
+
+# Reference, branch and text as printed, and as a reader sorts them out.
+FIELDS = [
+    ("", "", "205 LAGOS MAIN branch rent", "", "205 LAGOS MAIN", "branch rent"), ("'GAP", "", "REF123456 PAID", "REF123456", "", "PAID"), ("205 IKEJA", "", "RENT", "", "205 IKEJA", "RENT"), ("AB12 more words", "x", "RENT", "AB12", "x", "more words RENT"),
+    ("GAP", "101 ABA", "205 LAGOS RENT x", "", "101 ABA", "205 LAGOS RENT x"), ("R1", "", "'1234567 RENT", "R1", "", "'1234567 RENT"), ("'", "", "'1234567  RENT", "'1234567", "", "RENT"), ("205 IKEJA", "101 ABA", "123456", "205", "101 ABA", "IKEJA 123456"),
+    ("", "", "205 LAGOS 77889900 RENT", "77889900", "205 LAGOS", "RENT"), ("205 IKEJA", "", "88990011 RENT", "88990011", "205 IKEJA", "RENT"), ("", "", "", "", "", ""), (" GAP ", " x ", "short 1", "", "x", "short 1"),
+]
+
+
+@query("scl_t08_repair_fields", f"WITH {LEDGER_SQL} SELECT stmt_id, row_seq, " + ", ".join("[" + ", ".join("'" + f[k].replace("'", "''") + "'" for f in FIELDS) + f"][event_id % {len(FIELDS)} + 1] AS {c}" for k, c in ((3, "reference"), (4, "branch"), (5, "description"))) + " FROM ledger")
+def _(spark, sf_dir):
+    sample = F.element_at(F.array(*[F.struct(F.lit(f[0]).alias("reference"), F.lit(f[1]).alias("branch"), F.lit(f[2]).alias("description")) for f in FIELDS]), (F.col("event_id") % len(FIELDS) + 1).cast("int"))
+    rows = ledger(spark, sf_dir).select("stmt_id", "row_seq", sample.alias("s")).select("stmt_id", "row_seq", "s.*")
+    return text.repair_fields(rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerflow.plans.chain_queries import plain
 from ledgerflow.plans.fixtures import LEDGER_SQL, ledger
 from ledgerflow.plans.registry import query
-from ledgerflow.sources import tabular
+from ledgerflow.sources import tables, tabular
 
 #: Header rows as different banks print them; one in five statements has none.
 HEADS = [["Trans Date", "Narration", "Ref", "Debit", "Credit", "Balance"], ["DATE", "DESCRIPTION", "BRANCH", "WITHDRAWAL", "DEPOSIT", "BALANCE"], ["Transaction Date", "Remarks", "Value Date", "Withdrawals", "Lodgement", "Balance (NGN)"], ["Date", "Particulars", "x", "Debit Amt", "Credit Amt", "Closing Balance"]]
@@ -140,3 +140,40 @@ def _(spark, sf_dir):
     latin = F.encode("text", "ISO-8859-1")
     content = F.when((F.col("doc_id") % 2 == 0) & (F.decode(latin, "ISO-8859-1") == F.col("text")), latin).otherwise(F.encode("text", "UTF-8"))
     return tabular.decode_csv(docs.select(F.col("doc_id").alias("path"), content.alias("content"))).select(F.col("path").alias("doc_id"), "text")
+
+
+@query("src_13_printed_layouts", f"""WITH {LEDGER_SQL} SELECT stmt_id AS file_id, row_seq + 1 AS row_idx, CASE WHEN event_id % 5 = 0 THEN 'padded' WHEN stmt_id % 3 = 1 THEN 'branches' ELSE 'details' END AS layout,
+ strftime(txn_date, '%d-%b-%Y') AS date_raw, CASE WHEN event_id % 7 = 0 THEN 'No Description' ELSE narration END AS description, CASE WHEN event_id % 5 = 0 OR event_id % 2 = 0 THEN 'R' || event_id ELSE '' END AS reference, {_VALUES} FROM ledger""")
+def _(spark, sf_dir):
+    """Files with either header or none, a banner above; every fifth row has empty columns between its cells."""
+    rows, n = ledger(spark, sf_dir), F.col("event_id")
+    kind, day, no = F.col("stmt_id") % 3, F.date_format("txn_date", "dd-MMM-yyyy"), F.lit("")
+    said, ref = F.when(n % 7 == 0, "").otherwise(F.regexp_replace("narration", " ", "\n")), F.concat(F.lit("R"), n.cast("string"))
+    own = F.when(n % 2 == 0, ref).otherwise(no)
+    d, c, b = (F.format_number(x, 2) for x in ("debit", "credit", "balance"))
+    cells_ = F.when(n % 5 == 0, F.array(day, said, no, ref, no, day, d, no, c, b)).when(kind == 1, F.array(day, day, own, d, c, b, F.lit("LAGOS"), said)).otherwise(F.array(day, said, own, F.when(n % 3 > 0, day).otherwise(no), d, c, b))
+    body = rows.select(F.col("stmt_id").alias("file_id"), (F.col("row_seq") + 1).cast("int").alias("row_idx"), cells_.alias("cells"))
+    head = F.when(kind == 0, F.array(*map(F.lit, ["Date", "Transaction Details", "Reference", "Value Date", "Withdrawals", "Lodgements", "Balance"]))).when(kind == 1, F.array(*map(F.lit, ["Posted Date", "Value Date", "Ref", "Debit", "Credit", "Balance", "Originating Branch", "Remarks"])))
+    files = rows.select("stmt_id").distinct()
+    banner = files.select(F.col("stmt_id").alias("file_id"), F.lit(0).alias("row_idx"), F.array(F.lit("Opening Balance"), F.lit(None), F.lit("9.00")).alias("cells"))
+    heads = files.where(kind < 2).select(F.col("stmt_id").alias("file_id"), F.lit(1).alias("row_idx"), head.alias("cells"))
+    out = tables.layout_rows(body.unionByName(heads).unionByName(banner))
+    return out.select("file_id", F.col("row_idx").cast("long").alias("row_idx"), "layout", "date_raw", F.col("description"), "reference", "debit", "credit", "balance")
+
+
+@query("src_14_table_rows", f"""WITH {LEDGER_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY stmt_id ORDER BY row_seq) = 1 AS first FROM ledger WHERE narration <> 'OPENING BALANCE')
+SELECT stmt_id AS file_id, page_no, strftime(txn_date, '%d-%b-%Y') AS date_raw, CASE WHEN event_id % 4 = 0 THEN 'REFNO:' || event_id ELSE '' END AS reference,
+ CASE WHEN event_id % 4 = 0 THEN 'REFNO:' || event_id || ' ' ELSE '' END || narration || CASE WHEN event_id % 4 = 2 THEN ' more' ELSE '' END || CASE WHEN first THEN ' lead' ELSE '' END AS description, {_VALUES} FROM e WHERE debit <> 0 OR credit <> 0""")
+def _(spark, sf_dir):
+    """A header on each page; a reference behind the text of every fourth row, text in the next cell, or going on below."""
+    rows, n = ledger(spark, sf_dir), F.col("event_id")
+    at = lambda d: ((F.col("row_seq") - 1) % 20 * 2 + d).cast("int").alias("row_idx")
+    day, keys = F.date_format("txn_date", "dd-MMM-yyyy"), [F.col("stmt_id").alias("file_id"), "page_no"]
+    text_ = F.when(n % 4 == 0, F.concat("narration", F.lit(" , REFNO:"), n.cast("string"))).when(n % 4 == 1, "").otherwise(F.col("narration"))
+    money = [F.concat(F.lit("\n"), F.format_number(c, 2), F.lit("\n9.99")) for c in ("debit", "credit", "balance")]
+    body = rows.select(*keys, at(2), F.array(day, text_, F.when(n % 4 == 1, F.col("narration")).otherwise(day), *money).alias("cells"))
+    more = rows.where(n % 4 == 2).select(*keys, at(3), F.array(F.lit(None), F.lit("more"), F.lit(""), F.lit("")).alias("cells"))
+    head = rows.select("stmt_id", "page_no").distinct().select(*keys, F.lit(0).alias("row_idx"), F.array(*map(F.lit, ["Transaction\nDate", "Remarks", "Value Date", "Debit", "Credit", "Balance"])).alias("cells"))
+    lead = rows.where("row_seq = 1").select(*keys, F.lit(1).alias("row_idx"), F.array(F.lit(""), F.lit("lead"), F.lit(""), F.lit("")).alias("cells"))
+    out = tables.continued_table_rows(body.unionByName(more).unionByName(head).unionByName(lead))
+    return out.select("file_id", "page_no", "date_raw", "reference", "description", "debit", "credit", "balance")

@@ -11,7 +11,7 @@ NAMES = [
     "cash_flow_summary", "chn_01_balance_audit", "chn_09_swap_and_snap", "chn_12_flip_in_segments", "chn_16_insert_chain_adjustments", "scl_m03_money_ledger", "scl_d1_smart_date", "scl_t06_entity", "cls_10_tax_tree", "jon_01_merge_results",
     "agg_04_validate_totals", "snk_08_metric_sheet", "ord_06_nearest_totals", "src_07_project_rows", "lay_14_cells", "lay_29_merge_lines",
     "lay_18_bank_of", "lay_19_guarded_bank", "lay_27_bank_noise", "lay_28_guarded_dates", "lay_45_profile_fields", "lay_14_header_cuts", "lay_11_pick_number",
-    "lay_15_judged_cuts", "lay_16_consensus_zones", "lay_17_discovered_columns", "lay_41_split_totals", "lay_41_compact_fields", "lay_42_footer_fields", "lay_09_mended_cells", "lay_36_amount_lines", "lay_38_zone_rows", "src_02_quoted_cells",
+    "src_13_printed_layouts", "src_14_table_rows", "scl_t08_repair_fields", "lay_15_judged_cuts", "lay_16_consensus_zones", "lay_17_discovered_columns", "lay_41_split_totals", "lay_41_compact_fields", "lay_42_footer_fields", "lay_09_mended_cells", "lay_36_amount_lines", "lay_38_zone_rows", "src_02_quoted_cells",
 ]
 
 
