@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.text import bind, clean_description, has_any, has_keyword, narration_words
-from ledgerflow.operators.rules import Verdicts
+from ledgerflow.operators.rules import Verdicts, in_parts
 
 REVIEW = "Review Required"
 
@@ -40,51 +40,75 @@ class Template:
 
 
 #: Bank items that are no income or expense of their own.
-BANK_NOISE = "stamp duty, sms alert, account maintenance, acct maint, vat on bank charge, value added tax on charge, card charge, transfer charge, commission, nip charge, pos stamp duty, reversal, reversed, failed, opening balance, closing balance, internal transfer, own account transfer, bank charge, charges, vat on bank, sms, pos charge, own account, loan disbursement".split(", ")
-ENTITY = "ltd, limited, plc, enterprise, enterprises, ventures, company, incorporated, nigeria limited, firs, federal inland revenue, wht, cit, tax payment".split(", ")
-NOT_APPLICABLE = "stamp duty, sms alert, account maintenance, acct maint, vat on bank charge, value added tax on charge, card charge, transfer charge, commission, nip charge, counter cheque issue charge, counter chq issue charge, cheque issue charge, chq issue charge, vat counter chq, vat counter cheque, vat on cheque, cheque book charge, cheque charge, pos stamp duty, reversal, reversed, failed, opening balance, closing balance, internal transfer, own account transfer, balance brought forward".split(", ")
+BANK_NOISE = [
+    "stamp duty", "sms alert", "account maintenance", "acct maint", "vat on bank charge", "value added tax on charge", "card charge", "transfer charge",
+    "commission", "nip charge", "pos stamp duty", "reversal", "reversed", "failed", "opening balance", "closing balance", "internal transfer",
+    "own account transfer", "bank charge", "charges", "vat on bank", "sms", "pos charge", "own account", "loan disbursement",
+]
+#: Words of companies and tax authorities.
+ENTITY = [
+    "ltd", "limited", "plc", "enterprise", "enterprises", "ventures", "company", "incorporated", "nigeria limited", "firs", "federal inland revenue",
+    "wht", "cit", "tax payment",
+]
+#: Bank items that no tax applies to.
+NOT_APPLICABLE = [
+    "stamp duty", "sms alert", "account maintenance", "acct maint", "vat on bank charge", "value added tax on charge", "card charge", "transfer charge",
+    "commission", "nip charge", "counter cheque issue charge", "counter chq issue charge", "cheque issue charge", "chq issue charge", "vat counter chq",
+    "vat counter cheque", "vat on cheque", "cheque book charge", "cheque charge", "pos stamp duty", "reversal", "reversed", "failed", "opening balance",
+    "closing balance", "internal transfer", "own account transfer", "balance brought forward",
+]
+#: Words of salaries, and amounts and words of usual transfer fees.
 SALARY = ["salary", "payroll", "staff salary", "wages"]
 CHARGE_AMOUNTS = [1.25, 2.5, 3.75, 6.83, 10, 10.75, 25, 26.88, 50, 53.75, 90.96, 100, 107.5]
-CHARGE_WORDS = "cob trf to, nip transfer, nip, transfer fee, transfer charge, cob trf, trf, interbank transfer, bank transfer, others".split(", ")
+CHARGE_WORDS = ["cob trf to", "nip transfer", "nip", "transfer fee", "transfer charge", "cob trf", "trf", "interbank transfer", "bank transfer", "others"]
+#: What surrounds trade names, titles of persons, hints at a trade, words that are no person's name.
 TRADE_CONTEXT = ["cob trf", "trf to", "transfer to", "nip transfer", "pos purchase"]
 TITLES = ["mr", "mrs", "miss", "dr"]
-TRADE_HINTS = "oil, print, cakes, eng, engineering, office, music, mus, gold, stores, superstores, food, foods, market, ventures, logistics, cleaning, medical, digital, internet, subscription, school, academy, studio, fashion, pharmacy, mart, shop, enterprise, attainable, ryteprint, goldmender, damac, palmacedar".split(", ")
-NOT_PERSONS = "vendor, vendors, supplier, subscription, internet, merchant, services, cleaning, medical, digital, logistics, tutoring".split(", ")
+TRADE_HINTS = [
+    "oil", "print", "cakes", "eng", "engineering", "office", "music", "mus", "gold", "stores", "superstores", "food", "foods", "market", "ventures",
+    "logistics", "cleaning", "medical", "digital", "internet", "subscription", "school", "academy", "studio", "fashion", "pharmacy", "mart", "shop",
+    "enterprise", "attainable", "ryteprint", "goldmender", "damac", "palmacedar",
+]
+NOT_PERSONS = ["vendor", "vendors", "supplier", "subscription", "internet", "merchant", "services", "cleaning", "medical", "digital", "logistics", "tutoring"]
 FILLERS = "cob|trf|transfer|to|from|nip|neft|payment|paid|for|on|behalf|beh"
-BUSINESS = ["Operating Income", "Pension Income", "Customer Payment", "Supplier Payment", "Staff Cost", "Rent", "Transport", "Repairs and Maintenance", "Office/Admin Expense", "Bank Charges & Levies", "Taxes and Statutory Payments", "Internal Transfer", "Loan", "Refund", "Reversal", "Cash Withdrawal"]
-
-
-def _business() -> list[Category]:
-    words = lambda n: n.lower().replace("&", " ").replace("/", " ").split()
-    return [Category(n, "credit" if "Income" in n or "Customer" in n else "both", 60 - i, BANK_NOISE if n == "Bank Charges & Levies" else words(n)) for i, n in enumerate(BUSINESS)]
-
-
-def _c(name: str, applies_to: str, priority: int, include: str = "", exclude: str = "") -> Category:
-    split = lambda s: [k for k in s.split(",") if k.strip()]
-    return Category(name, applies_to, priority, [k.strip() for k in split(include)], [k.strip() for k in split(exclude)])
 
 
 def built_in_templates() -> dict[str, Template]:
     """CLS-15: the built-in sets (fixed values)."""
-    tax = "tax,firs,sirs,vat,wht,paye,pension"
-    noise = ",".join(BANK_NOISE)
     sets = [
-        Template("firs-sirs-na", "FIRS / SIRS / Not Applicable", "debit", [Category("FIRS", "debit", 90, ENTITY, BANK_NOISE), Category("Not Applicable", "debit", 100, BANK_NOISE), _c("SIRS", "debit", 40, "mr,mrs,miss,dr,refund to individual", "ltd,limited,plc,enterprise,ventures,company")]),
+        Template("firs-sirs-na", "FIRS / SIRS / Not Applicable", "debit", [Category("FIRS", "debit", 90, ENTITY, BANK_NOISE), Category("Not Applicable", "debit", 100, BANK_NOISE), Category("SIRS", "debit", 40, ["mr", "mrs", "miss", "dr", "refund to individual"], ["ltd", "limited", "plc", "enterprise", "ventures", "company"])]),
         Template("credit-income", "Credit-only income analysis", "credit", [
-            _c("Customer Payment", "credit", 80, "payment,customer,client,invoice,pos,web payment", "loan,refund"), _c("Sales Income", "credit", 75, "sales,revenue,receipt"), _c("Owner Funding", "credit", 70, "capital,owner,director,funding"),
-            _c("Loan Inflow", "credit", 85, "loan,facility,disbursement"), _c("Pension Income", "credit", 88, "pension,pencom,ptad,pfa,retirement benefit,retirement savings,annuity"), _c("Internal Transfer", "credit", 65, "internal,own account,transfer between,sweep"),
-            _c("Refund/Reversal", "credit", 90, "refund,reversal,reversed"), _c("Interest Income", "credit", 80, "interest", "withholding,wht"), _c("Unexplained Credit", "credit", 0)]),
+            Category("Customer Payment", "credit", 80, ["payment", "customer", "client", "invoice", "pos", "web payment"], ["loan", "refund"]), Category("Sales Income", "credit", 75, ["sales", "revenue", "receipt"]), Category("Owner Funding", "credit", 70, ["capital", "owner", "director", "funding"]),
+            Category("Loan Inflow", "credit", 85, ["loan", "facility", "disbursement"]), Category("Pension Income", "credit", 88, ["pension", "pencom", "ptad", "pfa", "retirement benefit", "retirement savings", "annuity"]), Category("Internal Transfer", "credit", 65, ["internal", "own account", "transfer between", "sweep"]),
+            Category("Refund/Reversal", "credit", 90, ["refund", "reversal", "reversed"]), Category("Interest Income", "credit", 80, ["interest"], ["withholding", "wht"]), Category("Unexplained Credit", "credit", 0)]),
         Template("debit-expense", "Debit-only expense analysis", "debit", [
-            _c("Supplier Payment", "debit", 60, "supplier,invoice,payment to,purchase", noise), _c("Staff/Salary Payment", "debit", 90, "salary,payroll,staff,allowance,wages"), _c("Rent", "debit", 85, "rent,lease"), _c("Transport", "debit", 80, "transport,logistics,uber,bolt,fuel"),
-            _c("Repairs & Maintenance", "debit", 75, "repair,maintenance,service"), _c("Office Expense", "debit", 70, "office,stationery,internet,subscription"), _c("Travel", "debit", 82, "travel,flight,hotel,visa"), _c("Bank Charges", "debit", 100, noise),
-            _c("Tax/Statutory Payment", "debit", 95, tax), _c("Loan Repayment", "debit", 86, "loan repayment,repayment,facility"), _c("Internal Transfer", "debit", 92, "internal,own account,transfer between"), _c("Cash Withdrawal", "debit", 85, "cash withdrawal,atm,withdrawal")]),
-        Template("business-category", "Business income and expense categorization", "both", _business()),
+            Category("Supplier Payment", "debit", 60, ["supplier", "invoice", "payment to", "purchase"], BANK_NOISE), Category("Staff/Salary Payment", "debit", 90, ["salary", "payroll", "staff", "allowance", "wages"]), Category("Rent", "debit", 85, ["rent", "lease"]), Category("Transport", "debit", 80, ["transport", "logistics", "uber", "bolt", "fuel"]),
+            Category("Repairs & Maintenance", "debit", 75, ["repair", "maintenance", "service"]), Category("Office Expense", "debit", 70, ["office", "stationery", "internet", "subscription"]), Category("Travel", "debit", 82, ["travel", "flight", "hotel", "visa"]), Category("Bank Charges", "debit", 100, BANK_NOISE),
+            Category("Tax/Statutory Payment", "debit", 95, ["tax", "firs", "sirs", "vat", "wht", "paye", "pension"]), Category("Loan Repayment", "debit", 86, ["loan repayment", "repayment", "facility"]), Category("Internal Transfer", "debit", 92, ["internal", "own account", "transfer between"]), Category("Cash Withdrawal", "debit", 85, ["cash withdrawal", "atm", "withdrawal"])]),
+        Template("business-category", "Business income and expense categorization", "both", [
+            Category("Operating Income", "credit", 60, ["operating", "income"]),
+            Category("Pension Income", "credit", 59, ["pension", "income"]),
+            Category("Customer Payment", "credit", 58, ["customer", "payment"]),
+            Category("Supplier Payment", "both", 57, ["supplier", "payment"]),
+            Category("Staff Cost", "both", 56, ["staff", "cost"]),
+            Category("Rent", "both", 55, ["rent"]),
+            Category("Transport", "both", 54, ["transport"]),
+            Category("Repairs and Maintenance", "both", 53, ["repairs", "and", "maintenance"]),
+            Category("Office/Admin Expense", "both", 52, ["office", "admin", "expense"]),
+            Category("Bank Charges & Levies", "both", 51, BANK_NOISE),
+            Category("Taxes and Statutory Payments", "both", 50, ["taxes", "and", "statutory", "payments"]),
+            Category("Internal Transfer", "both", 49, ["internal", "transfer"]),
+            Category("Loan", "both", 48, ["loan"]),
+            Category("Refund", "both", 47, ["refund"]),
+            Category("Reversal", "both", 46, ["reversal"]),
+            Category("Cash Withdrawal", "both", 45, ["cash", "withdrawal"]),
+        ]),
         Template("travel-tour", "Travel/tour business classification", "both", [
-            _c("Customer Trip Payment", "credit", 75, "trip,tour,package,customer"), _c("Flight/Airline Payment", "debit", 90, "flight,airline,ticket,iata"), _c("Hotel/Accommodation", "debit", 85, "hotel,accommodation,lodging"), _c("Visa Processing", "debit", 88, "visa,embassy,vfs"),
-            _c("Insurance", "debit", 80, "insurance"), _c("Customer Refund", "debit", 90, "refund"), _c("Bank Charges & Taxes", "both", 100, noise + ",tax,vat,wht")]),
+            Category("Customer Trip Payment", "credit", 75, ["trip", "tour", "package", "customer"]), Category("Flight/Airline Payment", "debit", 90, ["flight", "airline", "ticket", "iata"]), Category("Hotel/Accommodation", "debit", 85, ["hotel", "accommodation", "lodging"]), Category("Visa Processing", "debit", 88, ["visa", "embassy", "vfs"]),
+            Category("Insurance", "debit", 80, ["insurance"]), Category("Customer Refund", "debit", 90, ["refund"]), Category("Bank Charges & Taxes", "both", 100, [*BANK_NOISE, "tax", "vat", "wht"])]),
         Template("tax-audit", "Tax audit analysis", "both", [
-            _c("Taxable Business Income", "credit", 80, "payment,sales,invoice,customer", "loan,refund"), _c("Non-taxable Inflow", "credit", 70, "capital,owner,refund"), _c("Related Party Transfer", "both", 75, "director,shareholder,related"),
-            _c("Statutory Payment", "debit", 95, tax), _c("Individual Payment", "debit", 40, "mr,mrs,miss,dr", "ltd,limited"), _c("Bank Charges", "debit", 100, noise)]),
+            Category("Taxable Business Income", "credit", 80, ["payment", "sales", "invoice", "customer"], ["loan", "refund"]), Category("Non-taxable Inflow", "credit", 70, ["capital", "owner", "refund"]), Category("Related Party Transfer", "both", 75, ["director", "shareholder", "related"]),
+            Category("Statutory Payment", "debit", 95, ["tax", "firs", "sirs", "vat", "wht", "paye", "pension"]), Category("Individual Payment", "debit", 40, ["mr", "mrs", "miss", "dr"], ["ltd", "limited"]), Category("Bank Charges", "debit", 100, BANK_NOISE)]),
         Template("custom", "Custom analysis", "both", []),
     ]
     return {t.template_id: t for t in sets}
@@ -196,13 +220,21 @@ def template_rows(spark: SparkSession, template: Template) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, template_id string, template_name string, scope string, instructions string, category string, label string, applies_to string, priority int, include array<string>, exclude array<string>")
 
 
-def classify_by_table(df: DataFrame, rules: DataFrame, row_key: list[str], most_rules: int = 20_000) -> DataFrame:
-    """CLS-09 with categories kept in a table: broadcast after a size check, best priority per row."""
-    if rules.limit(most_rules + 1).count() > most_rules:
-        raise ValueError(f"more than {most_rules} categories")
-    words = df.withColumn("_words", narration_words(F.concat_ws(" ", "description", "reference", "raw_text"))).drop("category")
-    hit = lambda k: F.when(k.contains(" "), F.col("_words").contains(k)).otherwise(F.concat(F.lit(" "), F.col("_words"), F.lit(" ")).contains(F.concat(F.lit(" "), k, F.lit(" "))))
-    fits = F.exists("include", hit) & ~F.exists("exclude", hit) & ((F.col("applies_to") == "both") | ((F.col("applies_to") == "debit") & (F.col("debit") > 0)) | ((F.col("applies_to") == "credit") & (F.col("credit") > 0)))
-    best = Window.partitionBy(*row_key).orderBy(F.col("priority").desc_nulls_last(), "ord")
-    met = words.join(F.broadcast(rules.select("ord", "label", "applies_to", "priority", "include", "exclude")), fits, "left")
-    return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("category", F.coalesce("label", F.lit(REVIEW))).drop("_n", "_words", "ord", "label", "applies_to", "priority", "include", "exclude")
+def classify_by_table(df: DataFrame, rules: DataFrame, row_key: list[str] | None = None, at_once: int = 100) -> DataFrame:
+    """CLS-09 with categories kept in a table of any length: compiled like built-in ones, best priority first, ``at_once`` in one expression;
+    a row that has its category looks no further. Rows are neither joined nor moved."""
+    w = F.col("_words")
+    out = df.withColumn("_words", narration_words(F.concat_ws(" ", "description", "reference", "raw_text"))).withColumn("category", F.lit(None).cast("string"))
+    ordered = rules.select("ord", "label", "applies_to", "priority", "include", "exclude").orderBy(F.col("priority").desc_nulls_last(), "ord")
+    has = lambda ks: F.exists(F.array(*map(F.lit, ks)), lambda k: F.when(k.contains(" "), w.contains(k)).otherwise(F.concat(F.lit(" "), w, F.lit(" ")).contains(F.concat(F.lit(" "), k, F.lit(" ")))))
+    side = {"both": F.lit(True), "debit": F.col("debit") > 0, "credit": F.col("credit") > 0}
+    for part in in_parts(ordered.toLocalIterator(), at_once):
+        found = None
+        for r in part:
+            if r.applies_to in side and r.include:
+                hit = side[r.applies_to] & has(r.include)
+                hit = hit & ~has(r.exclude) if r.exclude else hit
+                found = F.when(hit, r.label) if found is None else found.when(hit, r.label)
+        if found is not None:
+            out = out.withColumn("category", F.coalesce("category", found))
+    return out.withColumn("category", F.coalesce("category", F.lit(REVIEW))).drop("_words")

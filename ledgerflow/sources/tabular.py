@@ -29,6 +29,7 @@ UNIVERSAL = {
     "credit": ["credit", "lodgement", "deposit", "cr amount", "credit amount", "cr"],
     "balance": ["balance", "running balance", "available balance"],
 }
+#: Names of fields in JSON rows.
 ALIASES = {"date": ["date", "transaction_date", "txn_date"], "description": ["description", "narration", "details"], "debit": ["debit", "withdrawal", "dr"], "credit": ["credit", "deposit", "cr"], "balance": ["balance", "running_balance"]}
 
 

@@ -122,3 +122,36 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.category for r in spark.sql("select category from categorised").collect()} == {"Salaries & Wages", "Operating Income"}
+
+
+def test_rule_tables_of_any_length(spark):
+    """Several parts of compiled rules, ties in order, nulls and unknown sides, against a loop; no join in the plan."""
+    import re
+
+    random.seed(1)
+    rows = [(k, f"r{k}", random.choice([1, 2, 3, None]), random.choice(["both", "debit", "credit", "none"]), random.choice([rf"\bw{k % 40}\b", None, "zz"]), random.choice([None, None, "x"]), f"c{k}", k / 100) for k in range(250)]
+    table = spark.createDataFrame(rows, "rule_ord int, rule_id string, priority int, side string, pattern string, exclude string, category string, confidence double").repartition(3)
+    data = [(i, " ".join(random.choices([*[f"w{k}" for k in range(60)], "x"], k=2)), random.choice([0.0, 5.0]), random.choice([0.0, 7.0])) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, clean_description string, debit double, credit double")
+
+    def best(said, debit, credit):
+        for _, rule, _, side, pattern, exclude, category, confidence in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+            if {"both": True, "debit": debit != 0, "credit": credit != 0}.get(side) and pattern and re.search(pattern, said) and not (exclude and re.search(exclude, said)):
+                return rule, category, confidence
+        return None, None, None
+
+    for at_once in (7, 100, 1000):
+        out = rules.match_rule_table(df, table, at_once=at_once)
+        assert "Join" not in out._jdf.queryExecution().toString()
+        assert [(r.rule_id, r.category, r.confidence) for r in out.orderBy("id").collect()] == [best(*d[1:]) for d in data]
+    assert rules.match_rule_table(df, table.limit(0)).where("rule_id is null").count() == 300
+
+
+def test_category_tables_of_any_length(spark):
+    template = templates.built_in_templates()["debit-expense"]
+    said = ["SALARY MAY", "UBER TRIP", "SMS ALERT CHARGE", "rent and transport", "nothing known", "ATM CASH WITHDRAWAL"]
+    rows = templates.normalise_rows(spark.createDataFrame([(1, i, s, 5.0, 0.0) for i, s in enumerate(said)], "stmt_id long, row_seq long, narration string, debit double, credit double"))
+    want = [r.category for r in templates.classify(rows, template).orderBy("row_seq").collect()]
+    for at_once in (1, 5, 100):
+        out = templates.classify_by_table(rows, templates.template_rows(spark, template), at_once=at_once)
+        assert [r.category for r in out.orderBy("row_seq").collect()] == want and "Join" not in out._jdf.queryExecution().toString()
