@@ -6,10 +6,14 @@ zero counts as missing where a docstring says "known". All windows of a statemen
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+from ledgerflow.operators.folds import fold_rows
 
 MONEY = "decimal(18,2)"
 KEY = ("stmt_id",)
@@ -189,30 +193,25 @@ def mend_truncated_balances(df: DataFrame, opening: str = "opening", raw: str =
     """CHN-15: a balance whose printed digits (six or more) are a proper prefix of the expected ones, or that has the expected
     whole units and is less than one off, takes the expected value, which then is the next row's start.
 
-    Each row depends on the mended one before, so a statement's rows are folded in order inside one expression; a statement
-    is one array, bounded by the length of a printed statement.
+    Each row depends on the mended one before, so a statement's rows are streamed in order; the state is one balance. The first row's
+    ``opening`` is the start. Rows with a null amount or balance stay as they are.
     """
-    rows = df.select(*key, F.struct("row_seq", *[c for c in df.columns if c not in (*key, "row_seq")]).alias("row"))
-    g = rows.groupBy(*key).agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    first = F.col("rows")[0][opening]
-    none = F.lit(None).cast(MONEY)
-
-    def step(acc: Column, r: Column) -> Column:
-        prev = acc["prev"]
-        expected = money(prev - r["debit"] + r["credit"])
-        printed, want = digits(F.coalesce(r[raw], F.lit(""))), digits(F.format_number(F.abs(expected), 2))
-        short = (F.length(printed) >= 6) & (F.length(printed) < F.length(want)) & want.startswith(printed)
-        close = (F.floor(F.abs(r["balance"])) == F.floor(F.abs(expected))) & (F.abs(r["balance"] - expected) <= 1)
-        mend = prev.isNotNull() & (r["balance"] != 0) & (short | close)
-        value = money(F.when(mend, expected).otherwise(r["balance"]))
-        nxt = money(F.when(mend, expected).when(r["balance"] != 0, r["balance"]).otherwise(prev))
-        return F.struct(nxt.alias("prev"), F.concat(acc["out"], F.array(value)).alias("out"))
-
-    start = F.struct(money(F.coalesce(first, none)).alias("prev"), F.array().cast(f"array<{MONEY}>").alias("out"))
-    mended = g.select(*key, "rows", F.aggregate("rows", start, step)["out"].alias("mended"))
-    each = mended.select(*key, F.explode(F.arrays_zip("rows", "mended")).alias("z"))
-    return each.select(*key, *[F.col("z.mended").alias(c) if c == "balance" else F.col(f"z.rows.{c}").alias(c) for c in df.columns if c not in key])
+
+    def step(state: tuple, row: tuple) -> tuple:
+        (begun, prev), (debit, credit, balance, printed, first) = state, row
+        prev = prev if begun else first
+        if None in (prev, debit, credit, balance):
+            return (True, balance or prev), balance
+        expected = prev - debit + credit
+        shown, want = re.sub(r"\D", "", printed or ""), re.sub(r"\D", "", f"{abs(expected):.2f}")
+        short = 6 <= len(shown) < len(want) and want.startswith(shown)
+        close = abs(balance) // 1 == abs(expected) // 1 and abs(balance - expected) <= 1
+        if balance != 0 and (short or close):
+            return (True, expected), expected
+        return (True, balance or prev), balance
+
+    amounts = df.withColumns({c: money(F.col(c)) for c in ("debit", "credit", "balance", opening)})
+    return fold_rows(amounts, key, ["row_seq"], ["debit", "credit", "balance", raw, opening], lambda: (False, None), step, "balance", DecimalType(18, 2))
 
 
 def insert_chain_adjustments(df: DataFrame, least: int = 100_000, text: str = "narration", key: Sequence[str] = KEY) -> DataFrame:

@@ -10,9 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ledgerflow.functions.money import TOKEN
 from ledgerflow.operators import bank_profiles
+from ledgerflow.operators.folds import fold_rows
 
 PAGE = ("file_id", "page_no")
 #: Words of a header or a block of totals.
@@ -23,20 +25,16 @@ HEADER_WORDS = {"date": "x0", "narration": "x0", "description": "x0", "debit": "
 
 def cluster_lines(words: DataFrame, tolerance: float = 3.0, look_back: int = 8) -> DataFrame:
     """LAY-01: words join the last line within the tolerance of its first word, else the newest of the last eight that is,
-    else begin a line. Depends on all lines before, so a page's words are folded in order."""
-    item = F.struct("top", "x0", "word_seq", "text", "x1")
-    g = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("ws"))
-    start = F.struct(F.array().cast("array<double>").alias("tops"), F.array().cast("array<struct<word_seq:bigint,line_id:int>>").alias("out"))
+    else begin a line. Depends on all lines before, so a page's words are streamed in order; the state is the last eight lines."""
 
-    def step(a: Column, w: Column) -> Column:
-        n = F.size(a["tops"])
-        recent = F.reverse(F.slice(a["tops"], F.greatest(n - look_back + 1, F.lit(1)), F.lit(look_back)))
-        back = F.array_position(F.transform(recent, lambda t: F.abs(w["top"] - t) <= tolerance), F.lit(True)).cast("int")
-        line = F.when(back > 0, n - back).otherwise(n)
-        return F.struct(F.when(back > 0, a["tops"]).otherwise(F.concat(a["tops"], F.array(w["top"]))).alias("tops"), F.concat(a["out"], F.array(F.struct(w["word_seq"].cast("long").alias("word_seq"), line.alias("line_id")))).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple:
+        count, recent = state
+        for back, top in enumerate(reversed(recent)):
+            if abs(row[0] - top) <= tolerance:
+                return state, count - 1 - back
+        return (count + 1, [*recent, row[0]][-look_back:]), count
 
-    ids = g.select(*PAGE, F.explode(F.aggregate("ws", start, step)["out"]).alias("o")).select(*PAGE, "o.word_seq", "o.line_id")
-    return words.join(ids, [*PAGE, "word_seq"])
+    return fold_rows(words, PAGE, ["top", "x0", "word_seq"], ["top"], lambda: (0, []), step, "line_id", IntegerType())
 
 
 def bucket_lines(words: DataFrame, height: float = 3.0, down: bool = False) -> DataFrame:
@@ -52,27 +50,26 @@ def gap_lines(words: DataFrame, gap: float = 4.0) -> DataFrame:
     return words.withColumn("_s", step).withColumn("line_id", F.sum("_s").over(w).cast("int")).drop("_s")
 
 
-def _met(words: DataFrame, cuts: DataFrame, test: Column) -> DataFrame:
-    c = cuts.select(*[F.col(k).alias(f"c_{k}") for k in (*PAGE, "col_ord", "col_name", "x_left", "x_right")])
-    return words.join(c, (F.col("file_id") == F.col("c_file_id")) & (F.col("page_no") == F.col("c_page_no")) & test).drop("c_file_id", "c_page_no")
-
-
 def assign(words: DataFrame, cuts: DataFrame, mode: str = "left", slack: float = 5.0) -> DataFrame:
     """LAY-04..08: the column of each word. ``left``: its left edge; ``edge``: the right edge for amounts; ``middle``: its middle, into
-    every column that holds it; ``near``: middle, else right edge within the slack; ``overlap``: over half of it."""
-    left, right, x0, x1 = F.col("c_x_left"), F.col("c_x_right"), F.col("x0"), F.col("x1")
-    inside = lambda p, s=0.0: (left - s <= p) & (p < right + s)
-    mid = (x0 + x1) / 2
+    every column that holds it; ``near``: middle, else right edge within the slack; ``overlap``: over half of it.
+
+    The few cuts of a page are one array that its words meet in one join; the choice is an expression over it.
+    """
+    few = cuts.groupBy(*PAGE).agg(F.collect_list(F.struct("col_ord", "col_name", "x_left", "x_right")).alias("_cuts"))
+    x0, x1 = F.col("x0"), F.col("x1")
+    inside = lambda c, p, s=0.0: (c["x_left"] - s <= p) & (p < c["x_right"] + s)
+    mid, edge = (x0 + x1) / 2, F.when(F.col("text").rlike(r"^[\d,.()\-]+$") & F.col("text").rlike(r"\d"), x1).otherwise(x0)
     tests = {
-        "left": inside(x0), "edge": inside(F.when(F.col("text").rlike(r"^[\d,.()\-]+$") & F.col("text").rlike(r"\d"), x1).otherwise(x0)), "middle": inside(mid), "near": inside(mid) | inside(x1, slack),
-        "overlap": F.least(x1, right) - F.greatest(x0, left) > 0.5 * (x1 - x0),
+        "left": lambda c: inside(c, x0), "edge": lambda c: inside(c, edge), "middle": lambda c: inside(c, mid), "near": lambda c: inside(c, mid) | inside(c, x1, slack),
+        "overlap": lambda c: F.least(x1, c["x_right"]) - F.greatest(x0, c["x_left"]) > 0.5 * (x1 - x0),
     }
-    met = _met(words, cuts, tests[mode])
+    met = words.join(few, list(PAGE)).withColumn("_hits", F.filter("_cuts", tests[mode])).drop("_cuts")
     if mode == "middle":
-        return met.withColumnsRenamed({"c_col_name": "col_name", "c_col_ord": "col_ord"}).drop("c_x_left", "c_x_right")
-    rank = F.struct((~inside(mid)).cast("int"), "c_col_ord") if mode == "near" else F.struct("c_col_ord")
-    best = met.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE, "word_seq").orderBy(rank))).where("_n = 1")
-    return best.withColumnsRenamed({"c_col_name": "col_name", "c_col_ord": "col_ord"}).drop("_n", "c_x_left", "c_x_right")
+        return met.select(*words.columns, F.explode("_hits").alias("_c")).select(*words.columns, F.col("_c.col_ord").alias("col_ord"), F.col("_c.col_name").alias("col_name"))
+    second = (lambda c: (~inside(c, mid)).cast("int")) if mode == "near" else (lambda c: F.lit(0))
+    best = F.array_min(F.transform("_hits", lambda c: F.struct(second(c).alias("second"), c["col_ord"].alias("col_ord"), c["col_name"].alias("col_name"))))
+    return met.withColumn("_c", best).where("_c is not null").select(*words.columns, F.col("_c.col_ord").alias("col_ord"), F.col("_c.col_name").alias("col_name"))
 
 
 def cells_of(assigned: DataFrame) -> DataFrame:

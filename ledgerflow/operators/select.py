@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ledgerflow.operators.chain import KEY
+from ledgerflow.operators.folds import fold_rows
 
 
 def top_k(df: DataFrame, value: str, name: str, k: int = 8) -> DataFrame:
@@ -61,18 +63,17 @@ def batches(df: DataFrame, size: int = 35, key: Sequence[str] = KEY) -> DataFram
 
 
 def text_chunks(pages: DataFrame, most: int = 80_000, key: Sequence[str] = ("file_id",)) -> DataFrame:
-    """ORD-09: consecutive pages packed greedily into chunks of at most ``most`` characters; a longer page is alone.
+    """ORD-09: consecutive pages packed greedily into chunks of at most ``most`` characters; a longer page is alone. Null text is empty.
 
-    Where a chunk ends depends on all before it, so a file's page lengths are folded in order (numbers only, no text)."""
-    g = pages.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page_no", F.length("text").alias("n")))).alias("ps"))
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("chunk"), F.array().cast("array<struct<page_no:int,chunk:int>>").alias("out"))
+    Where a chunk ends depends on all before it, so a file's page lengths are streamed in order (numbers only, no text)."""
 
-    def step(a: Column, p: Column) -> Column:
-        fresh = (a["used"] > 0) & (a["used"] + p["n"] > most)
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(F.when(fresh, p["n"]).otherwise(a["used"] + p["n"]).alias("used"), chunk.alias("chunk"), F.concat(a["out"], F.array(F.struct(p["page_no"].alias("page_no"), chunk.alias("chunk")))).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple:
+        used, chunk = state
+        fresh = used > 0 and used + row[0] > most
+        return (row[0] if fresh else used + row[0], chunk + fresh), chunk + fresh
 
-    return g.select(*key, F.explode(F.aggregate("ps", start, step)["out"]).alias("o")).select(*key, "o.page_no", "o.chunk")
+    sizes = pages.select(*key, "page_no", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return fold_rows(sizes, key, ["page_no"], ["n"], lambda: (0, 0), step, "chunk", IntegerType()).drop("n")
 
 
 def concatenate(parts: Sequence[DataFrame]) -> DataFrame:

@@ -133,7 +133,15 @@ def _(spark, sf_dir):
     return plain(chain.infer_balances(ledger(spark, sf_dir), backward_first=True), "stmt_id", "row_seq", "balance")
 
 
-@query("chn_15_mend_truncated_balances")
+_digits = "regexp_replace(CAST(balance AS VARCHAR), '[^0-9]', '', 'g')"
+
+
+@query("chn_15_mend_truncated_balances", f"""WITH RECURSIVE {LEDGER_SQL}, p AS (SELECT stmt_id, row_seq, debit, credit, opening, CASE WHEN event_id % 13 = 0 THEN left({_digits}, length({_digits}) - 1) ELSE {_digits} END AS printed, CAST(CASE WHEN event_id % 13 = 0 THEN floor(balance) ELSE balance END AS DECIMAL(18,2)) AS balance FROM ledger),
+f AS (SELECT stmt_id, CAST(0 AS BIGINT) AS row_seq, min_by(opening, row_seq) AS prev, CAST(NULL AS DECIMAL(18,2)) AS balance FROM p GROUP BY stmt_id
+UNION ALL SELECT stmt_id, row_seq, CAST(CASE WHEN mend THEN expected WHEN balance <> 0 THEN balance ELSE prev END AS DECIMAL(18,2)), CAST(CASE WHEN mend THEN expected ELSE balance END AS DECIMAL(18,2))
+ FROM (SELECT *, balance <> 0 AND ((length(printed) >= 6 AND length(printed) < length(want) AND starts_with(want, printed)) OR (floor(abs(balance)) = floor(abs(expected)) AND abs(balance - expected) <= 1)) AS mend
+ FROM (SELECT p.*, f.prev, CAST(f.prev - p.debit + p.credit AS DECIMAL(18,2)) AS expected, regexp_replace(CAST(CAST(f.prev - p.debit + p.credit AS DECIMAL(18,2)) AS VARCHAR), '[^0-9]', '', 'g') AS want FROM f JOIN p ON p.stmt_id = f.stmt_id AND p.row_seq = f.row_seq + 1)))
+SELECT stmt_id, row_seq, CAST(balance AS DOUBLE) AS balance FROM f WHERE row_seq > 0""")
 def _(spark, sf_dir):
     cut = F.expr("CASE WHEN event_id % 13 = 0 THEN left(regexp_replace(cast(balance AS string), '[^0-9]', ''), length(regexp_replace(cast(balance AS string), '[^0-9]', '')) - 1) ELSE cast(balance AS string) END")
     rows = ledger(spark, sf_dir).withColumn("raw_balance", cut).withColumn("balance", F.when(F.col("event_id") % 13 == 0, F.expr("cast(floor(balance) AS decimal(18,2))")).otherwise(F.col("balance")))

@@ -307,5 +307,5 @@ CAST(any_value(z - (o + m)) AS DOUBLE) AS difference, CASE WHEN abs(any_value(z
 def cash_flow(spark, sf_dir):
     """Per statement and category: totals, with the statement's reconciliation verdict."""
     rows = classified(spark, sf_dir)
-    checks = summary.reconciliation(rows).select("stmt_id", "difference", "status")
+    checks = summary.reconciliation(ledger(spark, sf_dir)).select("stmt_id", "difference", "status")
     return plain(summary.category_summary(rows, ["stmt_id"]).join(checks, "stmt_id"))

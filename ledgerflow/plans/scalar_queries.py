@@ -133,6 +133,11 @@ _REF = r"coalesce(nullif(regexp_extract(raw, '(?i)\bREF(?:\s*NO)?[:.\s]+([A-Z0-9
 NOISE = ["DATE", "TRANSACTION", "DETAILS", "CHARGE", "OF"]
 VERBS = ["TRF", "NIP", "PURCHASE", "CHARGE"]
 _tokens = f"string_split({_sq('raw')}, ' ')"
+_twice = _sq("coalesce(raw || ' ' || raw, '')")
+_before = rf"regexp_extract({_twice}, '^(.*?)\b(?:{'|'.join(VERBS)})\b', 1)"
+_list_of = f"string_split(trim({_before}), ' ')"
+#: Words before the first verb once each, in order; the rest as it is.
+_FIRST_WORDS_ONCE = f"CASE WHEN {_before} <> '' THEN concat_ws(' ', array_to_string(list_filter({_list_of}, lambda x, i: list_position({_list_of}, x) = i), ' '), substr({_twice}, length({_before}) + 1)) ELSE {_twice} END"
 _verb = r"'\b(" + "|".join(VERBS) + r")\b'"
 _head = f"regexp_extract({_sq('raw || raw')}, '^(.*?)' || {_verb}, 1)"
 TEXTS = {
@@ -145,7 +150,7 @@ TEXTS = {
         "concat_ws(' ', CASE WHEN event_id % 3 <> 0 THEN 'R' || event_id END, CASE WHEN NOT contains(upper(narration), ['IKEJA', 'MARINA', NULL][event_id % 3 + 1]) THEN ['IKEJA', 'MARINA', NULL][event_id % 3 + 1] END, trim(narration))"),
     "scl_t09_reference": (lambda: text.reference(F.col("raw")), _REF),
     "scl_t10_drop_noise_tokens": (lambda: text.drop_noise_tokens(F.col("raw"), NOISE), rf"array_to_string(list_filter({_tokens}, lambda t: upper(t) NOT IN ({', '.join(f"'{n}'" for n in NOISE)}) AND NOT regexp_matches(t, '^\d{{1,2}}[-/](\d{{1,2}}|[A-Za-z]{{3}})[-/](\d{{2,4}})?$')), ' ')"),
-    "scl_t11_strip_repeated_prefix": (lambda: text.strip_repeated_prefix(F.concat("raw", F.lit(" "), F.col("raw")), VERBS), None),
+    "scl_t11_strip_repeated_prefix": (lambda: text.strip_repeated_prefix(F.concat("raw", F.lit(" "), F.col("raw")), VERBS), _FIRST_WORDS_ONCE),
     "scl_t12_or_reference": (lambda: text.or_reference(F.when(F.col("event_id") % 3 != 0, F.col("narration")).otherwise(F.lit(" ")), F.concat(F.lit("R"), F.col("event_id").cast("string"))), "CASE WHEN event_id % 3 <> 0 THEN trim(narration) ELSE 'R' || event_id END"),
     "scl_t13_safe_join": (lambda: text.safe_join(F.col("hint"), F.lit(" "), F.col("date_text"), F.col("narration")), "array_to_string(list_filter([trim(hint), '', trim(date_text), trim(narration)], lambda p: p IS NOT NULL AND p <> ''), ' ')"),
     "scl_t14_has_keyword": (lambda: F.concat_ws(",", *[text.has_keyword(text.narration_words(F.col("raw")), k).cast("string") for k in ("ltd", "bank charge", "trf")]), f"concat_ws(',', CAST(contains(' ' || {WORDS_SQL} || ' ', ' ltd ') AS VARCHAR), CAST(contains({WORDS_SQL}, 'bank charge') AS VARCHAR), CAST(contains(' ' || {WORDS_SQL} || ' ', ' trf ') AS VARCHAR))"),

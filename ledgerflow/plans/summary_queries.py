@@ -269,7 +269,10 @@ def _(spark, sf_dir):
     return select.batches(ledger(spark, sf_dir)).select("stmt_id", "row_seq", "batch")
 
 
-@query("ord_09_text_chunks")
+@query("ord_09_text_chunks", """WITH RECURSIVE p AS (SELECT doc_id // 50 AS file_id, CAST(doc_id % 50 AS INT) AS page_no, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id % 50) AS k FROM documents),
+f AS (SELECT file_id, page_no, n AS used, 0 AS chunk, k FROM p WHERE k = 1
+UNION ALL SELECT p.file_id, p.page_no, CASE WHEN f.used > 0 AND f.used + p.n > 20000 THEN p.n ELSE f.used + p.n END, f.chunk + CASE WHEN f.used > 0 AND f.used + p.n > 20000 THEN 1 ELSE 0 END, p.k FROM f JOIN p ON p.file_id = f.file_id AND p.k = f.k + 1)
+SELECT file_id, page_no, chunk FROM f""")
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return select.text_chunks(docs.select(F.floor(F.col("doc_id") / 50).cast("long").alias("file_id"), (F.col("doc_id") % 50).cast("int").alias("page_no"), "text"), 20_000)

@@ -103,13 +103,16 @@ def header_rows(cells: DataFrame, within: int = 20, least: int = 3) -> DataFrame
     return g.where("header_idx is not null or width >= 5").select("file_id", F.coalesce("header_idx", F.lit(-1)).alias("header_idx"))
 
 
-def header_map(cells: DataFrame) -> DataFrame:
-    """SRC-04: (file_id, header_idx, field -> cell number); the last cell that names a field wins."""
-    heads = cells.join(header_rows(cells), "file_id").where("row_idx = header_idx")
-    each = heads.select("file_id", "header_idx", F.posexplode("cells").alias("p", "cell")).withColumn("field", field_of(F.col("cell"))).where("field is not null")
-    g = each.groupBy("file_id", "header_idx").agg(*[F.max(F.when(F.col("field") == f, F.col("p"))).alias(f) for f in ("date", "vdate", "desc", "debit", "credit", "balance")])
-    guess = header_rows(cells).where("header_idx = -1").select("file_id", "header_idx", *[F.lit(p).cast("int").alias(f) for f, p in (("date", 0), ("vdate", None), ("desc", 1), ("debit", 3), ("credit", 4), ("balance", 5))])
-    return g.unionByName(guess)
+def header_map(cells: DataFrame, within: int = 20, least: int = 3) -> DataFrame:
+    """SRC-04: (file_id, header_idx, field -> cell number); the last cell that names a field wins. One grouping by file keeps the cells of
+    its header row; files without one get guessed places if they are wide enough."""
+    hits = F.size(F.filter("cells", lambda c: field_of(c).isNotNull() & (field_of(c) != "vdate")))
+    found = F.min_by(F.struct("row_idx", "cells"), F.when((F.col("row_idx") < within) & (hits >= least), F.col("row_idx")))
+    g = cells.groupBy("file_id").agg(found.alias("h"), F.max(F.size("cells")).alias("width")).where("h is not null or width >= 5")
+    g = g.withColumn("named", F.transform("h.cells", lambda c, i: F.struct(field_of(c).alias("f"), i.alias("i"))))
+    guesses = {"date": 0, "vdate": None, "desc": 1, "debit": 3, "credit": 4, "balance": 5}
+    at = lambda f: F.array_max(F.transform(F.filter("named", lambda x: x["f"] == f), lambda x: x["i"]))
+    return g.select("file_id", F.coalesce("h.row_idx", F.lit(-1)).alias("header_idx"), *[F.when(F.col("h").isNotNull(), at(f)).otherwise(F.lit(p).cast("int")).alias(f) for f, p in guesses.items()])
 
 
 def universal_map(cells: DataFrame) -> DataFrame:
