@@ -1,7 +1,8 @@
-"""CHN: audit and repair of amounts and balances against the running balance, one window per statement.
+"""CHN: audit and repair of amounts and balances against the running balance, as scans over a statement's rows.
 
 Tables have ``stmt_id`` (or the key columns given), ``row_seq``, ``debit``, ``credit``, ``balance`` as decimals. A balance of
-zero counts as missing where a docstring says "known". All windows of a statement share one partitioning and order.
+zero counts as missing where a docstring says "known". Scans run in two levels over ranges of ``span`` places of ``row_seq``
+(``scans``), so that a statement with a third of all rows is shared by many tasks.
 """
 
 from __future__ import annotations
@@ -14,23 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ledgerflow.operators.folds import fold_rows
+from ledgerflow.operators.scans import PART, SPAN, after, before, carry, in_ranges, of_range, place, scan, up_to
 
 MONEY = "decimal(18,2)"
 KEY = ("stmt_id",)
 
 
-def rows_of(key: Sequence[str] = KEY) -> WindowSpec:
-    return Window.partitionBy(*key).orderBy("row_seq")
-
-
-def _before(key: Sequence[str]) -> WindowSpec:
-    return rows_of(key).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _after(key: Sequence[str]) -> WindowSpec:
-    return rows_of(key).rowsBetween(1, Window.unboundedFollowing)
-
-
 def money(c: Column | int | str) -> Column:
     return (c if isinstance(c, Column) else F.lit(c)).cast(MONEY)
 
@@ -39,20 +29,21 @@ def known() -> Column:
     return F.when(F.col("balance") != 0, F.col("balance"))
 
 
-def last_known(key: Sequence[str] = KEY) -> Column:
-    return F.last(known(), ignorenulls=True).over(_before(key))
+def with_last_known(df: DataFrame, name: str, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
+    """``df`` with the last known balance before each row."""
+    return scan(df, key, span, **{name: ("last", known())})
 
 
 def move() -> Column:
     return F.col("credit") - F.col("debit")
 
 
-def balance_audit(df: DataFrame, opening: str | None = "opening", key: Sequence[str] = KEY, tolerance: str = "0.05") -> DataFrame:
+def balance_audit(df: DataFrame, opening: str | None = "opening", key: Sequence[str] = KEY, tolerance: str = "0.05", span: int = SPAN) -> DataFrame:
     """CHN-01: rows whose balance does not follow from the previous claimed one. Both outcomes restart from the claimed
     balance, so the previous row decides; the first row starts from the opening or from itself."""
     start = F.coalesce(F.col(opening), F.col("balance") - move()) if opening else F.col("balance") - move()
-    expected = F.coalesce(F.lag("balance").over(rows_of(key)), start) + move()
-    out = df.withColumn("expected", money(expected))
+    out = scan(df, key, span, _before=("lag", F.col("balance")))
+    out = out.withColumn("expected", money(F.coalesce("_before", start) + move())).drop("_before", PART)
     return out.withColumn("diff", money(F.col("balance") - F.col("expected"))).where(F.abs("diff") > F.lit(tolerance).cast(MONEY))
 
 
@@ -74,61 +65,60 @@ def statement_audit(df: DataFrame, meta: DataFrame, key: Sequence[str] = KEY) ->
     return out.withColumn("is_perfect", F.col("debit_match") & F.col("credit_match") & (F.col("n_gaps") == 0))
 
 
-def reconcile_rows(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def reconcile_rows(df: DataFrame, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-04: flag rows off by more than 0.01 from the plain previous balance; an empty movement takes the difference
     and clears the flag."""
-    prev = F.lag("balance").over(rows_of(key))
     eps = F.lit("0.01").cast(MONEY)
-    out = df.withColumn("prev", prev).withColumn("gap", F.col("balance") - (F.col("prev") + move()))
+    out = scan(df, key, span, prev=("lag", F.col("balance"))).withColumn("gap", F.col("balance") - (F.col("prev") + move()))
     off = F.coalesce(F.abs("gap") > eps, F.lit(False))
     empty = (F.abs("debit") < eps) & (F.abs("credit") < eps)
     missing = F.col("prev") - F.col("balance")
     fill_d, fill_c = off & empty & (missing > eps), off & empty & (missing < -eps)
-    return out.withColumns({"reconciliation_error": off & ~fill_d & ~fill_c, "debit": money(F.when(fill_d, missing).otherwise(F.col("debit"))), "credit": money(F.when(fill_c, -missing).otherwise(F.col("credit")))}).drop("prev", "gap")
+    return out.withColumns({"reconciliation_error": off & ~fill_d & ~fill_c, "debit": money(F.when(fill_d, missing).otherwise(F.col("debit"))), "credit": money(F.when(fill_c, -missing).otherwise(F.col("credit")))}).drop("prev", "gap", PART)
 
 
-def consecutive_issues(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def consecutive_issues(df: DataFrame, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-05: per statement, messages of rows that break the chain by more than 0.01, and totals."""
-    number = F.row_number().over(rows_of(key))
-    expected = F.lag("balance").over(rows_of(key)) + move()
-    out = df.withColumns({"n": number, "e": expected})
+    out = scan(df, key, span, n=("sum", F.lit(1)), _before=("lag", F.col("balance"))).withColumn("e", F.col("_before") + move())
     text = F.format_string("Row %d: Balance mismatch. Expected ~%.2f, got %.2f", F.col("n"), F.col("e").cast("double"), F.col("balance").cast("double"))
     bad = F.when(F.abs(F.col("e") - F.col("balance")) > F.lit("0.01").cast(MONEY), F.struct("row_seq", text.alias("t")))
     g = out.groupBy(*key).agg(F.sum("debit").alias("total_debit"), F.sum("credit").alias("total_credit"), F.array_sort(F.collect_list(bad)).alias("x"))
     return g.select(*key, (F.size("x") == 0).alias("is_valid"), "total_debit", "total_credit", F.transform("x", lambda s: s["t"]).alias("issues"))
 
 
-def row_status(df: DataFrame, opening: str = "opening", key: Sequence[str] = KEY) -> DataFrame:
+def row_status(df: DataFrame, opening: str = "opening", key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-06: Success, Anomaly (more than 0.02 off the last known balance, seeded by the opening) or Pending."""
-    prev = F.coalesce(last_known(key), F.when(F.col(opening) != 0, F.col(opening)))
+    prev = F.coalesce("_prev", F.when(F.col(opening) != 0, F.col(opening)))
     off = F.abs(prev + move() - known())
-    return df.withColumn("status", F.when(off.isNull(), "Pending").when(off <= F.lit("0.02").cast(MONEY), "Success").otherwise("Anomaly"))
+    out = with_last_known(df, "_prev", key, span)
+    return out.withColumn("status", F.when(off.isNull(), "Pending").when(off <= F.lit("0.02").cast(MONEY), "Success").otherwise("Anomaly")).drop("_prev", PART)
 
 
-def drop_static_rows(df: DataFrame, text: str = "narration", key: Sequence[str] = KEY) -> DataFrame:
+def drop_static_rows(df: DataFrame, text: str = "narration", key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-07: without levy rows of 1000 or more that have no balance, and without one-sided amounts that leave the
     last kept balance as it was (within 0.01; dropped rows have that balance, so the previous row stands for it)."""
     levy = (F.col("balance") == 0) & (F.greatest("debit", "credit") >= 1000) & F.upper(text).rlike("STAMP DUTY CHARGE|ELECTRONIC MONEY TRANSFER LEVY")
     one_sided = ((F.col("debit") > 0) & (F.col("credit") == 0)) | ((F.col("credit") > 0) & (F.col("debit") == 0))
-    prev = F.lag("balance").over(rows_of(key))
+    prev = F.col("_prev")
     static = one_sided & (F.col("balance") != 0) & (prev != 0) & (F.abs(F.col("balance") - prev) <= F.lit("0.01").cast(MONEY))
-    return df.where(~levy).withColumn("_static", F.coalesce(static, F.lit(False))).where("not _static").drop("_static")
+    rows = scan(df.where(~levy), key, span, _prev=("lag", F.col("balance")))
+    return rows.withColumn("_static", F.coalesce(static, F.lit(False))).where("not _static").drop("_static", "_prev", PART)
 
 
-def repair_amounts(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def repair_amounts(df: DataFrame, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-08: small amount leaks, from the printed balance."""
-    out = df.withColumn("gap", F.when(F.col("balance") != 0, F.col("balance") - (last_known(key) + move())))
+    out = with_last_known(df, "_prev", key, span).withColumn("gap", F.when(F.col("balance") != 0, F.col("balance") - (F.col("_prev") + move())))
     d, c, g, eps = F.col("debit"), F.col("credit"), F.col("gap"), F.lit("0.02").cast(MONEY)
     off = F.abs(g) > eps
     both = off & (d > 0) & (c > 0) & (F.abs(g + c) <= eps)
     add_d = off & (d > 0) & (c == 0) & (g < 0) & (F.abs(g) <= 1000)
     add_c = off & (c > 0) & (d == 0) & (g > 0) & (F.abs(g) <= 1000)
-    return out.withColumns({"debit": money(F.when(add_d, d - g).otherwise(d)), "credit": money(F.when(both, 0).when(add_c, c + g).otherwise(c))}).drop("gap")
+    return out.withColumns({"debit": money(F.when(add_d, d - g).otherwise(d)), "credit": money(F.when(both, 0).when(add_c, c + g).otherwise(c))}).drop("gap", "_prev", PART)
 
 
-def swap_and_snap(df: DataFrame, tolerance: int = 1, key: Sequence[str] = KEY) -> DataFrame:
+def swap_and_snap(df: DataFrame, tolerance: int = 1, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-09: put amounts on the side that explains the balance change, and take its size where neither does."""
-    out = df.withColumn("delta", F.when(F.col("balance") != 0, F.col("balance") - last_known(key)))
+    out = with_last_known(df, "_prev", key, span).withColumn("delta", F.when(F.col("balance") != 0, F.col("balance") - F.col("_prev")))
     d, c, x = F.col("debit"), F.col("credit"), F.col("delta")
     as_debit, as_credit = F.abs(x + d) <= tolerance, F.abs(x - c) <= tolerance
     size, moved = F.abs(x), F.coalesce(F.abs(x) > tolerance, F.lit(False))
@@ -138,30 +128,33 @@ def swap_and_snap(df: DataFrame, tolerance: int = 1, key: Sequence[str] = KEY) -
     rebuilt = two & ~keep_d & ~keep_c
     debit = F.when(swap_d, 0).when(only_d & ~as_debit, size).when(swap_c, c).when(keep_c, 0).when(rebuilt, F.when(x < 0, size).otherwise(0)).when(none & (x < 0), size).otherwise(d)
     credit = F.when(swap_d, d).when(swap_c, 0).when(only_c & ~as_credit, size).when(keep_d, 0).when(rebuilt, F.when(x < 0, 0).otherwise(size)).when(none & (x >= 0), size).otherwise(c)
-    return out.withColumns({"debit": money(debit), "credit": money(credit)}).drop("delta")
+    return out.withColumns({"debit": money(debit), "credit": money(credit)}).drop("delta", "_prev", PART)
 
 
-def fill_missing_movement(df: DataFrame, opening: str = "opening", key: Sequence[str] = KEY) -> DataFrame:
+def fill_missing_movement(df: DataFrame, opening: str = "opening", key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-10: an empty movement takes the change from the last known balance (or the opening, if that is not zero)."""
-    prev = F.coalesce(last_known(key), F.when(F.col(opening) != 0, F.col(opening)))
+    prev = F.coalesce("_prev", F.when(F.col(opening) != 0, F.col(opening)))
     x = F.when((F.col("debit") == 0) & (F.col("credit") == 0), known() - prev)
-    return df.withColumn("_x", x).withColumns({"debit": money(F.when(F.col("_x") < 0, -F.col("_x")).otherwise(F.col("debit"))), "credit": money(F.when(F.col("_x") > 0, F.col("_x")).otherwise(F.col("credit")))}).drop("_x")
+    return with_last_known(df, "_prev", key, span).withColumn("_x", x).withColumns({"debit": money(F.when(F.col("_x") < 0, -F.col("_x")).otherwise(F.col("debit"))), "credit": money(F.when(F.col("_x") > 0, F.col("_x")).otherwise(F.col("credit")))}).drop("_x", "_prev", PART)
 
 
-def movement_override(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def movement_override(df: DataFrame, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-11: among rows with a balance, a movement off by more than 0.01, or none, takes the balance change; rows left
     without movement go."""
-    rows = df.where("balance != 0").withColumn("_m", F.col("balance") - F.lag("balance").over(rows_of(key)))
+    rows = scan(df.where("balance != 0"), key, span, _prev=("lag", F.col("balance"))).withColumn("_m", F.col("balance") - F.col("_prev"))
     amount = F.col("debit") + F.col("credit")
     wrong = F.coalesce(((amount != 0) & (F.abs(F.col("_m") - move()) > F.lit("0.01").cast(MONEY))) | (amount == 0), F.lit(False)) & (F.col("_m") != 0)
     out = rows.withColumns({"debit": money(F.when(wrong, F.greatest(-F.col("_m"), money(0))).otherwise(F.col("debit"))), "credit": money(F.when(wrong, F.greatest(F.col("_m"), money(0))).otherwise(F.col("credit")))})
-    return out.where("debit != 0 or credit != 0").drop("_m")
+    return out.where("debit != 0 or credit != 0").drop("_m", "_prev", PART)
 
 
-def flip_in_segments(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """CHN-12: between two known balances whose difference the movements miss, flip the first row that makes it up."""
-    seg = Window.partitionBy(*key, "_seg")
-    out = df.withColumn("_b", known()).withColumns({"_seg": F.count("_b").over(_before(key)), "_start": last_known(key)})
+def flip_in_segments(df: DataFrame, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
+    """CHN-12: between two known balances whose difference the movements miss, flip the first row that makes it up. Rows before the
+    first known balance and after the last one can't be judged, so they need not meet in one window."""
+    out = scan(df.withColumn("_b", known()), key, span, _n=("sum", F.col("_b").isNotNull().cast("long")), _start=("last", F.col("_b")), _next=("next", F.col("_b")))
+    out = out.withColumn("_seg", F.col("_n") - F.col("_b").isNotNull().cast("long"))
+    apart = F.col("_start").isNull() | F.coalesce("_b", "_next").isNull()
+    seg = Window.partitionBy(*key, "_seg", F.when(apart, F.col(PART)))
     out = out.withColumns({"_end": F.max("_b").over(seg), "_sum": F.sum(move()).over(seg)})
     out = out.withColumn("_deficit", F.when(F.col("_seg") > 0, F.col("_end") - F.col("_start") - F.col("_sum")))
     to_c = (F.col("_deficit") != 0) & (F.col("debit") > 0) & (F.col("debit") * 2 == F.col("_deficit"))
@@ -173,20 +166,28 @@ def flip_in_segments(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     d, c = F.col("debit"), F.col("credit")
     up, down = swapped & F.coalesce(F.col("_c"), F.lit(False)), swapped & F.coalesce(F.col("_d"), F.lit(False))
     out = out.select("*", money(F.when(up, 0).when(down, c).otherwise(d)).alias("_nd"), money(F.when(up, d).when(down, 0).otherwise(c)).alias("_nc"))
-    return out.withColumns({"debit": F.col("_nd"), "credit": F.col("_nc")}).drop("_b", "_seg", "_start", "_end", "_sum", "_deficit", "_c", "_d", "_nd", "_nc")
+    return out.withColumns({"debit": F.col("_nd"), "credit": F.col("_nc")}).drop("_b", "_n", "_next", PART, "_seg", "_start", "_end", "_sum", "_deficit", "_c", "_d", "_nd", "_nc")
 
 
-def infer_balances(df: DataFrame, backward_first: bool = False, key: Sequence[str] = KEY) -> DataFrame:
+def infer_balances(df: DataFrame, backward_first: bool = False, key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-13 and CHN-14: missing balances from the last or the next known one and the movements between, in closed form
-    by cumulative sums."""
-    run = rows_of(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({"_b": known(), "_cum": F.sum(move()).over(run)})
-    at = F.when(F.col("_b").isNotNull(), F.col("_cum"))
-    forward = F.last("_b", ignorenulls=True).over(_before(key)) + F.col("_cum") - F.last(at, ignorenulls=True).over(_before(key))
-    backward = F.first("_b", ignorenulls=True).over(_after(key)) - (F.first(at, ignorenulls=True).over(_after(key)) - F.col("_cum"))
+    by cumulative sums. A null movement counts as zero."""
+    w = of_range(key)
+    rows = in_ranges(df, span).withColumns({"_b": known(), "_m": F.coalesce(move(), money(0))})
+    rows = rows.withColumn("_cum", F.sum("_m").over(up_to(w))).withColumn("_v", F.col("_b") - F.col("_cum"))
+    shown = F.when(F.col("_v").isNotNull(), place())
+
+    # _v is what a known balance has besides the movements up to it, counted from its range's start; _from is the sum before the range.
+    def carries(ranges: WindowSpec) -> dict[str, Column]:
+        start = {"_from": F.coalesce(F.sum("_moved").over(before(ranges)), money(0))}
+        return start | {"_c_last": F.last(F.col("_v_last") - F.col("_from"), True).over(before(ranges)), "_c_next": F.first(F.col("_v_next") - F.col("_from"), True).over(after(ranges))}
+
+    out = carry(rows, key, {"_moved": F.sum("_m"), "_v_last": F.max_by("_v", shown), "_v_next": F.min_by("_v", shown)}, carries)
+    forward = F.coalesce(F.last("_v", True).over(before(w)), F.col("_c_last") + F.col("_from")) + F.col("_cum")
+    backward = F.coalesce(F.first("_v", True).over(after(w)), F.col("_c_next") + F.col("_from")) + F.col("_cum")
     a, b = (backward, forward) if backward_first else (forward, backward)
     out = out.withColumns({"_f": a, "_s": b})
-    return out.withColumn("balance", money(F.coalesce("_b", "_f", "_s", money(0)))).drop("_b", "_cum", "_f", "_s")
+    return out.withColumn("balance", money(F.coalesce("_b", "_f", "_s", money(0)))).drop("_b", "_m", "_cum", "_v", "_from", "_c_last", "_c_next", "_f", "_s", PART)
 
 
 def mend_truncated_balances(df: DataFrame, opening: str = "opening", raw: str = "raw_balance", key: Sequence[str] = KEY) -> DataFrame:
@@ -214,10 +215,9 @@ def mend_truncated_balances(df: DataFrame, opening: str = "opening", raw: str =
     return fold_rows(amounts, key, ["row_seq"], ["debit", "credit", "balance", raw, opening], lambda: (False, None), step, "balance", DecimalType(18, 2))
 
 
-def insert_chain_adjustments(df: DataFrame, least: int = 100_000, text: str = "narration", key: Sequence[str] = KEY) -> DataFrame:
+def insert_chain_adjustments(df: DataFrame, least: int = 100_000, text: str = "narration", key: Sequence[str] = KEY, span: int = SPAN) -> DataFrame:
     """CHN-16: an explicit row before each row whose balance misses the chain by ``least`` or more."""
-    prev = last_known(key)
-    out = df.withColumn("_prev", prev).withColumn("_gap", F.when(F.col("balance") != 0, F.col("balance") - (F.col("_prev") + move())))
+    out = with_last_known(df, "_prev", key, span).withColumn("_gap", F.when(F.col("balance") != 0, F.col("balance") - (F.col("_prev") + move())))
     note = F.when(F.col("_gap") < 0, "Inferred chain adjustment (missing debit row).").otherwise("Inferred chain adjustment (missing credit row).")
     seq = F.col("row_seq") * 2
     columns = [c for c in df.columns if c != "row_seq"]
