@@ -10,8 +10,8 @@ and meet by chunk, so the work of a task is bounded by a chunk whatever a word's
 blocks of at most ``WINDOWS_AT_ONCE`` windows, which bounds what each task receives.
 
 Defined results. Null or empty text: no words, no hits, not contaminated. Items without words match nothing; an item
-shorter than a window is one window. Repeated rows (and repeated ids) are judged each for itself. Items with a null id
-are left out. Empty tables: no rows, or no hits. Input columns named like a result column are replaced.
+shorter than a window is one window. Repeated rows (and repeated ids) are judged each for itself. Windows of items
+with a null id hit words like any other; such items are not among a document's items. Empty tables: no rows, or no hits. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ def words_of(text: Column) -> Column:
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """Distinct windows of the test items: ``words`` and the ids (as strings) of the ``items`` that hold them."""
-    each = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where("item is not null and size(w) > 0")
+    """Distinct windows of the test items: ``words`` and the ids (as strings, nulls left out) of the ``items`` that hold them."""
+    each = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where("size(w) > 0")
     last = F.greatest(F.size("w") - size, F.lit(0))
     cut = each.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", F.slice("w", F.col("at") + 1, size).alias("words"))
     return cut.groupBy("words").agg(F.collect_set("item").alias("items"))
@@ -241,7 +241,7 @@ WITH d AS (
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 q AS (
   SELECT DISTINCT item, array_to_string(list_slice(w, pos + 1, pos + 10), ' ') AS win, least(len(w), 10) AS n
   FROM (SELECT item, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS pos FROM b WHERE len(w) > 0)),
@@ -251,7 +251,7 @@ x AS (
   FROM (SELECT rid, w, n, unnest(range(len(w) - n + 1)) AS pos FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT x.rid, x.pos, x.n, q.item FROM x JOIN q ON x.win = q.win AND x.n = q.n),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS p FROM m) GROUP BY rid),
-its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+its AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM m WHERE item IS NOT NULL) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.ids, '')) AS items_sha256,
        coalesce(hit.n_hit, 0) > 0 AS contaminated

@@ -15,7 +15,7 @@ def brute(docs, items, size=10):
     for i, t in items:
         w = words(t)
         for at in range(max(len(w) - size, 0) + 1 if w else 0):
-            windows.setdefault(tuple(w[at : at + size]), set()).add(str(i))
+            windows.setdefault(tuple(w[at : at + size]), set()).update([] if i is None else [str(i)])
     out = []
     for doc, t in docs:
         w, hit, ids = words(t), set(), set()
@@ -35,12 +35,12 @@ def found(df, **kw):
 def test_matches_brute_force_in_small_chunks_and_blocks(spark, sf):
     docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
-    docs += [(9001, items[0][1] + " " + items[0][1]), (9002, "x " + items[1][1][: len(items[1][1]) // 2]), (9003, "one"), (9004, None), (9005, ""), (9003, "short ITEM, of four")]
-    items += [(77, "Short item of FOUR"), (78, "one"), (79, ""), (80, None), (77, "the the the the the the the the the the the the")]
+    docs += [(9001, items[0][1] + " " + items[0][1]), (9002, "x " + items[1][1][: len(items[1][1]) // 2]), (9003, "one"), (9004, None), (9005, ""), (9003, "short ITEM, of four"), (9006, "here is an item, without an ID: hit")]
+    items += [(77, "Short item of FOUR"), (78, "one"), (79, ""), (80, None), (77, "the the the the the the the the the the the the"), (None, "an item without an id")]
     a = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
-    assert any(x[2] for x in want)
+    assert any(x[2] for x in want) and (9006, 8, 5, []) in want
     index = d.build_index(a, chunk_bytes=20_000)
     assert found(d.search(index, d.windows(b)).withColumnRenamed("doc", "doc_id")) == want
     assert found(d.search(index, d.windows(b), block=150).withColumnRenamed("doc", "doc_id")) == want
@@ -57,6 +57,6 @@ def test_awkward_rows(spark, awkward):
     items = spark.createDataFrame([(1, "the quick brown"), (2, None), (None, "only words")], "item_id long, text string").withColumn("doc", F.lit(1))
     out = d.decontaminate(awkward, items)
     assert out.count() == awkward.count()
-    assert {(r.doc_id, r.n_hit) for r in out.where("n_hit > 0").collect()} == {(1, 3)}
+    assert {(r.doc_id, r.n_hit) for r in out.where("n_hit > 0").collect()} == {(1, 3), (None, 2)}
     assert d.decontaminate(awkward.limit(0), items).count() == 0
     assert d.decontaminate(awkward, items.limit(0)).where("n_hit > 0").count() == 0
