@@ -257,9 +257,13 @@ def rest_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = held.groupBy("token", "blocks", part.alias("i")).agg(F.collect_list(F.struct("node", "n", "place", "label", "signature")).alias("x"))
     rows = scratch.table(rows, "blocks")
+    # Pairs of blocks are rows of numbers first, and blocks come to them by (token, block): no key holds all pairs of a shingle.
+    cut = many.select("token", "blocks").where("blocks > 1").distinct()
+    met = cut.select("token", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).where("i + 1 < blocks")
+    met = met.select("token", "i", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"))
     other = rows.where("blocks > 1").select("token", F.col("i").alias("j"), F.col("x").alias("y"))
     inside = rows.select("x", F.lit(None).cast(rows.schema["x"].dataType).alias("y"))
-    between = rows.where("blocks > 1").join(other, "token").where("i < j").select("x", "y")
+    between = met.join(rows.select("token", "i", "x"), ["token", "i"]).join(other, ["token", "j"]).select("x", "y")
 
     def arrays(v: pa.StructArray) -> list[np.ndarray]:
         return [*(v.field(c).to_numpy() for c in ("node", "n", "place", "label")), np.frombuffer(b"".join(v.field("signature").to_pylist()), np.uint64).reshape(-1, 8)]
