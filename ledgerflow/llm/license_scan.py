@@ -153,17 +153,19 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = N
         return reduce(DataFrame.unionAll, [scan(df, text, dict(named[k : k + MOST_TEMPLATES]), contained) for k in range(0, len(named), MOST_TEMPLATES)])
     plan = groups(dict(named), contained)
     added = [StructField("license", StringType()), StructField("containment", DoubleType()), StructField("start_word", IntegerType()), StructField("end_word", IntegerType())]
-    rest = [c for c in df.columns if c != text and c.lower() not in {f.name for f in added}]
-    schema = StructType([*df.select(*rest).schema.fields, *added])
+    placed, (text_at,) = textkit.by_place(df, text)
+    rest = [f"c{k}" for k, c in enumerate(df.columns) if f"c{k}" != text_at and c.lower() not in {f.name for f in added}]
+    names = [df.columns[int(c[1:])] for c in rest] + [f.name for f in added]
+    schema = StructType([*placed.select(*rest).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in textkit.in_slices(batches, text, SLICE_BYTES):
-            found = scan_texts(t.column(text), plan, contained)
+        for t in textkit.in_slices(batches, text_at, SLICE_BYTES):
+            found = scan_texts(t.column(text_at), plan, contained)
             at = pa.array([f[0] for f in found], pa.int64())
             new = [pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
             yield from pa.table([*t.select(rest).take(at).columns, *new], names=[*rest, *(f.name for f in added)]).to_batches()
 
-    return df.select(*rest, text).mapInArrow(run, schema)
+    return placed.select(*rest, text_at).mapInArrow(run, schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,7 +291,8 @@ def rest_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2, bits: int = simhash.BITS) -> DataFrame:
     """The rows of ``df`` that stay when each group of near copies keeps one: the one with the smallest id."""
     names = [f"fp{r}" for r in range(rounds)]
-    held = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
+    placed, (doc_at, text_at) = textkit.by_place(df, doc_id, text)
+    held = placed.select(F.col(doc_at).alias("doc_id"), F.col(text_at).alias("text"), F.struct(*[c for c in placed.columns if c != text_at]).alias("row"))
     schema = StructType([*held.schema.fields, StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("s0", "s1", *names)), StructField("signature", BinaryType()), StructField("sketch", BinaryType()), StructField("prefix", ArrayType(LongType()))])
     common = df.sparkSession.sparkContext.broadcast(common_shingles(held))  # at most MOST_COMMON of them
 
@@ -315,5 +316,5 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", round
     joined = links(classes.select("node", "n", "signature", "sketch", *names), rows, rounds, bits)
     kept = classes.join(joined, classes["node"] == joined["a"], "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.row_id")
     kept = scratch.table(kept, "kept")  # its size is known when the texts are joined, and they need not move if it is small
-    back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
-    return rows.join(kept, "row_id", "left_semi").select(*back)
+    back = [F.col("text") if c == text_at else F.col(f"row.{c}") for c in placed.columns]
+    return rows.join(kept, "row_id", "left_semi").select(*back).toDF(*df.columns)

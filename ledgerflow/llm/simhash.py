@@ -260,12 +260,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS, rounds: int = 1) -> DataFrame:
     """The rows of ``df`` that stay when each group of near-duplicates keeps one: the one with the smallest id."""
     names = [f"fp{r}" for r in range(rounds)]
-    held = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[c for c in df.columns if c != text]).alias("row"))
+    placed, (doc_at, text_at) = textkit.by_place(df, doc_id, text)
+    held = placed.select(F.col(doc_at).alias("doc_id"), F.col(text_at).alias("text"), F.struct(*[c for c in placed.columns if c != text_at]).alias("row"))
     fps = scratch.table(fingerprints(held, "text", words, rounds, keep_text=True).withColumn("row_id", F.monotonically_increasing_id()), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_id").alias("row_id"))).alias("best")
     kept = fps.groupBy(*names).agg(best).join(classes(fps, rounds, bits), names).groupBy("component").agg(F.min("best").alias("best")).select("best.row_id")
-    back = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
-    return fps.join(kept, "row_id", "left_semi").select(*back)
+    back = [F.col("text") if c == text_at else F.col(f"row.{c}") for c in placed.columns]
+    return fps.join(kept, "row_id", "left_semi").select(*back).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

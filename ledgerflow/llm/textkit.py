@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Odd multiplier of the polynomial hash and the two multipliers of its finaliser (MurmurHash3's public fmix64).
 BASE, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
@@ -176,3 +177,11 @@ def in_slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int) ->
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_place(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by place, and the names that ``columns`` have there: input names that differ in case only, like
+    ``text`` and ``Text``, can't be mistaken for each other. A name is met exactly, or else whatever its case."""
+    low = [c.lower() for c in df.columns]
+    at = [df.columns.index(c) if c in df.columns else low.index(c.lower()) for c in columns]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), [f"c{k}" for k in at]
