@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the plan modules, which register themselves."""
-    from ledgerflow.plans import bank_queries, chain_queries, classify_queries, discovery_queries, layout_queries, print_queries, scalar_queries, source_queries, summary_queries  # noqa: F401
+    from ledgerflow.plans import bank_queries, chain_queries, classify_queries, discovery_queries, header_queries, layout_queries, print_queries, scalar_queries, source_queries, summary_queries  # noqa: F401
