@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ledgerflow.functions import dates
 from ledgerflow.functions.money import TOKEN
-from ledgerflow.operators import bank_profiles
+from ledgerflow.operators import bank_profiles, scans
 from ledgerflow.operators.folds import fold_rows
 
 PAGE = ("file_id", "page_no")
@@ -228,6 +229,33 @@ def mend_split_dates(rows: DataFrame, cell: str = "date_raw", key: Sequence[str]
     return rows.withColumn(cell, F.when(F.col(cell).rlike(r"^\d{1,2}-[A-Za-z]{3}-$") & n.rlike(r"^20\d{2}$"), F.concat(cell, n)).otherwise(F.col(cell)))
 
 
+def complete_split_dates(rows: DataFrame, cell: str = "date_raw", value_date: str = "value_date", text: str = "text", key: Sequence[str] = ("file_id",), order: str = "line_no", span: int = scans.SPAN) -> DataFrame:
+    """LAY-31 in full: a row whose cell SCL-D1 can't read as a date, but with a day and month in its date cell (in its text, if that is empty), takes the
+    year from the cell below if that is a bare year, which is emptied by that; else the first year in its value date and text.
+
+    A year cell that was taken counts as empty, so its own text may hold the next day and month: runs of year cells are read as
+    islands behind the row above them. Dates and cells without any day and month stay; without a year anywhere the day and
+    month stand alone. Null cells count as empty; rows of equal order have no defined order.
+    """
+    c = F.trim(F.coalesce(cell, F.lit("")))
+    of = lambda s: F.regexp_extract(s, r"\b(\d{1,2}-[A-Za-z]{3})-?\b", 1)
+    whole = dates.smart_date(c).isNotNull()
+    t = F.coalesce(text, F.lit(""))
+    x = rows.withColumns({"_cell": c, "_year": c.rlike(r"^20\d{2}$"), "_whole": whole, "_in_text": of(t)})
+    x = x.withColumn("_own", F.when(F.col("_whole"), "").when(F.col("_cell") == "", F.col("_in_text")).otherwise(of(F.col("_cell"))))
+    # Whether a row takes the year below it, if its own cell was not taken (rows that begin an island) or was (years).
+    x = x.withColumn("_takes", F.when(F.col("_year"), F.col("_in_text") != "").otherwise(F.col("_own") != ""))
+    x = scans.scan(x, key, span, order, _island=("sum", (~F.col("_year")).cast("long")))
+    island = Window.partitionBy(*key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_taken", F.col("_year") & (F.col("_island") > 0) & F.coalesce(F.min("_takes").over(island), F.lit(False)))
+    x = scans.scan(x, key, span, order, _below=("next", F.struct(F.col(order).alias("at"), F.when(F.col("_taken"), F.col("_cell")).alias("year"))))
+    part = F.when(F.col("_taken"), F.col("_in_text")).otherwise(F.col("_own"))
+    here = F.regexp_extract(F.concat_ws(" ", F.coalesce(value_date, F.lit("")), t), r"\b(20\d{2})\b", 1)
+    year = F.coalesce(F.when(part != "", F.col("_below.year")), F.nullif(here, F.lit("")))
+    out = F.when(part != "", F.concat_ws("-", part, year)).when(F.col("_taken"), "").otherwise(F.col(cell))
+    return x.withColumn("_out", out).withColumn(cell, F.col("_out")).drop("_cell", "_year", "_whole", "_in_text", "_own", "_takes", "_island", "_taken", "_below", "_out", scans.PART)
+
+
 def rescue_months(rows: DataFrame, key: Sequence[str] = ("file_id",)) -> DataFrame:
     """LAY-32: a row with an amount and only a month name takes its value date, if an entry precedes it."""
     w = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)

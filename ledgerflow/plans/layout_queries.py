@@ -282,6 +282,17 @@ def _(spark, sf_dir):
     return layout.mend_split_dates(rows).select("file_id", "line_no", "date_raw")
 
 
+@query("lay_31_complete_dates", f"""WITH {LEDGER_SQL}, r AS (SELECT *, lead(row_seq) OVER (PARTITION BY stmt_id ORDER BY row_seq) IS NOT NULL AS more FROM ledger)
+SELECT stmt_id AS file_id, row_seq, CASE row_seq % 6 WHEN 0 THEN '01-Nov' || CASE WHEN more THEN '-2024' ELSE '' END WHEN 1 THEN CASE WHEN row_seq = 1 THEN '2024' ELSE '05-Dec' || CASE WHEN more THEN '-2025' ELSE '' END END
+ WHEN 2 THEN CASE WHEN row_seq = 2 THEN '2025' ELSE '' END WHEN 3 THEN '07-Jan-2023' WHEN 4 THEN '09-Feb-2022' ELSE '11-Mar-2021' END AS date_raw FROM r""")
+def _(spark, sf_dir):
+    k = (F.col("row_seq") % 6).cast("int")
+    of = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), k)
+    # 0 a day whose year is below, 1 that year with a day in its text, 2 the year of that, 3 year in the text, 4 all in text and value date, 5 whole
+    rows = ledger(spark, sf_dir).select(F.col("stmt_id").alias("file_id"), "row_seq", of("01-Nov-", "2024", "2025", "07-Jan-", None, "11-Mar-2021").alias("date_raw"), of("paid", "05-Dec- more", "", "since 2023", "09-Feb- x", "01-Apr-").alias("text"), of(None, None, None, None, "10-Feb-2022", None).alias("value_date"))
+    return layout.complete_split_dates(rows, order="row_seq").select("file_id", "row_seq", "date_raw")
+
+
 @query("lay_32_rescue_months", f"WITH {LINES_SQL} SELECT file_id, line_no, CASE WHEN line_no = 2 THEN substr(value_date, 4, 3) ELSE value_date END AS date_raw FROM lines WHERE line_no % 2 = 0")
 def _(spark, sf_dir):
     rows = lines(spark, sf_dir).where("line_no % 2 = 0").withColumn("date_raw", F.expr("substring(value_date, 4, 3)"))
