@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ledgerflow.functions import dates
-from ledgerflow.functions.money import TOKEN
+from ledgerflow.functions.money import SIGNED, TOKEN
 from ledgerflow.operators import bank_profiles, scans
 from ledgerflow.operators.folds import fold_rows
 
@@ -128,9 +128,9 @@ def best_cuts(candidates: DataFrame) -> DataFrame:
 
 
 def money_columns(words: DataFrame, gap: float = 40.0) -> DataFrame:
-    """LAY-16: clusters of the right edges of money words (a gap over 40 parts them) and the usual edge of each; the last
-    three are debit, credit and balance."""
-    m = words.where(F.col("text").rlike(f"^{TOKEN}$")).withColumn("_x", F.round("x1").cast("int"))
+    """LAY-16: clusters of the right edges of money words, negative ones too (a gap over 40 parts them) and the usual edge of each;
+    the last three are debit, credit and balance."""
+    m = words.where(F.col("text").rlike(f"^{SIGNED}$")).withColumn("_x", F.round("x1").cast("int"))
     o = Window.partitionBy("file_id").orderBy("_x")
     d = m.select("file_id", "_x").groupBy("file_id", "_x").count()
     d = d.withColumn("_s", F.coalesce(F.col("_x") - F.lag("_x").over(o) > gap, F.lit(False)).cast("int")).withColumn("cluster", F.sum("_s").over(o))
