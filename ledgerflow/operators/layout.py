@@ -264,8 +264,8 @@ def rescue_months(rows: DataFrame, key: Sequence[str] = ("file_id",)) -> DataFra
 
 
 def amount_from_right(rows: DataFrame, text: str = "text") -> DataFrame:
-    """LAY-33: a dated row with a balance but no amount takes the second-last number, if the last is near the balance."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """LAY-33: a dated row with a balance but no amount takes the second-last number, if the last is near the balance; signs count."""
+    found = F.regexp_extract_all(text, F.lit(SIGNED), F.lit(0))
     at = lambda i: F.regexp_replace(F.try_element_at(found, F.lit(i)), ",", "").try_cast("decimal(18,2)")
     missing = F.col("date_raw").isNotNull() & F.col("amount").isNull() & (F.abs(at(-1) - F.col("balance")) < 1)
     return rows.withColumn("amount", F.when(missing, at(-2)).otherwise(F.col("amount")))

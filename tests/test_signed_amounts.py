@@ -1,5 +1,7 @@
 """Amounts and balances below zero are amounts: columns, lines and entries count and read them with their sign."""
 
+from decimal import Decimal
+
 from ledgerflow.operators import layout
 
 
@@ -7,3 +9,9 @@ def test_money_columns_count_negative_balances(spark):
     words = spark.createDataFrame([(1, 0, k, t, x - 40.0, x) for k, (t, x) in enumerate([("5.00", 400.0), ("0.00", 500.0), ("-1,234.56", 600.0), ("7.00", 400.0), ("0.00", 500.0), ("-9.00", 600.0), ("A-9.00", 700.0)])], "file_id long, page_no int, word_seq long, text string, x0 double, x1 double")
     got = {(r.col_name, r.x1, r.n) for r in layout.money_columns(words).collect()}
     assert got == {("debit", 400, 2), ("credit", 500, 2), ("balance", 600, 2)}
+
+
+def test_amount_from_right_beside_a_negative_balance(spark):
+    lines = spark.sql("select * from values (1, '01-Jan-2024', null, -1234.56, 'RENT 50.00 -1,234.56'), (2, '01-Jan-2024', null, 9.00, 'RENT -50.00 9.00'), (3, '01-Jan-2024', null, -9.00, 'RENT 50.00 9.00') t(line_no, date_raw, amount, balance, text)").selectExpr("line_no", "date_raw", "cast(amount as decimal(18,2)) amount", "cast(balance as decimal(18,2)) balance", "text")
+    got = {r.line_no: r.amount for r in layout.amount_from_right(lines).collect()}
+    assert got == {1: Decimal("50.00"), 2: Decimal("-50.00"), 3: None}
