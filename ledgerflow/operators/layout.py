@@ -288,8 +288,8 @@ def attribute_by_gap(lines: DataFrame, gap: float = 18.0) -> DataFrame:
 
 
 def explode_amounts(lines: DataFrame, boundary: float) -> DataFrame:
-    """LAY-36: each amount word of a line with a balance is an entry; left of the boundary it is a debit."""
-    m = lines.where(F.col("text").rlike(f"^{TOKEN}$"))
+    """LAY-36: each amount word of a line with a balance, negative ones too, is an entry; left of the boundary it is a debit."""
+    m = lines.where(F.col("text").rlike(f"^{SIGNED}$"))
     last = F.max("x1").over(Window.partitionBy(*PAGE, "line_id"))
     n = F.count("*").over(Window.partitionBy(*PAGE, "line_id"))
     v = F.regexp_replace("text", ",", "").cast("decimal(18,2)")

@@ -15,3 +15,9 @@ def test_amount_from_right_beside_a_negative_balance(spark):
     lines = spark.sql("select * from values (1, '01-Jan-2024', null, -1234.56, 'RENT 50.00 -1,234.56'), (2, '01-Jan-2024', null, 9.00, 'RENT -50.00 9.00'), (3, '01-Jan-2024', null, -9.00, 'RENT 50.00 9.00') t(line_no, date_raw, amount, balance, text)").selectExpr("line_no", "date_raw", "cast(amount as decimal(18,2)) amount", "cast(balance as decimal(18,2)) balance", "text")
     got = {r.line_no: r.amount for r in layout.amount_from_right(lines).collect()}
     assert got == {1: Decimal("50.00"), 2: Decimal("-50.00"), 3: None}
+
+
+def test_explode_amounts_on_lines_with_a_negative_balance(spark):
+    words = spark.createDataFrame([(1, 0, 1, k, t, x - 40.0, x) for k, (t, x) in enumerate([("RENT", 200.0), ("5.00", 400.0), ("7.00", 500.0), ("-1,234.56", 600.0)])], "file_id long, page_no int, line_id int, word_seq long, text string, x0 double, x1 double")
+    got = sorted((r.word_seq, r.debit, r.credit) for r in layout.explode_amounts(words, 450).collect())
+    assert got == [(1, Decimal("5.00"), Decimal("0.00")), (2, Decimal("0.00"), Decimal("7.00"))]
