@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.dates import smart_date
-from ledgerflow.functions.money import TOKEN, parse_money
+from ledgerflow.functions.money import SIGNED, parse_money
 
 #: Landing extensions with the bytes their files begin with, and the size limit.
 MAGIC = {"pdf": "25504446", "xlsx": "504B0304", "xls": "D0CF11E0", "csv": ""}
@@ -166,10 +166,10 @@ def anchored_lines(lines: DataFrame, key: Sequence[str] = ("file_id",)) -> DataF
     """SRC-10: lines with two dates are rows: last amount is the balance, the one before the movement, its side from the
     balance's change; lines between go in front of the next row's text."""
     w = Window.partitionBy(*key).orderBy("line_no")
-    days, sums = F.regexp_extract_all("line", F.lit(DATES), F.lit(0)), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))
+    days, sums = F.regexp_extract_all("line", F.lit(DATES), F.lit(0)), F.regexp_extract_all("line", F.lit(SIGNED), F.lit(0))
     x = lines.withColumns({"_d": days, "_m": sums}).withColumn("_anchor", (F.size("_d") >= 2) & (F.size("_m") >= 2))
     x = x.withColumn("_isle", F.coalesce(F.sum(F.col("_anchor").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bare = F.trim(F.regexp_replace(F.regexp_replace("line", DATES, " "), TOKEN, " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("line", DATES, " "), SIGNED, " "))
     num = lambda i: F.regexp_replace(F.try_element_at("_m", F.lit(i)), ",", "").try_cast("decimal(18,2)")
     g = x.groupBy(*key, "_isle").agg(F.max(F.when(F.col("_anchor"), F.struct("line_no", F.get("_d", F.lit(0)).alias("date_raw"), num(-1).alias("balance"), num(-2).alias("amount")))).alias("a"), F.array_sort(F.collect_list(F.struct("line_no", bare.alias("t")))).alias("ts"))
     rows = g.where("a is not null").select(*key, "a.line_no", "a.date_raw", "a.balance", "a.amount", F.trim(F.regexp_replace(F.array_join(F.transform("ts", lambda s: s["t"]), " "), r"\s+", " ")).alias("description"))

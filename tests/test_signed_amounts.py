@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 from ledgerflow.operators import layout
+from ledgerflow.sources import tabular
 
 
 def test_money_columns_count_negative_balances(spark):
@@ -21,3 +22,11 @@ def test_explode_amounts_on_lines_with_a_negative_balance(spark):
     words = spark.createDataFrame([(1, 0, 1, k, t, x - 40.0, x) for k, (t, x) in enumerate([("RENT", 200.0), ("5.00", 400.0), ("7.00", 500.0), ("-1,234.56", 600.0)])], "file_id long, page_no int, line_id int, word_seq long, text string, x0 double, x1 double")
     got = sorted((r.word_seq, r.debit, r.credit) for r in layout.explode_amounts(words, 450).collect())
     assert got == [(1, Decimal("5.00"), Decimal("0.00")), (2, Decimal("0.00"), Decimal("7.00"))]
+
+
+def test_anchored_lines_with_negative_balances(spark):
+    day = "02-Jan-2024 02-Jan-2024"
+    lines = spark.createDataFrame([(1, 1, f"{day} RENT 5.00 1.00"), (1, 2, "more"), (1, 3, f"{day} FUEL 3.00 -2.00"), (1, 4, f"{day} PAY 1,000.00 -1.00")], "file_id long, line_no int, line string")
+    got = [(r.line_no, r.description, r.debit, r.credit, r.balance) for r in tabular.anchored_lines(lines).orderBy("line_no").collect()]
+    d = Decimal
+    assert got == [(1, "RENT", d("0.00"), d("5.00"), d("1.00")), (3, "more FUEL", d("3.00"), d("0.00"), d("-2.00")), (4, "PAY", d("0.00"), d("1000.00"), d("-1.00"))]
