@@ -165,15 +165,18 @@ def _(spark, sf_dir):
 SELECT stmt_id AS file_id, page_no, strftime(txn_date, '%d-%b-%Y') AS date_raw, CASE WHEN event_id % 4 = 0 THEN 'REFNO:' || event_id ELSE '' END AS reference,
  CASE WHEN event_id % 4 = 0 THEN 'REFNO:' || event_id || ' ' ELSE '' END || narration || CASE WHEN event_id % 4 = 2 THEN ' more' ELSE '' END || CASE WHEN first THEN ' lead' ELSE '' END AS description, {_VALUES} FROM e WHERE debit <> 0 OR credit <> 0""")
 def _(spark, sf_dir):
-    """A header on each page; a reference behind the text of every fourth row, text in the next cell, or going on below."""
+    """A header on each page; a reference behind the text of every fourth row, text in the next cell, or going on below. All lines of a row
+    are printed in one pass, with the header before a page's first row."""
     rows, n = ledger(spark, sf_dir), F.col("event_id")
-    at = lambda d: ((F.col("row_seq") - 1) % 20 * 2 + d).cast("int").alias("row_idx")
-    day, keys = F.date_format("txn_date", "dd-MMM-yyyy"), [F.col("stmt_id").alias("file_id"), "page_no"]
+    place = (F.col("row_seq") - 1) % 20
+    line = lambda test, at, *cells: F.when(test, F.struct(F.lit(at).cast("int").alias("row_idx"), F.array(*cells).alias("cells")))
+    day = F.date_format("txn_date", "dd-MMM-yyyy")
     text_ = F.when(n % 4 == 0, F.concat("narration", F.lit(" , REFNO:"), n.cast("string"))).when(n % 4 == 1, "").otherwise(F.col("narration"))
     money = [F.concat(F.lit("\n"), F.format_number(c, 2), F.lit("\n9.99")) for c in ("debit", "credit", "balance")]
-    body = rows.select(*keys, at(2), F.array(day, text_, F.when(n % 4 == 1, F.col("narration")).otherwise(day), *money).alias("cells"))
-    more = rows.where(n % 4 == 2).select(*keys, at(3), F.array(F.lit(None), F.lit("more"), F.lit(""), F.lit("")).alias("cells"))
-    head = rows.select("stmt_id", "page_no").distinct().select(*keys, F.lit(0).alias("row_idx"), F.array(*map(F.lit, ["Transaction\nDate", "Remarks", "Value Date", "Debit", "Credit", "Balance"])).alias("cells"))
-    lead = rows.where("row_seq = 1").select(*keys, F.lit(1).alias("row_idx"), F.array(F.lit(""), F.lit("lead"), F.lit(""), F.lit("")).alias("cells"))
-    out = tables.continued_table_rows(body.unionByName(more).unionByName(head).unionByName(lead))
+    each = F.array(
+        line(place == 0, 0, *map(F.lit, ["Transaction\nDate", "Remarks", "Value Date", "Debit", "Credit", "Balance"])), line(F.col("row_seq") == 1, 1, F.lit(""), F.lit("lead"), F.lit(""), F.lit("")),
+        line(F.lit(True), place * 2 + 2, day, text_, F.when(n % 4 == 1, F.col("narration")).otherwise(day), *money), line(n % 4 == 2, place * 2 + 3, F.lit(None), F.lit("more"), F.lit(""), F.lit("")),
+    )
+    cells_ = rows.select(F.col("stmt_id").alias("file_id"), "page_no", F.explode(F.filter(each, lambda l: l.isNotNull())).alias("l")).select("file_id", "page_no", "l.*")
+    out = tables.continued_table_rows(cells_)
     return out.select("file_id", "page_no", "date_raw", "reference", "description", "debit", "credit", "balance")

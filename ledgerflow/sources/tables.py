@@ -22,6 +22,7 @@ ENTRY_DATE = r"^\d{2}-[A-Za-z]{3}-\d{4}$"
 REFERENCE = r"(?i)REF(?:NO)?[:.]?\s*[A-Z0-9]+"
 NO_ENTRY = ["OPENING BALANCE", "CLOSING BALANCE", "BROUGHT FORWARD", "TRANSACTION DATE"]
 GUESSED = {"date": 0, "desc": 1, "vdate": 2, "debit": 3, "credit": 4, "balance": 5}
+AMOUNTS = ("debit", "credit", "balance")
 NEIGHBOURS = (-1, 1, 2, -2)
 
 
@@ -79,11 +80,12 @@ def continued_table_rows(cells: DataFrame) -> DataFrame:
     without movement are left out.
     """
     low = F.lower(F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), " "))
-    heads = cells.where((F.col("row_idx") < 6) & F.contains(low, F.lit("date")) & F.contains(low, F.lit("balance")))
-    heads = heads.groupBy("file_id", "page_no").agg(F.min_by(F.struct("row_idx", "cells"), "row_idx").alias("h"))
-    heads = heads.select("file_id", "page_no", F.col("h.row_idx").alias("header_idx"), F.struct(*[c.alias(f) for f, c in _columns_of(F.col("h.cells")).items()]).alias("at"))
-    rows = cells.join(heads, ["file_id", "page_no"], "left").where((F.col("header_idx").isNull() | (F.col("row_idx") > F.col("header_idx"))) & (F.size("cells") >= 4))
-    rows = rows.withColumn("at", F.coalesce("at", F.struct(*[F.lit(k).alias(f) for f, k in GUESSED.items()])))
+    heading = (F.col("row_idx") < 6) & F.contains(low, F.lit("date")) & F.contains(low, F.lit("balance"))
+    head = F.when(heading, F.struct("row_idx", F.struct(*[c.alias(f) for f, c in _columns_of(F.col("cells")).items()]).alias("at")))
+    # In the order of the window over the file below, so that rows are read and sorted once.
+    page = Window.partitionBy("file_id", "page_no").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = cells.withColumn("_head", head).withColumn("_head", F.min("_head").over(page)).where((F.col("_head").isNull() | (F.col("row_idx") > F.col("_head.row_idx"))) & (F.size("cells") >= 4))
+    rows = rows.withColumn("at", F.coalesce("_head.at", F.struct(*[F.lit(k).alias(f) for f, k in GUESSED.items()]))).drop("_head")
     raw = lambda at: F.coalesce(F.when((at >= 0) & (at < F.size("cells")), F.get("cells", at)), F.lit(""))
     text = lambda at: _stripped(F.regexp_replace(raw(at), r"\s+", " "))
     first_line = lambda f: F.coalesce(F.get(F.filter(F.transform(F.split(raw(F.col(f"at.{f}")), "\n"), _stripped), lambda x: x != ""), F.lit(0)), F.lit(""))
@@ -97,11 +99,12 @@ def continued_table_rows(cells: DataFrame) -> DataFrame:
     more = (F.col("_date") == "") & (F.col("_desc") != "")
     found = F.regexp_extract("_desc", f"({REFERENCE})", 1)
     whole = F.when(found != "", F.concat_ws(" ", _stripped(found), F.nullif(F.trim(F.regexp_replace("_desc", REFERENCE, ""), F.lit(" ,;")), F.lit("")))).otherwise(F.col("_desc"))
-    x = rows.withColumns({"_entry": entry, "_ref": F.when(entry, _stripped(found)), "_text": F.when(entry, whole).otherwise(F.col("_desc"))}).where(entry | more)
+    x = rows.withColumns({"_entry": entry, "_ref": F.when(entry, _stripped(found)), "_text": F.when(entry, whole).otherwise(F.col("_desc")), "_keep": entry | more, **{f"_{f}": F.when(entry, first_line(f)) for f in AMOUNTS}})
     order = Window.partitionBy("file_id").orderBy("page_no", "row_idx")
-    x = x.withColumn("_isle", F.sum(F.col("_entry").cast("int")).over(order))
-    amount = lambda f: parse_money(first_line(f), "ledger").alias(f)
-    head = F.struct("page_no", "row_idx", F.coalesce(smart_date(F.col("_date")), F.col("_date")).alias("date_raw"), F.coalesce(smart_date(F.col("_value")), F.col("_value")).alias("value_date"), F.col("_ref").alias("reference"), *[amount(f) for f in ("debit", "credit", "balance")])
+    # Behind the window, so that the texts it asks for are not computed again to filter by them; the amounts are columns for the same reason.
+    x = x.withColumn("_isle", F.sum(F.col("_entry").cast("int")).over(order)).where("_keep")
+    amount = lambda f: parse_money(F.col(f"_{f}"), "ledger").alias(f)
+    head = F.struct("page_no", "row_idx", F.coalesce(smart_date(F.col("_date")), F.col("_date")).alias("date_raw"), F.coalesce(smart_date(F.col("_value")), F.col("_value")).alias("value_date"), F.col("_ref").alias("reference"), *[amount(f) for f in AMOUNTS])
     part = F.struct((F.col("_isle") == 0).alias("early"), "page_no", "row_idx", "_text")
     g = x.groupBy("file_id", F.greatest("_isle", F.lit(1)).alias("_isle")).agg(F.max(F.when(F.col("_entry"), head)).alias("h"), F.array_sort(F.collect_list(part)).alias("parts")).where("h is not null")
     out = g.select("file_id", "h.page_no", "h.row_idx", "h.date_raw", "h.value_date", "h.reference", _stripped(F.array_join(F.transform("parts", lambda p: p["_text"]), " ")).alias("description"), "h.debit", "h.credit", "h.balance")
