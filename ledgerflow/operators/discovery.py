@@ -64,8 +64,9 @@ def consensus_zones(words: DataFrame) -> DataFrame:
     of dates, and the usual right edges of the amounts right of them, in clusters that a gap of more than 40 parts; the last
     three clusters count. Zones that no cluster gives are (0, 0); files without dates or amounts have none."""
     text = F.trim("text")
-    pages = Window.partitionBy("file_id").orderBy("page_no")
-    first = words.withColumn("_p", F.dense_rank().over(pages)).where(F.col("_p") <= SCANNED_PAGES)
+    # Pages are ranked, not words: words meet the few pages that count in a hash join, so they are never sorted.
+    ranked = words.select(*PAGE).distinct().withColumn("_p", F.row_number().over(Window.partitionBy("file_id").orderBy("page_no")))
+    first = words.join(ranked.where(F.col("_p") <= SCANNED_PAGES).select(*PAGE).hint("shuffle_hash"), list(PAGE), "left_semi")
     kind = F.when(looks_like_date(text), "date").when(text.rlike(AMOUNT), "amount")
     met = F.struct("page_no", "word_seq")
     place = F.when(kind == "date", F.bround("x0")).otherwise(F.bround("x1"))

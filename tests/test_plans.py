@@ -14,3 +14,11 @@ def test_a_ledger_is_sorted_once(spark, sf):
 
 def test_table_rows_read_the_ledger_once(spark, sf):
     assert _plan(entry.queries()["src_14_table_rows"](spark, sf)).count("FileScan") == 1
+
+
+def test_consensus_zones_rank_pages_not_words(spark):
+    from ledgerflow.operators import discovery
+
+    words = spark.createDataFrame([(1, 7, 1, "01-Jan-2024", 30.0, 90.0)], "file_id long, page_no int, word_seq long, text string, x0 double, x1 double")
+    plan = discovery.consensus_zones(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" not in plan and "LeftSemi" in plan
