@@ -51,13 +51,15 @@ def gap_lines(words: DataFrame, gap: float = 4.0) -> DataFrame:
     return words.withColumn("_s", step).withColumn("line_id", F.sum("_s").over(w).cast("int")).drop("_s")
 
 
-def assign(words: DataFrame, cuts: DataFrame, mode: str = "left", slack: float = 5.0) -> DataFrame:
+def assign(words: DataFrame, cuts: DataFrame | Sequence[tuple[int, str, float, float]], mode: str = "left", slack: float = 5.0) -> DataFrame:
     """LAY-04..08: the column of each word. ``left``: its left edge; ``edge``: the right edge for amounts; ``middle``: its middle, into
     every column that holds it; ``near``: middle, else right edge within the slack; ``overlap``: over half of it.
 
-    The few cuts of a page are one array that its words meet in one join; the choice is an expression over it.
+    The few cuts of a page are one array that its words meet in one join; the choice is an expression over it. The pages' arrays are
+    hashed, so words stream by and are not sorted. A layout whose cuts are the same on all pages may be given as rows (col_ord,
+    col_name, x_left, x_right); its words stay where they are.
     """
-    few = cuts.groupBy(*PAGE).agg(F.collect_list(F.struct("col_ord", "col_name", "x_left", "x_right")).alias("_cuts"))
+    shape = ("col_ord", "col_name", "x_left", "x_right")
     x0, x1 = F.col("x0"), F.col("x1")
     inside = lambda c, p, s=0.0: (c["x_left"] - s <= p) & (p < c["x_right"] + s)
     mid, edge = (x0 + x1) / 2, F.when(F.col("text").rlike(r"^[\d,.()\-]+$") & F.col("text").rlike(r"\d"), x1).otherwise(x0)
@@ -65,7 +67,12 @@ def assign(words: DataFrame, cuts: DataFrame, mode: str = "left", slack: float =
         "left": lambda c: inside(c, x0), "edge": lambda c: inside(c, edge), "middle": lambda c: inside(c, mid), "near": lambda c: inside(c, mid) | inside(c, x1, slack),
         "overlap": lambda c: F.least(x1, c["x_right"]) - F.greatest(x0, c["x_left"]) > 0.5 * (x1 - x0),
     }
-    met = words.join(few, list(PAGE)).withColumn("_hits", F.filter("_cuts", tests[mode])).drop("_cuts")
+    if isinstance(cuts, DataFrame):
+        few = cuts.groupBy(*PAGE).agg(F.collect_list(F.struct(*shape)).alias("_cuts"))
+        met = words.join(few.hint("shuffle_hash"), list(PAGE))
+    else:
+        met = words.withColumn("_cuts", F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(shape, row, strict=True)]) for row in cuts]))
+    met = met.withColumn("_hits", F.filter("_cuts", tests[mode])).drop("_cuts")
     if mode == "middle":
         return met.select(*words.columns, F.explode("_hits").alias("_c")).select(*words.columns, F.col("_c.col_ord").alias("col_ord"), F.col("_c.col_name").alias("col_name"))
     second = (lambda c: (~inside(c, mid)).cast("int")) if mode == "near" else (lambda c: F.lit(0))

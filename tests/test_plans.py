@@ -22,3 +22,15 @@ def test_consensus_zones_rank_pages_not_words(spark):
     words = spark.createDataFrame([(1, 7, 1, "01-Jan-2024", 30.0, 90.0)], "file_id long, page_no int, word_seq long, text string, x0 double, x1 double")
     plan = discovery.consensus_zones(words)._jdf.queryExecution().optimizedPlan().toString()
     assert "dense_rank" not in plan and "LeftSemi" in plan
+
+
+def test_words_meet_cuts_without_being_sorted(spark):
+    from ledgerflow.operators import layout
+
+    rows = [(0, "a", 0.0, 185.0), (1, "b", 170.0, 425.0), (2, "c", 425.0, 545.0)]
+    words = spark.createDataFrame([(f, 0, k, t, 60.0 * k, 60.0 * k + 40) for f in (1, 2) for k, t in enumerate(["x", "1.00", "-", "7", "(2)", "a", "b", "3.00", "d", "e"])], "file_id long, page_no int, word_seq long, text string, x0 double, x1 double")
+    cuts = spark.createDataFrame([(f, 0, *r) for f in (1, 2) for r in rows], "file_id long, page_no int, col_ord int, col_name string, x_left double, x_right double")
+    for mode in ("left", "edge", "middle", "near", "overlap"):
+        alike, own = layout.assign(words, rows, mode), layout.assign(words, cuts, mode)
+        assert sorted(map(tuple, alike.collect())) == sorted(map(tuple, own.collect())) and alike.count()
+        assert "Exchange" not in _plan(alike) and "SortMergeJoin" not in _plan(own) and "BroadcastHashJoin" not in _plan(own)
