@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
@@ -26,16 +27,31 @@ def fold_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], reads: Se
     keys, read = [names.index(k) for k in key], [names.index(c) for c in reads]
     place, arrow = ([f.name for f in fields].index(out), to_arrow_type(kind))
 
+    def changes(columns: list[pa.Array]) -> list[int]:
+        """The rows from 1 on that differ from the row before in any column; nulls are alike."""
+        n, out = len(columns[0]) - 1, None
+        for c in columns:
+            here, before = c.slice(1), c.slice(0, n)
+            differs = pc.or_kleene(pc.not_equal(here, before), pc.xor(here.is_null(), before.is_null())).fill_null(False)
+            out = differs if out is None else pc.or_(out, differs)
+        return [k + 1 for k in pc.indices_nonzero(out).to_pylist()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             values = []
-            group = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
-            for own, row in zip(group, zip(*(batch.column(k).to_pylist() for k in read), strict=True), strict=True):
+            rows = list(zip(*(batch.column(k).to_pylist() for k in read), strict=True))
+            # Keys become Python values only where a group begins.
+            begins = [0, *changes([batch.column(k) for k in keys]), batch.num_rows]
+            for a, b in zip(begins[:-1], begins[1:], strict=True):
+                own = tuple(batch.column(k)[a].as_py() for k in keys)
                 if own != last:
                     last, state = own, start()
-                state, value = step(state, row)
-                values.append(value)
+                for row in rows[a:b]:
+                    state, value = step(state, row)
+                    values.append(value)
             columns = list(batch.columns)
             columns[place : place + 1] = [pa.array(values, arrow)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -70,3 +70,20 @@ def test_chunks_of_pages(spark, small_batches):
             want[f, p] = chunk
     assert {(r.file_id, r.page_no): r.chunk for r in select.text_chunks(df, 20).collect()} == want
     assert select.text_chunks(df.limit(0), 20).count() == 0
+
+
+def test_groups_begin_at_any_change_of_the_keys(spark):
+    from ledgerflow.operators.folds import fold_rows
+    from pyspark.sql.types import IntegerType
+
+    rows = [(1, "x"), (1, "x"), (None, "x"), (None, "x"), (2, "x"), (2, None), (2, "y"), (2, "y"), (2, "y")]
+    df = spark.createDataFrame([(*k, n) for n, k in enumerate(rows)], "a int, b string, n int")
+    got = fold_rows(df, ["a", "b"], ["n"], ["n"], lambda: 0, lambda state, row: (state + 1, state), "at", IntegerType())
+    assert [r.at for r in got.orderBy("n").collect()] == [0, 1, 0, 1, 0, 0, 0, 1, 2]
+
+
+def test_lines_of_documents_leave_the_words_behind(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["lay_01_cluster_lines"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow run(file_id#" in plan and "text#" not in plan.split("MapInArrow", 1)[1].split(")", 1)[0]
