@@ -116,9 +116,9 @@ def zone_rows(words: DataFrame, openings: DataFrame, layout: str | Zones = "uba"
     takes = F.col("balance").isNotNull() & F.col("_amount").isNull()
     # Islands end with each line that takes what waits: whatever waited before it is gone.
     x = x.withColumn("_isle", F.coalesce(F.sum(takes.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    island = Window.partitionBy(*key, "_isle").orderBy("page_no", "line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_held", F.last(F.when(waits, F.struct(F.col("_amount").alias("amount"), F.col("raw").alias("raw"), F.col("_dates").alias("dates"))), ignorenulls=True).over(island))
-    x = x.where(~waits).withColumn("_held", F.when(takes, F.col("_held")))
+    # The last line that waits counts if it is of the same island: in the file's order too, so that lines are not sorted again by island.
+    x = x.withColumn("_held", F.last(F.when(waits, F.struct(F.col("_amount").alias("amount"), F.col("raw").alias("raw"), F.col("_dates").alias("dates"), F.col("_isle").alias("isle"))), ignorenulls=True).over(past))
+    x = x.where(~waits).withColumn("_held", F.when(takes & (F.col("_held.isle") == F.col("_isle")), F.col("_held")))
     trimmed = F.trim(said(between("ws", *z.description)))
     x = x.withColumns({
         "_a": F.coalesce(F.col("_amount"), F.col("_held.amount")), "description": F.coalesce(F.col("_held.raw"), F.trim(trimmed, F.lit(" |")) if z.by_side else trimmed),

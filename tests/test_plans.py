@@ -34,3 +34,8 @@ def test_words_meet_cuts_without_being_sorted(spark):
         alike, own = layout.assign(words, rows, mode), layout.assign(words, cuts, mode)
         assert sorted(map(tuple, alike.collect())) == sorted(map(tuple, own.collect())) and alike.count()
         assert "Exchange" not in _plan(alike) and "SortMergeJoin" not in _plan(own) and "BroadcastHashJoin" not in _plan(own)
+
+
+def test_zone_rows_are_not_sorted_again_by_island(spark, sf):
+    plan = entry.queries()["lay_38_zone_rows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Sort [" in line and "_isle" in line]
