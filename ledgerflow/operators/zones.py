@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.money import parse_money
+from ledgerflow.functions.text import bind
 from ledgerflow.operators.layout import PAGE
 
 MONEY = "decimal(18,2)"
@@ -137,36 +138,49 @@ def zone_rows(words: DataFrame, openings: DataFrame, layout: str | Zones = "uba"
 # --- amount lines ----------------------------------------------------------------------------------------------------
 
 
-def amount_layout(lines: DataFrame) -> DataFrame:
-    """LAY-36: per page the zones that its first full header line gives: date, value date, text, amounts and balance."""
-    upper = F.upper("raw")
-    has = lambda *ks: F.exists(F.array(*map(F.lit, ks)), lambda k: F.contains(upper, k))
-    word = lambda *ks: F.get(F.filter("ws", lambda w: F.exists(F.array(*map(F.lit, ks)), lambda k: F.contains(F.upper(w["text"]), k))), F.lit(0))
+def header_zones(lines: DataFrame) -> DataFrame:
+    """LAY-36: ``lines`` with ``_zones``, the zones that a full header line gives: date, value date, text, amounts and balance."""
+    any_of = lambda t, ks: F.exists(F.array(*map(F.lit, ks)), lambda k: F.contains(t, k))
     text, debit, credit = ("NARRATION", "REMARKS", "DETAILS", "DESCRIPTION"), ("DEBIT", "WITHDRAWAL"), ("CREDIT", "DEPOSIT", "LODGEMENT")
-    heads = lines.where(has("TRANS") & has("VALUE") & has("BALANCE") & has(*text) & has(*debit) & has(*credit))
-    heads = heads.withColumns({"_t": word("TRANS"), "_v": word("VALUE"), "_n": word(*text), "_d": word(*debit), "_c": word(*credit), "_b": word("BALANCE"), "_w": F.get(F.filter("ws", lambda w: F.contains(F.upper(w["text"]), F.lit("DATE"))), F.lit(1))})
-    heads = heads.where(" and ".join(f"{c} is not null" for c in ("_t", "_v", "_n", "_d", "_c", "_b")))
+    full = bind(F.upper("raw"), lambda t: F.contains(t, F.lit("TRANS")) & F.contains(t, F.lit("VALUE")) & F.contains(t, F.lit("BALANCE")) & any_of(t, text) & any_of(t, debit) & any_of(t, credit))
+    # Few lines are headers: words are looked at on these only.
+    word = lambda ks, k=0: F.when(F.col("_head"), F.get(F.filter("ws", lambda w: any_of(F.upper(w["text"]), ks)), F.lit(k)))
+    heads = lines.withColumn("_head", full).withColumns({"_t": word(("TRANS",)), "_v": word(("VALUE",)), "_n": word(text), "_d": word(debit), "_c": word(credit), "_b": word(("BALANCE",)), "_w": word(("DATE",), 1)})
     x = lambda c: F.col(f"{c}.x0").cast("double")
     value_right = F.least(F.when(F.col("_w").isNotNull(), F.col("_w.x1") + 8).otherwise(x("_n") - 6), x("_n") - 4)
     zones = F.struct(
         F.col("top").alias("header_top"), F.greatest(x("_t") - 10, F.lit(0.0)).alias("date_left"), (x("_v") - 4).alias("date_right"), (x("_v") - 4).alias("value_left"), value_right.alias("value_right"),
         F.greatest(value_right - 6, F.lit(150.0)).alias("text_left"), (x("_d") - 8).alias("text_right"), (x("_d") - 30).alias("amount_left"), (x("_c") - 10).alias("debit_right"), (x("_b") - 10).alias("balance_left"),
     )
-    return heads.groupBy(*PAGE).agg(F.min_by(zones, "line_id").alias("zones"))
+    given = F.expr(" and ".join(f"{c} is not null" for c in ("_t", "_v", "_n", "_d", "_c", "_b")))
+    return heads.withColumn("_zones", F.when(given, zones)).drop("_head", "_t", "_v", "_n", "_d", "_c", "_b", "_w")
+
+
+def amount_layout(lines: DataFrame) -> DataFrame:
+    """LAY-36: per page the zones that its first full header line gives."""
+    return header_zones(lines).where("_zones is not null").groupBy(*PAGE).agg(F.min_by("_zones", "line_id").alias("zones"))
 
 
-def nearby_date(left: str, right: str, window) -> Column:
-    """LAY-37: the date printed between two zone edges: in the row itself; else a day and month in it or up to three rows above, with
-    the year nearest to where they stand or within three rows below; else a whole date within three rows, above first."""
-    text = said(between("ws", F.col(f"zones.{left}"), F.col(f"zones.{right}")))
-    found = lambda p: F.nullif(F.regexp_extract(text, p, 0), F.lit(""))
-    full, part, year = found(DATE), found(DAY_MONTH), found(YEAR)
-    at = lambda c, k: c if not k else F.lag(c, -k).over(window) if k < 0 else F.lead(c, k).over(window)
-    tries = [full]
-    for k in (0, -1, -2, -3):
-        years = F.coalesce(*[at(year, y) for y in dict.fromkeys([k, k + 1, k + 2, 0, 1, 2, 3])])
-        tries.append(F.concat(at(part, k), years))
-    return F.coalesce(*tries, *[at(full, k) for k in (-1, 1, -2, 2, -3, 3)])
+def nearby_dates(lines: DataFrame, edges: dict[str, tuple[str, str]], window: WindowSpec) -> DataFrame:
+    """LAY-37: ``lines`` with the date printed between two zone edges, for each name in ``edges``: in the row itself; else a day and month
+    in it or up to three rows above, with the year nearest to where they stand or within three rows below; else a whole date within three
+    rows, above first. What a row shows is read once and then looked at from the rows around."""
+    found = lambda t, p: F.get(_all(t, p), F.lit(0))
+    seen = lambda t: F.struct(found(t, DATE).alias("full"), found(t, DAY_MONTH).alias("part"), found(t, YEAR).alias("year"))
+    shown = {name: bind(said(between("ws", F.col(f"zones.{a}"), F.col(f"zones.{b}"))), seen) for name, (a, b) in edges.items()}
+    near = {k: f"_near{k + 3}" for k in range(-3, 4)}
+    out = lines.withColumn(near[0], F.struct(*[c.alias(name) for name, c in shown.items()]))
+    out = out.withColumns({near[k]: F.lag(near[0], -k).over(window) if k < 0 else F.lead(near[0], k).over(window) for k in near if k})
+
+    def date(name: str) -> Column:
+        at = lambda kind, k: F.col(f"{near[k]}.{name}.{kind}")
+        tries = [at("full", 0)]
+        for k in (0, -1, -2, -3):
+            years = F.coalesce(*[at("year", y) for y in dict.fromkeys([k, k + 1, k + 2, 0, 1, 2, 3])])
+            tries.append(F.concat(at("part", k), years))
+        return F.coalesce(*tries, *[at("full", k) for k in (-1, 1, -2, 2, -3, 3)])
+
+    return out.withColumns({name: date(name) for name in edges}).drop(*near.values())
 
 
 def clean_text(text: Column) -> Column:
@@ -183,26 +197,30 @@ def amount_lines(words: DataFrame, bottom: float = 735.0, reach: float = 22.0) -
 
     Gives file_id, page_no, line_id, word_seq, date_raw, value_date, description, debit, credit, balance and raw_text.
     """
-    lines = lines_of(words)
-    noise = F.exists(F.array(*map(F.lit, FOOTERS)), lambda m: F.contains(F.regexp_replace(F.upper("raw"), " ", ""), m))
-    body = lines.join(amount_layout(lines), list(PAGE)).where((F.col("top") > F.col("zones.header_top") + 6) & (F.col("top") <= bottom) & ~noise)
     page = Window.partitionBy(*PAGE).orderBy("line_id")
+    file = Window.partitionBy("file_id").orderBy("page_no", "line_id")
+    past = file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A page's lines are read and sorted once, also for the windows over its file; the header is among them.
+    lines = header_zones(lines_of(words)).withColumn("zones", F.first("_zones", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    noise = bind(F.replace(F.upper("raw"), F.lit(" "), F.lit("")), lambda t: F.exists(F.array(*map(F.lit, FOOTERS)), lambda m: F.contains(t, m)))
+    body = lines.where((F.col("top") > F.col("zones.header_top") + 6) & (F.col("top") <= bottom) & ~noise)
     value = lambda w: parse_money(w["text"], "bank").cast(MONEY)
     amounts = lambda a, b: F.filter(between("ws", F.col(f"zones.{a}"), b), lambda w: F.trim(w["text"]).rlike(AMOUNT_OR_WHOLE))
-    body = body.withColumns({"_date": nearby_date("date_left", "date_right", page), "_value": nearby_date("value_left", "value_right", page), "_text": said(between("ws", F.col("zones.text_left"), F.col("zones.text_right"))), "_balance": F.try_element_at(amounts("balance_left", F.lit(1000.0)), F.lit(-1))})
-    body = body.withColumn("_entries", F.when(F.col("_balance").isNotNull(), amounts("amount_left", F.col("zones.balance_left"))))
-    bears = F.coalesce(F.size("_entries") > 0, F.lit(False))
-    body = body.withColumn("_isle", F.coalesce(F.sum(bears.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    body = nearby_dates(body, {"_date": ("date_left", "date_right"), "_value": ("value_left", "value_right")}, page)
+    body = body.withColumns({"_text": said(between("ws", F.col("zones.text_left"), F.col("zones.text_right"))), "_balance": F.try_element_at(amounts("balance_left", F.lit(1000.0)), F.lit(-1)), "_edge": F.col("zones.debit_right")})
+    body = body.withColumn("_entries", F.when(F.col("_balance").isNotNull(), amounts("amount_left", F.col("zones.balance_left")))).drop("ws", "zones")
+    body = body.withColumn("_bears", F.coalesce(F.size("_entries") > 0, F.lit(False)))
+    body = body.withColumn("_isle", F.coalesce(F.sum(F.col("_bears").cast("int")).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Only lines that bear amounts hand on their dates.
+    body = body.withColumn("date_raw", F.last(F.when(F.col("_bears"), F.col("_date")), ignorenulls=True).over(past))
+    # Without any value date so far, the first entry's date stays the value date.
+    body = body.withColumn("value_date", F.coalesce(F.last(F.when(F.col("_bears"), F.col("_value")), ignorenulls=True).over(past), F.first(F.when(F.col("_bears"), F.col("date_raw")), ignorenulls=True).over(past)))
     # All lines of an island but the last are text above it.
     above = Window.partitionBy(*PAGE, "_isle").orderBy("line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    body = body.withColumn("_above", F.collect_list(F.struct("line_id", "top", "_text")).over(above)).where(bears)
+    body = body.withColumn("_above", F.collect_list(F.struct("line_id", "top", "_text")).over(above)).where("_bears")
     cut = F.array_max(F.transform(F.filter("_above", lambda r: F.col("top") - r["top"] > reach), lambda r: r["line_id"]))
-    near = F.filter("_above", lambda r: (r["_text"] != "") & (cut.isNull() | (r["line_id"] > cut)))
+    near = bind(cut, lambda c: F.filter("_above", lambda r: (r["_text"] != "") & (c.isNull() | (r["line_id"] > c))))
     text = clean_text(F.array_join(F.transform(near, lambda r: r["_text"]), " "))
-    each = body.select(*PAGE, "line_id", "_date", "_value", text.alias("description"), value(F.col("_balance")).alias("balance"), F.col("raw").alias("raw_text"), F.col("zones.debit_right").alias("_edge"), F.explode("_entries").alias("_w"))
-    file = Window.partitionBy("file_id").orderBy("page_no", "line_id", "_w.x0", "_w.word_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumn("date_raw", F.last("_date", ignorenulls=True).over(file))
-    # Without any value date so far, the first entry's date stays the value date.
-    each = each.withColumn("value_date", F.coalesce(F.last("_value", ignorenulls=True).over(file), F.first("date_raw", ignorenulls=True).over(file)))
+    each = body.select(*PAGE, "line_id", "date_raw", "value_date", text.alias("description"), value(F.col("_balance")).alias("balance"), F.col("raw").alias("raw_text"), "_edge", F.explode("_entries").alias("_w"))
     left, v, zero = F.col("_w.x1") <= F.col("_edge"), value(F.col("_w")), F.lit(0).cast(MONEY)
     return each.select(*PAGE, "line_id", F.col("_w.word_seq").alias("word_seq"), "date_raw", "value_date", "description", F.when(left, v).otherwise(zero).alias("debit"), F.when(left, zero).otherwise(v).alias("credit"), "balance", "raw_text")

@@ -39,3 +39,8 @@ def test_words_meet_cuts_without_being_sorted(spark):
 def test_zone_rows_are_not_sorted_again_by_island(spark, sf):
     plan = entry.queries()["lay_38_zone_rows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Sort [" in line and "_isle" in line]
+
+
+def test_amount_lines_read_the_ledger_once_and_look_at_each_line_once(spark, sf):
+    plan = _plan(entry.queries()["lay_36_amount_lines"](spark, sf))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("regexp_extract") <= 6
