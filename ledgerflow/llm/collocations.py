@@ -6,11 +6,14 @@ addresses; pairs of all other tiles are sorted coordinates. Pairs that are frequ
 and get ids of their own: where two of them overlap, their ids are a pair again, and that pair is a phrase of three words. The same
 step, applied to the ids of the step before, gives phrases of four and five.
 
-Spark holds it together: texts become chunks of about ``SLICE_BYTES``, each a row of codes plus a row for each distinct symbol with its
-count. Counts of a symbol are summed over chunks by a grouping, symbols seen ``least`` times are numbered by a range partitioning, the
+Spark holds it together: texts become chunks of about ``SLICE_BYTES``, each a row of codes plus a row for each distinct word with its
+count. Counts of a word are summed over chunks by a grouping, words seen ``least`` times are numbered by a range partitioning, the
 numbers go back to the chunks that asked by a streamed merge, and codes and numbers meet in a cogrouping by chunk, which forms the
-next length's pairs. All chunks and all groups are bounded; sums combine before the shuffle; no vocabulary is ever in one task. A phrase
-that crosses the end of a chunk belongs to the chunk of its first word: chunks of one text overlap by the words that takes.
+next length's pairs. A chunk deals its distinct pairs by hash to parts of all pairs and sends each part one packed row, in order, so a
+pair takes a few bytes and its code none. A part counts its pairs over all chunks; pairs that are not frequent end there, and who has
+the others is kept until they are numbered. There are as many parts as chunks ask for, so all chunks and all groups are bounded; no
+vocabulary is ever in one task. A phrase that crosses the end of a chunk belongs to the chunk of its first word: chunks of one text
+overlap by the words that takes.
 
 All parts of a frequent phrase are frequent, so the tables of frequent phrases hold every count that scores need. A phrase is
 dropped if a longer one occurs as often; it suffices to look at phrases one word longer, for counts fall with length.
@@ -39,6 +42,8 @@ LONGEST, LEAST, TOP, SLICE_BYTES = 5, 100, 2000, 4 << 20
 TILE_BITS, HEAD, DENSE = 9, 16, 1 << 15
 #: Answers that are packed together.
 FLUSH = 1 << 20
+#: Chunks whose pairs make up one part, and the fewest parts.
+CHUNKS_A_PART, LEAST_PARTS = 4, 64
 #: Groups into which a language's phrases are dealt before the last ranking.
 DEALT = 64
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -241,11 +246,28 @@ def answered(symbols: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     return merged.mapInArrow(run, "to long, local binary, id binary")
 
 
-def next_chunks(chunks: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
+def dealt(codes: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int) -> tuple[np.ndarray, pa.Table]:
+    """The pairs of a chunk by part, one packed row each, and the codes that fit: pairs are in the order of their part and ids, and a
+    pair's code is its place, ``base`` being the first of its row."""
+    mixed = (a.astype(np.uint64) * np.uint64(textkit.MIX_A)) ^ b.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(textkit.MIX_B)
+    part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((b, a, part))
+    code = np.empty(len(order) + 1, np.int32)
+    code[order], code[-1] = np.arange(len(order)), -1
+    a, b, n, part = a[order], b[order], n[order], part[order]
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    packed = {"a": [enc(np.diff(a[i:j], prepend=0), "<u8") for i, j in spans], "b": [enc(b[i:j], "<u8") for i, j in spans], "n": [enc(n[i:j], "<u8") for i, j in spans]}
+    return code[codes], pa.table({"part": pa.array(part[edges[:-1]].astype(np.int32)), "base": pa.array(np.array(edges[:-1], np.int32))} | {k: pa.array(v, pa.binary()) for k, v in packed.items()})
+
+
+def next_chunks(chunks: DataFrame, answers: DataFrame, parts: int, last: bool) -> DataFrame:
     """Chunks of the phrases one word longer: codes meet the ids that ``answers(to, local, id)`` give their symbols."""
+    kinds = (("chunk", pa.int64()), ("own", pa.binary()), ("codes", pa.binary()), ("part", pa.int32()), ("base", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary()))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({k: pa.array([], t) for k, t in (("chunk", pa.int64()), ("own", pa.binary()), ("codes", pa.binary()), ("local", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()))})
+        empty = pa.table({k: pa.array([], t) for k, t in kinds})
         if not left.num_rows or not right.num_rows:
             return empty
         codes, own = dec(left.column("codes")[0].as_py(), "<i4"), dec(left.column("own")[0].as_py(), "u1").astype(bool)
@@ -255,19 +277,64 @@ def next_chunks(chunks: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
         codes, a, b, n = pairs_of(number[codes], own)
         if not len(a):
             return empty
-        symbols = pa.table({"local": pa.array(np.arange(len(a), dtype=np.int32)), "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
+        codes, symbols = dealt(codes, a, b, n, parts)
         return _with_codes(left.column("chunk")[0].as_py(), None if last else codes, own, symbols)
 
     held = chunks.where("codes is not null").select("chunk", "own", "codes")
-    return held.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(run, "chunk long, own binary, codes binary, local int, a long, b long, n long")
+    return held.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(run, "chunk long, own binary, codes binary, part int, base int, a binary, b binary, n binary")
+
+
+def counted(chunks: DataFrame, least: int) -> DataFrame:
+    """Pairs seen ``least`` times, and who has them. Two kinds of rows: (part, a, b, f, place), a pair with its place in its part; and
+    (part, chunk, local, at), packed: the codes of a chunk's frequent pairs of that part, and their places."""
+    kinds = (("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("f", pa.int64()), ("place", pa.int32()), ("chunk", pa.int64()), ("local", pa.binary()), ("at", pa.binary()))
+
+    def run(rows: pa.Table) -> pa.Table:
+        each = [np.cumsum(dec(x.as_py(), "<u8")) for x in rows.column("a")]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in each])]).tolist()
+        a = np.concatenate(each).astype(np.int64)
+        b, n = (np.concatenate([dec(x.as_py(), "<u8") for x in rows.column(c)]).astype(np.int64) for c in "bn")
+        small = max(a.max(), b.max()) < 1 << 31
+        order = np.argsort((a << 32) | b, kind="stable") if small else np.lexsort((b, a))
+        first, second = a[order], b[order]
+        start = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        f = np.add.reduceat(n[order], start)
+        often = f >= least
+        place = np.empty(len(a), np.int64)
+        place[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), np.diff(np.append(start, len(a))))
+        asks = []
+        for chunk, base, i, j in zip(rows.column("chunk").to_pylist(), rows.column("base").to_pylist(), edges[:-1], edges[1:], strict=True):
+            hit = np.flatnonzero(place[i:j] >= 0)
+            if len(hit):
+                asks.append((chunk, enc(np.diff(hit + base, prepend=0), "<u4"), enc(np.diff(place[i:j][hit], prepend=0), "<u4")))
+        pairs = pa.table({"a": pa.array(first[start[often]]), "b": pa.array(second[start[often]]), "f": pa.array(f[often]), "place": pa.array(np.arange(int(often.sum()), dtype=np.int32))})
+        chunks_of = pa.table({name: pa.array([x[k] for x in asks], kind) for k, (name, kind) in enumerate(kinds[5:])})
+        both = pa.concat_tables([pairs, chunks_of], promote_options="default")
+        return both.append_column("part", pa.array(np.full(both.num_rows, rows.column("part")[0].as_py(), np.int32))).select([k for k, _ in kinds])
+
+    return chunks.where("part is not null").select("part", "chunk", "base", "a", "b", "n").groupBy("part").applyInArrow(run, "part int, a long, b long, f long, place int, chunk long, local binary, at binary")
+
+
+def numbered(seen: DataFrame, table: DataFrame) -> DataFrame:
+    """``answered`` for pairs: the ids that ``table(part, place, id)`` gives those that chunks have, (to, local, id)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        number = np.zeros(right.num_rows, np.int64)
+        number[right.column("place").to_numpy()] = right.column("id").to_numpy()
+        plain = lambda x: np.cumsum(dec(x.as_py(), "<u4"), dtype=np.int64)
+        local, ids = ([enc(read(x), kind) for x in left.column(c)] for c, kind, read in (("local", "<u4", plain), ("at", "<u8", lambda x: number[plain(x)])))
+        return pa.table({"to": left.column("chunk"), "local": pa.array(local, pa.binary()), "id": pa.array(ids, pa.binary())})
+
+    asks = seen.where("chunk is not null").select("part", "chunk", "local", "at")
+    return asks.groupBy("part").cogroup(table.select("part", "place", "id").groupBy("part")).applyInArrow(run, "to long, local binary, id binary")
 
 
-def ranked(df: DataFrame, by: list[str]) -> DataFrame:
-    """``df(by, f)`` with ``id`` from 0 by falling ``f``, as a written table and a join with the partitions' offsets."""
+def ranked(df: DataFrame, by: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """``df(by, f, more)`` with ``id`` from 0 by falling ``f``, as a written table and a join with the partitions' offsets."""
     order = [F.col("f").desc(), *map(F.col, by)]
     placed = scratch.table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("bucket", F.shiftright("at", 33)), "phrases-ranked")
     offsets = sharding.offsets_of(placed.groupBy("bucket").count())  # a row for each partition
-    return placed.join(F.broadcast(offsets), "bucket").select(*by, "f", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id"))
+    return placed.join(F.broadcast(offsets), "bucket").select(*by, "f", *more, (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("id"))
 
 
 def frequent(symbols: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -284,20 +351,21 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Data
     """``docs(lang, text)`` -> all candidates that are kept: lang, phrase, a, l, r, n, score."""
     chunks = scratch.table(word_chunks(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), longest), "phrases-1")
     totals = scratch.table(chunks.where("local is not null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
-    by, levels = ["lang", "word"], []
-    for length in range(1, longest + 1):
-        symbols = chunks.where("local is not null").drop("own", "codes")
-        table = frequent(symbols, by, least)
+    by, words = ["lang", "word"], chunks.where("local is not null").drop("own", "codes")
+    table = scratch.table(ranked(frequent(words, by, least), by), "phrases-frequent-1")
+    levels, answers, seen = [table], answered(words, table, by), None
+    parts = max(LEAST_PARTS, -(-chunks.where("codes is not null").count() // CHUNKS_A_PART))
+    for length in range(2, longest + 1):
+        before, chunks = [chunks, seen], scratch.table(next_chunks(chunks, answers, parts, length == longest), f"phrases-{length}")
+        scratch.drop(*before)
+        seen = scratch.table(counted(chunks, least), f"phrases-counted-{length}")
+        pairs = seen.where("f is not null").select("a", "b", "f", "part", "place")
         if length == longest:
-            levels.append(scratch.table(table.withColumn("id", F.lit(None).cast("long")), f"phrases-frequent-{length}"))
+            levels.append(pairs.withColumn("id", F.lit(None).cast("long")))
             scratch.drop(chunks)
             break
-        table = scratch.table(ranked(table, by), f"phrases-frequent-{length}")
-        levels.append(table)
-        answers = answered(symbols, table, by)
-        before, chunks = chunks, scratch.table(next_chunks(chunks, answers, length + 1 == longest), f"phrases-{length + 1}")
-        scratch.drop(before)
-        by = ["a", "b"]
+        levels.append(scratch.table(ranked(pairs, ["a", "b"], ("part", "place")), f"phrases-frequent-{length}"))
+        answers = numbered(seen, levels[-1])
     known = levels[0].select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
     found = []
     for length, table in enumerate(levels[1:], 2):

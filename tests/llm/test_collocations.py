@@ -103,3 +103,26 @@ def test_scores_are_exact(spark):
     rows = [(10**13 + 7, 10**15 - 3, 10**13 + 9, 10**13 + 11), (100, 9 * 10**14, 100, 100), (123456789012, 987654321098765, 123456789013, 223456789012), (7, 10, 7, 7)]
     out = spark.createDataFrame(rows, "a long, n long, l long, r long").select("*", collocations.score(*map(F.col, "anlr")).alias("s")).collect()
     assert [r.s for r in out] == [1000 * a * n // (x * y) for a, n, x, y in rows]
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 33])
+def test_pairs_travel_packed_and_are_counted_over_chunks(spark, shift):
+    """A chunk's pairs are one row a part, not one a pair; only frequent ones keep their chunks."""
+    rng, parts, least = np.random.default_rng(5), 3, 20
+    rows, want, having = [], Counter(), defaultdict(set)
+    for chunk in range(6):
+        ids = np.minimum(rng.geometric(0.05, 3000) - 1, 60).astype(np.int64)
+        codes, a, b, n = collocations.pairs_of(ids, np.ones(len(ids), bool))
+        pair_at = [(int(a[c]) + shift, int(b[c]) + shift) if c >= 0 else None for c in codes]
+        codes, packed = collocations.dealt(codes, a + shift, b + shift, n, parts)
+        assert packed.num_rows == parts
+        rows += [(chunk, r["part"], r["base"], r["a"], r["b"], r["n"]) for r in packed.to_pylist()]
+        want.update(p for p in pair_at if p)
+        having.update({(chunk, int(c)): p for c, p in zip(codes, pair_at, strict=True) if p})
+    df = spark.createDataFrame(rows, "chunk long, part int, base int, a binary, b binary, n binary")
+    seen = collocations.counted(df, least).localCheckpoint()
+    pairs = seen.where("f is not null").collect()
+    assert {(r.a, r.b): r.f for r in pairs} == {p: f for p, f in want.items() if f >= least} and 0 < len(pairs) < len(want)
+    table = spark.createDataFrame([(r.part, r.place, r.a * 100 + r.b) for r in pairs], "part int, place int, id long")
+    got = {(r.to, int(c)): int(k) for r in collocations.numbered(seen, table).collect() for c, k in zip(collocations.dec(bytes(r.local), "<u4"), collocations.dec(bytes(r.id), "<u8"), strict=True)}
+    assert got == {at: a * 100 + b for at, (a, b) in having.items() if want[a, b] >= least}
