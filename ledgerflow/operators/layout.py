@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType
 
 from ledgerflow.functions import dates
 from ledgerflow.functions.money import SIGNED, TOKEN
+from ledgerflow.functions.text import bind
 from ledgerflow.operators import bank_profiles, scans
 from ledgerflow.operators.folds import fold_rows
 
@@ -64,7 +65,7 @@ def assign(words: DataFrame, cuts: DataFrame | Sequence[tuple[int, str, float, f
     inside = lambda c, p, s=0.0: (c["x_left"] - s <= p) & (p < c["x_right"] + s)
     mid, edge = (x0 + x1) / 2, F.when(F.col("text").rlike(r"^[\d,.()\-]+$") & F.col("text").rlike(r"\d"), x1).otherwise(x0)
     tests = {
-        "left": lambda c: inside(c, x0), "edge": lambda c: inside(c, edge), "middle": lambda c: inside(c, mid), "near": lambda c: inside(c, mid) | inside(c, x1, slack),
+        "left": lambda c: inside(c, x0), "middle": lambda c: inside(c, mid), "near": lambda c: inside(c, mid) | inside(c, x1, slack),
         "overlap": lambda c: F.least(x1, c["x_right"]) - F.greatest(x0, c["x_left"]) > 0.5 * (x1 - x0),
     }
     if isinstance(cuts, DataFrame):
@@ -72,7 +73,9 @@ def assign(words: DataFrame, cuts: DataFrame | Sequence[tuple[int, str, float, f
         met = words.join(few.hint("shuffle_hash"), list(PAGE))
     else:
         met = words.withColumn("_cuts", F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(shape, row, strict=True)]) for row in cuts]))
-    met = met.withColumn("_hits", F.filter("_cuts", tests[mode])).drop("_cuts")
+    # Whether a word is an amount is found once, not again for every cut.
+    hits = bind(edge, lambda p: F.filter("_cuts", lambda c: inside(c, p))) if mode == "edge" else F.filter("_cuts", tests[mode])
+    met = met.withColumn("_hits", hits).drop("_cuts")
     if mode == "middle":
         return met.select(*words.columns, F.explode("_hits").alias("_c")).select(*words.columns, F.col("_c.col_ord").alias("col_ord"), F.col("_c.col_name").alias("col_name"))
     second = (lambda c: (~inside(c, mid)).cast("int")) if mode == "near" else (lambda c: F.lit(0))
@@ -91,6 +94,13 @@ def wide(cells: DataFrame, names: Sequence[str]) -> DataFrame:
     return cells.groupBy(*PAGE, "line_id").agg(*[F.max(F.when(F.col("col_name") == n, F.col("cell"))).alias(n) for n in names])
 
 
+def wide_cells(assigned: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``wide`` of ``cells_of`` in one grouping: one row per line with the named columns, words from left to right."""
+    g = assigned.groupBy(*PAGE, "line_id").agg(F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text", "col_name"))).alias("_ws"))
+    cell = lambda n: bind(F.filter("_ws", lambda w: w["col_name"] == n), lambda ws: F.when(F.size(ws) > 0, F.array_join(F.transform(ws, lambda w: w["text"]), " ")))
+    return g.select(*PAGE, "line_id", *[cell(n).alias(n) for n in names])
+
+
 def clean_number(cell: Column) -> Column:
     """LAY-10: of several tokens the rightmost with a point and a digit, else all joined."""
     parts = F.split(F.trim(cell), r"\s+")
@@ -110,8 +120,10 @@ def pick_number(cell: Column) -> Column:
 
 def header_line(lines: DataFrame, least: int = 3) -> DataFrame:
     """LAY-12: per page the line with most header words, the topmost of equals."""
-    hit = F.lower("text").isin(list(HEADER_WORDS)).cast("int")
-    g = lines.groupBy(*PAGE, "line_id").agg(F.sum(hit).alias("hits")).where(F.col("hits") >= least)
+    # Lines without any header word are not grouped, unless none is enough.
+    hit = F.lower("text").isin(list(HEADER_WORDS))
+    some = lines.where(hit) if least > 0 else lines
+    g = some.groupBy(*PAGE, "line_id").agg(F.sum(hit.cast("int")).alias("hits")).where(F.col("hits") >= least)
     best = Window.partitionBy(*PAGE).orderBy(F.col("hits").desc(), "line_id")
     return g.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 

@@ -44,3 +44,17 @@ def test_zone_rows_are_not_sorted_again_by_island(spark, sf):
 def test_amount_lines_read_the_ledger_once_and_look_at_each_line_once(spark, sf):
     plan = _plan(entry.queries()["lay_36_amount_lines"](spark, sf))
     assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("regexp_extract") <= 6
+
+
+def test_cells_read_the_ledger_once_for_words_and_header_and_are_grouped_once(spark, sf):
+    plan = _plan(entry.queries()["lay_14_cells"](spark, sf))
+    assert plan.count("FileScan") <= 3 and "Union" not in plan and plan.count("collect_list(") <= 2 * 2
+
+
+def test_wide_cells_are_the_cells_side_by_side(spark):
+    from ledgerflow.operators import layout
+
+    rows = [(1, 0, k // 3, k, None if k == 4 else f"w{k}", float(-k % 5), ["a", "b", "other"][k % 4 % 3]) for k in range(14)]
+    words = spark.createDataFrame(rows, "file_id long, page_no int, line_id int, word_seq long, text string, x0 double, col_name string")
+    want, got = layout.wide(layout.cells_of(words), ["a", "b", "c"]), layout.wide_cells(words, ["a", "b", "c"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns and got.count() == 5
