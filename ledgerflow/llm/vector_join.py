@@ -41,8 +41,8 @@ from ledgerflow.llm.components import components
 from ledgerflow.llm.simhash import labels
 
 COSINE, CELL, BLOCK, MOST_PIVOTS, MOST_SPACES = 0.95, 512, 64, 2048, 4
-#: Bytes of vectors that are sent to all tasks at once, and rows that a task compares with them at once.
-CHUNK_BYTES, STREAM_ROWS = 32 << 20, 32_768
+#: Bytes of vectors that are sent to all tasks at once, that a task compares with them at once (rows too), and that are turned at once.
+CHUNK_BYTES, STREAM_BYTES, STREAM_ROWS, TURNED_BYTES = 24 << 20, 16 << 20, 32_768, 1 << 19
 #: Turned vectors are whole numbers, this many to the unit: their products and sums stay below 2^24 and are exact in 32-bit floats.
 SCALE = 1024
 #: Pivots are so far apart at least (in units of SCALE): a plane's distance is divided by it.
@@ -87,11 +87,14 @@ def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
 
 
-def _by_size(b: pa.RecordBatch | pa.Table, name: str = "key") -> Iterator[tuple[int, pa.RecordBatch | pa.Table]]:
-    """The rows of each length of vectors."""
-    sizes = pc.binary_length(b.column(name)).to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else pc.binary_length(b.column(name)).to_numpy()
+def _by_size(b: pa.RecordBatch | pa.Table, most: int | None = None) -> Iterator[tuple[int, pa.RecordBatch | pa.Table]]:
+    """The rows of each length of vectors, at most so many bytes of them at once."""
+    sizes = np.asarray(pc.binary_length(b.column("key")))
     for size in np.unique(sizes).tolist():
-        yield size, b if (sizes == size).all() else b.take(pa.array(np.flatnonzero(sizes == size)))
+        mine = b if (sizes == size).all() else b.take(pa.array(np.flatnonzero(sizes == size)))
+        step = max(1, most // size) if most else len(sizes)
+        for at in range(0, mine.num_rows, step):
+            yield size, mine.slice(at, step)
 
 
 def _keyed(df: DataFrame, kind: np.dtype) -> DataFrame:
@@ -196,17 +199,20 @@ def measured(nodes: DataFrame, space: Callable[[int], Space], kind: np.dtype) ->
     """Of each cell: length in bytes, subspace, place, nodes, largest squared distance to the pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for whole in batches:
-            for size, b in _by_size(whole):
+            for size, b in _by_size(whole, TURNED_BYTES):
                 of = space(size)
                 q = turned(unit(_matrix(b.column("key"), kind)))
                 for s in range(of.m):
                     home, own = of.homes(q, s)
-                    n = np.bincount(home)
-                    reach = np.zeros(len(n))
+                    p = len(of.pivots[s])
+                    n, reach = seen.setdefault((size, s), (np.zeros(p, np.int64), np.zeros(p)))
+                    n += np.bincount(home, minlength=p)
                     np.maximum.at(reach, home, own)
-                    some = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size)), pa.array(np.full(len(some), s)), pa.array(some), pa.array(n[some]), pa.array(reach[some])], ["size", "s", "place", "n", "reach"])
+        for (size, s), (n, reach) in seen.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size)), pa.array(np.full(len(some), s)), pa.array(some), pa.array(n[some]), pa.array(reach[some])], ["size", "s", "place", "n", "reach"])
 
     found = nodes.select("key").mapInArrow(run, "size long, s long, place long, n long, reach double")
     return found.groupBy("s", "size", "place").agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).collect()
@@ -245,7 +251,7 @@ def placed(nodes: DataFrame, space: Callable[[int], Space], groups: list[Groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for size, b in _by_size(whole):
+            for size, b in _by_size(whole, TURNED_BYTES):
                 of, node = space(size), b.column("node").to_numpy()
                 q = turned(unit(_matrix(b.column("key"), kind)))
                 out = {x: np.full(len(q), -1 if x[0] != "v" else 0, np.int64) for x in names}
@@ -265,7 +271,6 @@ class Chunk:
     """Nodes of one length in some cells of a subspace, cells cut into leaves of about BLOCK points around their mean."""
 
     def __init__(self, rows: pa.Table, of: Space, s: int, kind: np.dtype, reach: np.ndarray):
-        rows = rows.combine_chunks()
         column = lambda c: rows.column(c).chunk(0)
         home, q = column("home").to_numpy(), _matrix(column("q"), np.dtype(np.int16))
         x, order, self.cells, leaf_at, centres, radii, seeds, self.planes = of.part(q, s), [], [], [0], [], [], [], []
@@ -431,7 +436,7 @@ def compare(table: DataFrame, chunks: Broadcast, space: Callable[[int], Space],
         for whole in batches:
             for size, b in _by_size(whole):
                 held.setdefault(size, []).append(b)
-                if sum(x.num_rows for x in held[size]) >= STREAM_ROWS:
+                if sum(x.num_rows for x in held[size]) >= min(STREAM_ROWS, STREAM_BYTES // size):
                     yield from flush(size)
         for size in list(held):
             yield from flush(size)
@@ -455,15 +460,20 @@ def join(nodes: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
     stats = measured(nodes, space, kind)
     groups = [Groups([r for r in stats if r.s == s], space, s) for s in range(max((r.s + 1 for r in stats), default=0))]
     table = scratch.table(placed(nodes, space, groups, kind), "cells")
-    paths = []
-    for s, g in enumerate(groups):
-        rows = table.select("node", "copies", "key", "q", F.col(f"home_{s}").alias("home"), f"group_{s}", *(f"visits_{s}_{w}" for w in range(-(-g.n // 63))))
-        for k in range(g.n):
-            mine = rows.where(F.col(f"group_{s}") == k).select("node", "copies", "key", "q", "home").toArrow()
-            chunks = spark.sparkContext.broadcast({size: Chunk(x, space(size), s, kind, g.reach[size]) for size, x in _by_size(mine)})
-            guests = rows.where(F.col(f"visits_{s}_{k // 63}").bitwiseAND(F.lit(1 << (k % 63)).cast("long")) != 0).select("node", "copies", "key", "q", "home")
-            paths.append(scratch.table(compare(guests, chunks, space, kind, s, cosine), "links").scratch_path)
-            chunks.destroy()
+
+    def met(s: int, k: int) -> str:
+        """Where the links that count in subspace ``s`` are, of the nodes in group ``k``."""
+        rows = table.select("node", "copies", "key", "q", F.col(f"home_{s}").alias("home"), f"group_{s}", F.col(f"visits_{s}_{k // 63}").alias("visits"))
+        mine = rows.where(F.col(f"group_{s}") == k).select("node", "copies", "key", "q", "home").toArrow().combine_chunks()
+        chunks = spark.sparkContext.broadcast({size: Chunk(x, space(size), s, kind, groups[s].reach[size]) for size, x in _by_size(mine)})
+        del mine
+        pa.default_memory_pool().release_unused()  # the driver holds one group at a time
+        guests = rows.where(F.col("visits").bitwiseAND(F.lit(1 << (k % 63)).cast("long")) != 0).select("node", "copies", "key", "q", "home")
+        path = scratch.table(compare(guests, chunks, space, kind, s, cosine), "links").scratch_path
+        chunks.destroy()
+        return path
+
+    paths = [met(s, k) for s, g in enumerate(groups) for k in range(g.n)]
     scratch.drop(table)
     return spark.read.schema(LINKS).parquet(*paths) if paths else spark.createDataFrame([], LINKS)
 

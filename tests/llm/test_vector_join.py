@@ -132,7 +132,7 @@ def test_each_link_counts_once_in_all_subspaces(monkeypatch, cosine, sparse, mos
         np.maximum.at(reach, home, own)
         rows = pa.table({"node": np.arange(n), "copies": copies, "key": pa.array(keys, pa.binary()), "q": pa.array([r.tobytes() for r in q], pa.binary()), "home": home})
         for half in (home < len(reach) // 2, home >= len(reach) // 2):
-            found = v.Links(v.Chunk(rows.filter(pa.array(half)), of, s, kind, reach), of, s, cosine)
+            found = v.Links(v.Chunk(rows.filter(pa.array(half)).combine_chunks(), of, s, kind, reach), of, s, cosine)
             for b in (*(found.add(rows.slice(at, 70), kind) for at in range(0, n, 70)), found.rest()):
                 np.add.at(links, b.column(0).to_numpy(), b.column(1).to_numpy())
                 edges += zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
