@@ -267,6 +267,10 @@ def placed(nodes: DataFrame, space: Callable[[int], Space], groups: list[Groups]
     return nodes.select("node", "copies", "key").mapInArrow(run, ", ".join(["node long, copies long, key binary, q binary", *(f"{x} long" for x in names)]))
 
 
+def _pieces(x: np.ndarray, most: int) -> list[np.ndarray]:
+    return [x[at : at + most] for at in range(0, len(x), most)]
+
+
 class Chunk:
     """Nodes of one length in some cells of a subspace, cells cut into leaves of about BLOCK points around their mean."""
 
@@ -279,17 +283,17 @@ class Chunk:
         for place, mine in zip(places.tolist(), np.split(by_home, starts[1:]), strict=True):
             seed = apart(x[mine[::BLOCK]])
             leaf = (asking(x[mine]) @ raised(seed).T).argmax(axis=1)
-            some = np.flatnonzero(np.bincount(leaf, minlength=len(seed)))
-            self.cells.append((place, len(centres), len(centres) + len(some)))
-            self.planes.append(of.planes(seed[some], raised(seed[some])))
-            seeds.append(raised(seed[some]))
-            for k in some.tolist():
-                inside = mine[leaf == k]
-                centre = np.rint(x[inside].mean(axis=0))
+            inside = [(k, piece) for k in range(len(seed)) for piece in _pieces(mine[leaf == k], 4 * BLOCK)]  # seeds lie apart, so a dense one has many points
+            own = seed[[k for k, _ in inside]]
+            self.cells.append((place, len(centres), len(centres) + len(inside)))
+            self.planes.append(of.planes(own, raised(own)))
+            seeds.append(raised(own))
+            for _, piece in inside:
+                centre = np.rint(x[piece].mean(axis=0))
                 centres.append(centre)
-                radii.append(((x[inside] - centre) ** 2).sum(axis=1).max())
-                order.append(inside)
-                leaf_at.append(leaf_at[-1] + len(inside))
+                radii.append(((x[piece] - centre) ** 2).sum(axis=1).max())
+                order.append(piece)
+                leaf_at.append(leaf_at[-1] + len(piece))
         order = np.concatenate(order)
         self.leaf_at, self.q, points = leaf_at, q[order], raised(x[order], math.floor(of.radius**2) + 1)
         self.points = np.concatenate([points[a:b].T.ravel() for a, b in itertools.pairwise(leaf_at)])  # a leaf's as columns, which are multiplied faster
@@ -486,9 +490,10 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     nodes = scratch.table(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("h", digest("key")), "nodes")
     # Rows find their node by the digest of the vector, and by the vector itself only where two nodes share a digest.
     by = ["h"] if nodes.groupBy("h").count().where("count > 1").isEmpty() else ["h", "key"]
+    facts, ids = scratch.table(nodes.select("node", "low", "copies", *by), "facts"), scratch.table(rows.select("vec_id", *by), "ids")
+    scratch.drop(rows)
     found = join(nodes, kind, cosine)
-    facts, full, ids = scratch.table(nodes.select("node", "low", "copies", *by), "facts"), rows, scratch.table(rows.select("vec_id", *by), "ids")
-    scratch.drop(nodes, full)
+    scratch.drop(nodes)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = facts.join(joined, facts["node"] == joined["a"], "left").join(counts, "node", "left").select(*by, "low", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))

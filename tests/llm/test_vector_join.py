@@ -121,6 +121,7 @@ def test_each_link_counts_once_in_all_subspaces(monkeypatch, cosine, sparse, mos
     for name, value in (("SPARSE", sparse), ("MOST_PAIRS", most_pairs), ("TILE", tile), ("BLOCK", 6), ("SLICE", 50)):
         monkeypatch.setattr(v, name, value)
     x, kind = spread_and_near(5, 160, 50), v.KEY_OF["float"]
+    x = np.concatenate([x, x[1] + np.random.default_rng(6).normal(size=(60, 50)).astype(np.float32) * np.float32(1e-3)])  # in one leaf, cut into pieces
     keys = [r.tobytes() for r in x]
     of, n = v.Space(200, kind, cosine, keys[::9]), len(x)
     q = v.turned(v.unit(x))
